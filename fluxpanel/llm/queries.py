@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, simhash
+from . import exact_dedup, langid, licenses, packing, secrets, simhash, urlfilter
 from .util import documents, remainder
 
 
@@ -18,6 +18,49 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+# The rules (host, path, verdict) that the query applies.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+#: Hosts that the method blocks of its own accord where no rule fits.
+URL_BLOCKLIST = (
+    "ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net",
+    "free-bets.example.net", "spam-farm.example.org",
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(*r, False) for r in URL_RULES] + [(h, "", "block", True) for h in URL_BLOCKLIST]
+    entries = spark.createDataFrame(rows, urlfilter.ENTRY)
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, entries).drop("url")
+
+
+OP2_SQL = f"""
+WITH r(host, path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+b(host) AS (VALUES {", ".join(f"('{h}')" for h in URL_BLOCKLIST)}),
+u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), m AS (
+  SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id
+), x AS (
+  SELECT DISTINCT page_id FROM p JOIN b ON p.host = b.host OR ends_with(p.host, '.' || b.host)
+)
+SELECT p.page_id, p.host, p.path, m.rule,
+  coalesce(m.verdict, CASE WHEN x.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id LEFT JOIN x ON p.page_id = x.page_id
+"""
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -37,6 +80,22 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"), out="found").drop("text")
+    labels = F.array_union("found.base_labels", F.col("found.matches.label"))
+    best = F.array_max(F.col("found.matches.similarity"))
+    return found.select(
+        "doc_id", *[F.col(f"found.{c}") for c in ("n_words", "n_base", "first_word", "last_word")],
+        F.array_join("found.base_labels", ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.when(F.col("found.n_base") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), out="found").drop("text")
+    return found.select("doc_id", *[c.alias(name) for name, c in secrets.summary("found").items()])
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -48,9 +107,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_license_scan": op6_license_scan,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
