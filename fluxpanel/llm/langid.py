@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import discard, stored
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Unseen words whose scores a worker remembers before it starts anew.
@@ -97,9 +99,9 @@ def fit(
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     part = sample(rows.where(F.col("text").isNotNull()), "id", "lang", max_docs, max_languages)
-    counts = (
+    counts = stored(
         part.select("text", "lang").mapInArrow(_count(orders, "text", "lang"), "lang string, n int, gram string, c long")
-        .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+        .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts"
     )
     each = max_entries // (len(orders) + 1)
     whole = counts.groupBy("lang", "n").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).toPandas()
@@ -108,6 +110,7 @@ def fit(
     top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
     kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= per_group).select("n", "gram").distinct()
     table = counts.join(F.broadcast(kept), ["n", "gram"], "left_semi").select("lang", "n", "gram", "c").toPandas()
+    discard(counts)
     index: dict = {}
     for n, gram in zip(table["n"], table["gram"]):
         index.setdefault(gram if n == 0 else (int(n), gram), len(index))
@@ -130,38 +133,39 @@ class Scorer:
         self.model, self.base = model, len(model.index)
         self.rows = np.zeros((self.base + MEMO, len(model.languages)))
         self.rows[: self.base] = model.scores
-        self.memo: dict[str, int] = {}
+        self.known = {w: i for w, i in model.index.items() if isinstance(w, str)}
+        self.at: dict[str, int] = dict(self.known)  # with the unseen words that are remembered
+        self.used = self.base
 
     def unseen(self, word: str) -> np.ndarray:
+        index = self.model.index
         for n in self.model.orders:
-            known = [i for g in grams(word, n) if (i := self.model.index.get((n, g))) is not None]
+            known = [i for g in grams(word, n) if (i := index.get((n, g))) is not None]
             if known:
-                return self.model.scores[known].mean(axis=0)
+                return np.add.reduce(self.model.scores[known]) / len(known)
         return np.zeros(len(self.model.languages))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words(text)) if text else None
         if not counts or not self.model.languages:
             return UNKNOWN, 0.0
-        index, memo = self.model.index, self.memo
-        if len(memo) + len(counts) > MEMO:
-            memo.clear()
-        total, at, weights = np.zeros(len(self.model.languages)), [], []
-        for word, c in counts.items():
-            i = index.get(word)
-            if i is None:
-                i = memo.get(word)
+        if self.used + len(counts) > len(self.rows):
+            self.at, self.used = dict(self.known), self.base
+        at = list(map(self.at.get, counts))
+        weights = list(counts.values())
+        total = np.zeros(len(self.model.languages))
+        if None in at:
+            for k, (i, word) in enumerate(zip(at, counts)):
                 if i is None:
                     vector = self.unseen(word)
-                    if len(word) > LONGEST_REMEMBERED or len(memo) >= MEMO:
-                        total += c * vector
+                    if len(word) > LONGEST_REMEMBERED or self.used >= len(self.rows):
+                        total += weights[k] * vector
+                        at[k] = weights[k] = 0
                         continue
-                    i = memo[word] = self.base + len(memo)
-                    self.rows[i] = vector
-            at.append(i)
-            weights.append(c)
-        if at:
-            total += np.asarray(weights, dtype=float) @ self.rows[at]
+                    self.rows[self.used] = vector
+                    at[k] = self.at[word] = self.used
+                    self.used += 1
+        total += np.asarray(weights, dtype=float) @ self.rows[at]
         best = int(np.argmax(total))  # of equal sums the first language in order
         return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
