@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, packing, secrets, simhash, urlfilter
+from . import exact_dedup, langid, licenses, mixing, packing, secrets, simhash, urlfilter, vectors
 from .util import documents, remainder
 
 
@@ -91,6 +91,44 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The tree over documents: the largest source is a crawl, the others are curated.
+MIX_LEVELS = {
+    "domain": F.when(F.col("source") == "src0", "crawl").otherwise("curated"),
+    "lang": F.col("lang"),
+    "source": F.col("source"),
+}
+#: Target weights by path prefix; what isn't named has weight 1 among its siblings.
+MIX_WEIGHTS = {
+    ("crawl",): 0.4, ("curated",): 0.6,
+    ("crawl", "en"): 0.7, ("crawl", "de"): 0.1, ("crawl", "es"): 0.1, ("crawl", "fr"): 0.1,
+    ("curated", "en"): 0.55, ("curated", "de"): 0.15, ("curated", "es"): 0.15, ("curated", "fr"): 0.15,
+}
+MIX = {"fraction": 0.8, "epochs": 2, "seed": 42}
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), MIX_LEVELS, MIX_WEIGHTS, **MIX)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum([p[1] * p[2] FOR p IN list_zip(a.q, b.q)])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), out="found").drop("text")
     return found.select("doc_id", *[c.alias(name) for name, c in secrets.summary("found").items()])
@@ -112,7 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_top_k": op8_top_k,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_top_k": OP8_SQL}
