@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, mixing, packing, secrets, simhash, urlfilter, vectors
+from . import exact_dedup, langid, licenses, lm, mixing, packing, secrets, simhash, urlfilter, vectors
 from .util import documents, remainder
 
 
@@ -129,6 +129,12 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model, counts = lm.train(docs.where(remainder("doc_id", 5) != 1))
+    return lm.score(docs, model, counts, extra={"held_out": remainder("doc_id", 5) == 1})
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), out="found").drop("text")
     return found.select("doc_id", *[c.alias(name) for name, c in secrets.summary("found").items()])
@@ -152,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_top_k": op8_top_k,
+    "op9_lm_score": op9_lm_score,
     "op10_secret_scan": op10_secret_scan,
 }
 
