@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, licenses, lm, mixing, packing, secrets, simhash, urlfilter, vectors
@@ -91,12 +91,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The tree over documents: the largest source is a crawl, the others are curated.
-MIX_LEVELS = {
-    "domain": F.when(F.col("source") == "src0", "crawl").otherwise("curated"),
-    "lang": F.col("lang"),
-    "source": F.col("source"),
-}
+def mix_levels() -> dict[str, Column]:
+    """The tree over documents: the largest source is a crawl, the others are curated."""
+    domain = F.when(F.col("source") == "src0", "crawl").otherwise("curated")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 #: Target weights by path prefix; what isn't named has weight 1 among its siblings.
 MIX_WEIGHTS = {
     ("crawl",): 0.4, ("curated",): 0.6,
@@ -107,7 +107,7 @@ MIX = {"fraction": 0.8, "epochs": 2, "seed": 42}
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir), MIX_LEVELS, MIX_WEIGHTS, **MIX)
+    return mixing.mix(documents(spark, sf_dir), mix_levels(), MIX_WEIGHTS, **MIX)
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
