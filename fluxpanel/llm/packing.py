@@ -110,23 +110,35 @@ class Encoder:
     def many(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [self.plain(t) if t else b"" for t in texts]
-        cut = [_SPACE.split(self.loosened(t)) if t else [] for t in texts]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        memo, long_ones = self.memo, {}
-        new = []
-        for word in set().union(*cut).difference(memo):
-            if self.folds and len(memo) < MEMO and len(word) <= LONGEST_REMEMBERED and (found := self.bare(word)) is not None:
-                memo[word] = found
-            else:
-                new.append(word)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (memo if len(word) <= LONGEST_REMEMBERED and len(memo) < MEMO else long_ones)[word] = ids_bytes(found.ids)
-        if long_ones:
-            return [b"".join([memo[w] if w in memo else long_ones[w] for w in words]) for words in cut]
-        return [b"".join(map(memo.__getitem__, words)) for words in cut]
+        get, out = self.memo.get, []
+        for text in texts:
+            words = self.split(text) if text else []
+            found = list(map(get, words))
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        found[i] = self.word(words[i])
+            out.append(b"".join(found))
+        return out
+
+    def word(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.bare(word) if self.folds else None
+            if ids is None:
+                ids = self.plain(word) if word else b""
+            if len(word) <= LONGEST_REMEMBERED:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = ids
+        return ids
+
+    def split(self, text: str) -> list[str]:
+        """Runs between white space; Python's own splitting also takes four separators that aren't."""
+        text = self.loosened(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return _SPACE.split(text)
+        return text.split()
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
@@ -134,8 +146,8 @@ class Encoder:
 
 #: Unicode white space that no normal form changes or joins with what stands beside it.
 _SPACE = re.compile(r"[ \n\t\r\x0b\x0c]+")
-#: Where a mark follows a letter: the end of a run of letters for the tokenizer, too.
-_MARK = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])")
+#: Where a mark (no apostrophe) follows a letter: the end of a run of letters for the tokenizer, too.
+_MARK = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])")
 _ENCODERS: dict[str, Encoder] = {}
 
 
