@@ -1,10 +1,10 @@
 """Exact deduplication with a heavy-hitter split, in DataFrame operations only.
 
-A frequent-items sketch of the Misra-Gries family (``approx_top_k``: every digest held
-by more than rows/(0.75 * ``tracked``) of the rows is in it) names candidates; an exact
-count verifies them.  The verified winners, at most ``max_winners`` rows, are broadcast
-and resolve their copies map-side; the remaining digests, none of them frequent, take
-one ordinary shuffle.
+``MERGERS`` frequent-items sketches of the Misra-Gries family (``approx_top_k``: every
+digest with more than 1/(0.75 * ``tracked``) of a sketch's rows is in it) name candidates;
+an exact count verifies them.  The verified winners, at most ``max_winners * MERGERS``
+rows, are broadcast and resolve their copies map-side; the remaining digests, none of
+them frequent, take one ordinary shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .util import WHITESPACE, stored
 
+#: Tasks that merge the sketches of the input's tasks.
+MERGERS = 64
+
 
 def digest(text: Column) -> Column:
     """SHA-256 of the text with each run of ASCII white space made one space."""
@@ -21,16 +24,17 @@ def digest(text: Column) -> Column:
 
 
 def winners(digests: DataFrame, max_winners: int, tracked: int, least: int) -> DataFrame:
-    """Verified frequent digests: key, keep_id, group_size; at most ``max_winners`` rows."""
-    found = digests.agg(F.expr(f"approx_top_k(key, {max_winners}, {tracked})").alias("top"))
-    names = found.select(F.explode("top").alias("t")).select(F.col("t.item").alias("key"))
+    """Verified frequent digests of ``least`` rows or more: key, keep_id, group_size."""
+    top = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m")).agg(F.expr(f"approx_top_k(key, {max_winners}, {tracked})").alias("top"))
+    # An estimate is never below the count, and a digest of ``least`` rows has its share of them in some sketch.
+    names = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= -(-least // MERGERS)).select(F.col("t.item").alias("key")).distinct()
     return (
         digests.join(F.broadcast(names), "key", "left_semi").groupBy("key")
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where(F.col("group_size") >= least)
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_winners: int = 1000, tracked: int = 20_000, least: int = 50) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_winners: int = 1000, tracked: int = 4000, least: int = 128) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty.  The smallest id of equal texts stays; null ids are never
