@@ -82,16 +82,17 @@ def group_profile(df: DataFrame, category: str, values: Sequence[str]) -> DataFr
     )
 
 
-#: Which targets a pair of flows is made of, for telling arithmetic from behaviour.
-PARTS = {
-    "total_purchase_amt": ("direct_purchase_amt", "share_amt", "purchase_bal_amt", "purchase_bank_amt"), "direct_purchase_amt": ("purchase_bal_amt", "purchase_bank_amt"),
-    "total_redeem_amt": ("consume_amt", "transfer_amt", "tftobal_amt", "tftocard_amt", "category1", "category2"), "consume_amt": ("category1", "category2"), "transfer_amt": ("tftobal_amt", "tftocard_amt"),
-}
+#: Pairs of which one is a component of the other, and the stocks among the targets.
+MECHANICAL = (
+    ("total_purchase_amt", "direct_purchase_amt"), ("direct_purchase_amt", "purchase_bal_amt"), ("direct_purchase_amt", "purchase_bank_amt"), ("total_purchase_amt", "share_amt"),
+    ("total_redeem_amt", "consume_amt"), ("total_redeem_amt", "transfer_amt"), ("transfer_amt", "tftobal_amt"), ("transfer_amt", "tftocard_amt"),
+)
+STOCKS = ("tBalance", "yBalance")
 
 
 def pair_type(a: str, b: str) -> Column:
-    """mechanical (one is part of the other), balance (both touch the balance account) or behavioural."""
-    mechanical = [(x, y) for x, parts in PARTS.items() for y in parts]
-    both = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
-    balance = {"|".join(sorted(p)) for p in (("purchase_bal_amt", "tftobal_amt"), ("share_amt", "tftobal_amt"), ("purchase_bal_amt", "share_amt"))}
-    return F.when(both.isin(*["|".join(sorted(p)) for p in mechanical]), "mechanical").when(both.isin(*balance), "balance").otherwise("behavioural")
+    """Whether two targets go together by arithmetic, through the balance, or by behaviour."""
+    key = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+    mechanical = key.isin(*["|".join(sorted(p)) for p in MECHANICAL])
+    stock = F.col(a).isin(*STOCKS) | F.col(b).isin(*STOCKS)
+    return F.when(mechanical, "mechanical_component_relationship").when(stock, "balance_behavior_relationship").otherwise("behavioral_flow_relationship")

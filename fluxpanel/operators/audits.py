@@ -74,7 +74,34 @@ def domain_audit(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return one.unpivot([], list(rules), "rule", "violations").withColumn("status", status("violations"))
 
 
+def business_domains(panel: DataFrame, profile: DataFrame, rates: DataFrame, cities: int = 7, signs: int = 12, rate_columns: Sequence[str] = ()) -> DataFrame:
+    """Six domain constraints over panel, profile and rates: violations, severity and status."""
+    amounts = [c for c in panel.columns if c not in ("user_id", "report_date")]
+    p = panel.agg(F.count_if(F.col("user_id") <= 0).alias("a"), sum((F.count_if(F.col(c) < 0) for c in amounts[1:]), F.count_if(F.col(amounts[0]) < 0)).alias("b"))
+    exact = lambda c, n: F.when((F.count_if(F.col(c).isNull()) == 0) & (F.countDistinct(c) == n), 0).otherwise(1)
+    f = profile.agg(F.count_if(~F.coalesce(F.col("sex").isin(0, 1), F.lit(False))).alias("c"), exact("city", cities).alias("d"), exact("constellation", signs).alias("e"))
+    rate_columns = list(rate_columns or [c for c in rates.columns if c != "report_date"])
+    bad = [F.count_if(~finite(c) | (F.col(c) <= 0)) for c in rate_columns]
+    r = rates.agg(sum(bad[1:], bad[0]).alias("f"))
+    names = (
+        ("a", "user_id positive integer", "CRITICAL"), ("b", "source amounts non-negative", "HIGH"), ("c", "sex domain subset of {0,1}", "MEDIUM"),
+        ("d", f"city has exactly {cities} non-null codes", "MEDIUM"), ("e", f"constellation has exactly {signs} non-null values", "MEDIUM"), ("f", "rates finite and positive", "HIGH"),
+    )
+    one = p.crossJoin(f).crossJoin(r)  # a row each
+    long = one.select(_rows([F.struct(F.lit(n).alias("constraint"), F.col(c).cast("long").alias("violation_count"), F.lit(s).alias("severity")) for c, n, s in names]))
+    return long.withColumn("status", status("violation_count"))
+
+
+def structural_nulls(panel: DataFrame, columns: Sequence[str] = ("category1", "category2", "category3", "category4"), amount: str = "consume_amt") -> DataFrame:
+    """Rows whose columns are all null, only partly null, and null against ``amount`` = 0."""
+    all_null = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    out = panel.agg(F.count_if(all_null).alias("all_null_rows"), F.count_if(any_null & ~all_null).alias("partial_null_rows"), F.count_if(all_null != (F.col(amount) == 0)).alias("disagreeing_rows"))
+    return out.withColumn("status", status(F.col("partial_null_rows") + F.col("disagreeing_rows")))
+
+
 def panel_rules() -> dict[str, Column]:
+    """Row rules of the panel for ``domain_audit``."""
     amounts = ("tBalance", "yBalance", "total_purchase_amt", "total_redeem_amt", "consume_amt", "transfer_amt")
     cats = [F.col(f"category{i}") for i in range(1, 5)]
     null_all = reduce(lambda a, b: a & b, [c.isNull() for c in cats])
@@ -94,25 +121,30 @@ def reconcile(source: DataFrame, derived: DataFrame, measures: Sequence[str]) ->
     return out.withColumn("status", status(F.abs("delta")))
 
 
-def coverage(panel: DataFrame, profile: DataFrame, user: str = "user_id") -> DataFrame:
-    """Cross-table coverage: users on either side, rows matched, join inflation and total drift."""
-    users = panel.select(user).distinct()
-    joined = join_checked(panel, profile.select(user), [user], "left", "many_to_one", "matched")
-    part = joined.agg(F.count("*").alias("joined_rows"), F.count_if("matched").alias("matched_rows"), F.sum("total_purchase_amt").alias("joined_purchase"))
-    base = panel.agg(F.count("*").alias("rows"), F.sum("total_purchase_amt").alias("purchase"))
-    gaps = [
-        users.agg(F.count("*").alias("panel_users")), profile.select(user).distinct().agg(F.count("*").alias("profile_users")),
-        users.join(profile, user, "left_anti").agg(F.count("*").alias("users_without_profile")),
-        profile.select(user).distinct().join(users, user, "left_anti").agg(F.count("*").alias("profiles_without_rows")),
-    ]
-    one = reduce(lambda a, b: a.crossJoin(b), [part, base, *gaps])  # one row each
-    one = one.select(
-        "rows", "joined_rows", "matched_rows", (F.col("joined_rows") - F.col("rows")).alias("join_inflation"), (F.col("joined_purchase") - F.col("purchase")).alias("purchase_drift"),
-        "panel_users", "profile_users", "users_without_profile", "profiles_without_rows",
+def coverage(panel: DataFrame, profile: DataFrame, yields: DataFrame, observed: DataFrame, dense: DataFrame) -> DataFrame:
+    """Nine checks between the panel and its dimensions: keys on one side only, join inflation and total drift.
+
+    ``yields``, ``observed`` and ``dense`` have report_date.  Counts are informative where a gap
+    is expected (days without an observed rate), else they must be zero.
+    """
+    users, days = panel.select("user_id").distinct(), panel.select("report_date").distinct()
+    joined = join_checked(panel.select("user_id", "total_purchase_amt", "total_redeem_amt"), profile.select("user_id"), ["user_id"], "left", "many_to_one", "matched")
+    after = joined.agg(F.count("*").alias("n"), F.count_if(~F.col("matched")).alias("lost"), F.sum("total_purchase_amt").alias("p"), F.sum("total_redeem_amt").alias("r"))
+    base = panel.agg(F.count("*").alias("n0"), F.sum("total_purchase_amt").alias("p0"), F.sum("total_redeem_amt").alias("r0"))
+    drift = after.crossJoin(base).select(  # a row each
+        F.inline(F.array(*[F.struct(F.lit(n).alias("coverage_check"), v.cast("long").alias("count")) for n, v in (
+            ("profile join unmatched or row inflation", F.col("lost") + F.abs(F.col("n") - F.col("n0"))), ("profile join purchase total drift", F.abs(F.col("p") - F.col("p0"))),
+            ("profile join redeem total drift", F.abs(F.col("r") - F.col("r0"))))]))
     )
-    strict = ("join_inflation", "purchase_drift", "users_without_profile")
-    long = one.unpivot([], one.columns, "check", "value")
-    return long.withColumn("status", F.when(F.col("check").isin(*strict), status(F.abs("value"))).when(F.col("check") == "profiles_without_rows", status(F.lit(0), "value")).otherwise("INFO"))
+    gaps = (
+        ("balance users missing profile", users, profile, "user_id"), ("profile users absent from balance", profile, users, "user_id"),
+        ("balance dates missing fund yield", days, yields, "report_date"), ("fund yield dates absent from balance", yields, days, "report_date"),
+        ("balance dates without observed rate", days, observed, "report_date"), ("balance dates missing dense rate", days, dense, "report_date"),
+    )
+    counted = [a.select(k).distinct().join(b.select(k).distinct(), k, "left_anti").agg(F.count("*").alias("count")).select(F.lit(n).alias("coverage_check"), "count") for n, a, b, k in gaps]
+    out = reduce(DataFrame.unionByName, [drift, *counted])
+    informative = F.col("coverage_check") == "balance dates without observed rate"
+    return out.withColumn("status", F.when(informative, "INFO").when(F.col("count") != 0, "FAIL").otherwise("PASS"))
 
 
 def leakage_audit(panel: DataFrame, windows: DataFrame) -> DataFrame:
@@ -128,36 +160,41 @@ def leakage_audit(panel: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-#: How serious a failed check is.
-SEVERITY = {"identity": "critical", "key": "critical", "domain": "high", "coverage": "medium", "leakage": "critical"}
+#: The checks of the summary, their dimension and how serious a failure is.
+CHECKS = {
+    "types": ("schema", "CRITICAL"), "domain_constraints": ("validity", "HIGH"), "primary_keys": ("keys", "CRITICAL"), "structural_nulls": ("missingness", "INFO"),
+    "negative_amounts": ("validity", "HIGH"), "additive_relationships": ("consistency", "MEDIUM"), "balance_continuity": ("consistency", "HIGH"), "calendar": ("completeness", "CRITICAL"),
+    "anomalous_dates": ("anomaly", "MEDIUM"), "extreme_users": ("distribution", "INFO"), "cross_table_coverage": ("coverage", "HIGH"), "time_leakage": ("leakage", "CRITICAL"),
+    "derived_reconciliation": ("reconciliation", "HIGH"),
+}
+#: Checks whose findings are looked at, not failed.
+SOFT = ("additive_relationships", "balance_continuity", "anomalous_dates", "extreme_users")
 
 
-def audit_summary(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """Checks, failures, reviews, overall status and severity of each audit; ``parts`` have a status column."""
-    rows = [df.select(F.lit(name).alias("audit"), "status") for name, df in parts.items()]
-    every = reduce(DataFrame.unionByName, rows)
-    out = every.groupBy("audit").agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.count_if(F.col("status") == "REVIEW").alias("reviews"))
-    from ..functions import looked_up
+def audit_summary(findings: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per check: dimension, status, number of findings and severity if failed.
 
-    return out.withColumns({"status": status("failed", "reviews"), "severity": looked_up("audit", SEVERITY, "low")})
+    Each of ``findings`` is one row with one number, named as the check.  Zero findings pass;
+    others fail, or ask for review where the check is a soft one.
+    """
+    rows = [df.select(F.lit(n).alias("check_id"), F.lit(CHECKS[n][0]).alias("dimension"), F.lit(CHECKS[n][1]).alias("severity_if_failed"), F.col(df.columns[0]).cast("long").alias("metric_value")) for n, df in findings.items()]
+    every = reduce(DataFrame.unionByName, rows)
+    return every.withColumn("status", F.when(F.col("metric_value") == 0, "PASS").when(F.col("check_id").isin(*SOFT), "REVIEW").otherwise("FAIL"))
 
 
 def quality_summary(panel: DataFrame) -> DataFrame:
-    """Checks of the panel as (check, value, unit) rows; one pass, then long form."""
-    one = panel.agg(
-        F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"), F.countDistinct("report_date").alias("days"),
-        F.min("report_date").cast("string").alias("first_day"), F.max("report_date").cast("string").alias("last_day"),
-        (F.datediff(F.max("report_date"), F.min("report_date")) + 1 - F.countDistinct("report_date")).alias("missing_days"),
-        (F.count("*") - F.countDistinct("user_id", "report_date")).alias("duplicate_keys"), F.count_if(F.col("category1").isNull()).alias("null_category1"),
-        F.count_if((F.col("total_purchase_amt") < 0) | (F.col("total_redeem_amt") < 0)).alias("negative_flows"),
-        F.count_if(F.col("total_purchase_amt") == 0).alias("zero_purchase_rows"), F.count_if(F.col("total_redeem_amt") == 0).alias("zero_redeem_rows"),
-        F.sum("total_purchase_amt").alias("purchase_total"), F.sum("total_redeem_amt").alias("redeem_total"), F.max("tBalance").alias("largest_balance"),
-    )
-    units = {"first_day": "date", "last_day": "date", "purchase_total": "cents", "redeem_total": "cents", "largest_balance": "cents", "users": "users", "days": "days", "missing_days": "days"}
-    text = one.select(*[F.col(c).cast("string").alias(c) for c in one.columns])
-    from ..functions import looked_up
-
-    return text.unpivot([], one.columns, "check", "value").withColumn("unit", looked_up("check", units, "rows"))
+    """Fourteen facts of the panel as (check, value, unit) rows; one pass, then long form."""
+    distinct, low, high = F.countDistinct("report_date"), F.min("report_date"), F.max("report_date")
+    null = lambda c: F.count_if(F.col(c).isNull())
+    facts = {
+        "rows": F.count("*"), "columns_loaded": F.lit(len(panel.columns)), "unique_users": F.countDistinct("user_id"), "date_min": low, "date_max": high, "distinct_dates": distinct,
+        "expected_calendar_dates": F.datediff(high, low) + 1, "null_user_id": null("user_id"), "null_report_date": null("report_date"), "null_purchase": null("total_purchase_amt"),
+        "null_redeem": null("total_redeem_amt"), "negative_purchase_rows": F.count_if(F.col("total_purchase_amt") < 0), "negative_redeem_rows": F.count_if(F.col("total_redeem_amt") < 0),
+    }
+    one = panel.agg(*[v.cast("string").alias(n) for n, v in facts.items()])
+    twice = key_audit(panel, ["user_id", "report_date"], "panel").select((F.col("rows") - F.col("distinct_keys")).cast("string").alias("duplicate_user_date_rows"))
+    wide = one.crossJoin(twice)  # a row each
+    return wide.unpivot([], wide.columns, "check", "value").withColumn("unit", F.when(F.col("check").startswith("date_"), "date").otherwise("count"))
 
 
 def submission_audit(table: DataFrame, start: str, end: str) -> DataFrame:

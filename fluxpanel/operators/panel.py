@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import all_present, filled, log1p, positive, safe_divide
+from ..functions import all_present, filled, joined_where, log1p, positive, safe_divide
 from .joins import join_checked
 
 CATEGORIES = tuple(f"category{i}" for i in range(1, 5))
@@ -17,10 +17,12 @@ FLOWS = {
     "redeem": "total_redeem_amt", "consume": "consume_amt", "transfer": "transfer_amt",
 }
 EVENT_FLOWS = ("direct", "redeem", "consume", "transfer")
-TARGETS = (
-    "total_purchase_amt", "direct_purchase_amt", "purchase_bal_amt", "purchase_bank_amt", "share_amt", "total_redeem_amt",
-    "consume_amt", "transfer_amt", "tftobal_amt", "tftocard_amt", "category1", "category2",
+FLOW_TARGETS = (
+    "total_purchase_amt", "direct_purchase_amt", "purchase_bal_amt", "purchase_bank_amt", "share_amt", "total_redeem_amt", "consume_amt",
+    "transfer_amt", "tftobal_amt", "tftocard_amt",
 )
+STOCK_TARGETS = ("tBalance", "yBalance")
+TARGETS = FLOW_TARGETS + STOCK_TARGETS
 
 
 def typed(panel: DataFrame) -> DataFrame:
@@ -144,47 +146,64 @@ def continuity(panel: DataFrame) -> DataFrame:
     )
 
 
-def extreme_users(panel: DataFrame, top: int = 50) -> DataFrame:
-    """Users in the top ``top`` of any of five metrics, with those and their percentile rank by volume.
+EXTREME_METRICS = ("purchase_total", "redeem_total", "purchase_daily_max", "redeem_daily_max", "balance_max")
 
-    Ties go to the smaller id.  Each top list is a bounded partial sort; the percentile is
-    counted for those users alone, so all users are never sorted.
+
+def user_extremes(panel: DataFrame) -> DataFrame:
+    """Eight measures of each user."""
+    return panel.groupBy("user_id").agg(
+        F.count("*").alias("observed_days"), F.count_if(F.col("total_purchase_amt") > 0).alias("purchase_days"), F.count_if(F.col("total_redeem_amt") > 0).alias("redeem_days"),
+        F.sum("total_purchase_amt").alias("purchase_total"), F.sum("total_redeem_amt").alias("redeem_total"), F.max("total_purchase_amt").alias("purchase_daily_max"),
+        F.max("total_redeem_amt").alias("redeem_daily_max"), F.max("tBalance").alias("balance_max"),
+    )
+
+
+def extreme_users(panel: DataFrame, top: int = 50, rank_from: float = 0.999, metrics: Sequence[str] = EXTREME_METRICS) -> DataFrame:
+    """Users in the ``top`` of any metric, their percentile rank in each, and where it is ``rank_from`` or more.
+
+    Ties of the top go to the smaller id, ranks count ties as the highest.  Each top list is a
+    bounded partial sort; percentiles are counted for the listed users alone, so all users
+    are never sorted.
     """
-    users = panel.groupBy("user_id").agg(
-        F.count("*").alias("rows"), F.sum("total_purchase_amt").alias("purchase"), F.sum("total_redeem_amt").alias("redeem"), F.max("tBalance").alias("max_balance"),
-        F.max("total_purchase_amt").alias("max_purchase"), F.max("total_redeem_amt").alias("max_redeem"),
-    ).withColumn("volume", F.col("purchase") + F.col("redeem"))
-    metrics = ("purchase", "redeem", "max_balance", "max_purchase", "max_redeem")
+    users = user_extremes(panel)
     marked = None
     for m in metrics:
-        part = users.orderBy(F.desc(m), "user_id").limit(top).select("user_id", F.lit(m).alias("metric"))
+        part = users.orderBy(F.desc(m), "user_id").limit(top).select("user_id")
         marked = part if marked is None else marked.unionByName(part)
-    dims = marked.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("extreme_dimensions"))
-    few = users.join(F.broadcast(dims), "user_id")  # at most five lists of ``top``
-    bounds = few.select(F.col("user_id").alias("of"), F.col("volume").alias("bound"))
-    below = users.select("volume").join(F.broadcast(bounds), F.col("volume") <= F.col("bound")).groupBy("of").agg(F.count("*").alias("below"))
-    n = users.agg(F.count("*").alias("n"))
-    return few.join(below, F.col("user_id") == F.col("of")).crossJoin(F.broadcast(n)).withColumn("volume_percentile", F.col("below") / F.col("n")).drop("of", "below", "n")
-
-
-def concentration(panel: DataFrame, measure: str = "total_purchase_amt") -> DataFrame:
-    """Share of the total that the largest 1, 10, 0.1 %, 1 %, 5 % and 10 % of users hold."""
-    users = panel.groupBy("user_id").agg(F.sum(measure).alias("v"))
-    size = users.agg(F.count("*").alias("n"), F.sum("v").alias("total"))
-    shares = ((0.001, "top_0.1pct"), (0.01, "top_1pct"), (0.05, "top_5pct"), (0.1, "top_10pct"))
-    groups = [F.struct(F.lit("top_1").alias("grp"), F.lit(1).cast("long").alias("k")), F.struct(F.lit("top_10").alias("grp"), F.lit(10).cast("long").alias("k"))]
-    groups += [F.struct(F.lit(name).alias("grp"), F.greatest(F.lit(1), F.ceil(F.col("n") * p)).cast("long").alias("k")) for p, name in shares]
-    table = size.select("n", "total", F.inline(F.array(*groups)))
+    few = users.join(F.broadcast(marked.distinct()), "user_id")  # a list of ``top`` for each metric at most
+    bounds = few.select("user_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("bound")) for m in metrics])))
+    values = users.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics]))).groupBy("metric", "v").agg(F.count("*").alias("n"))
+    below = values.join(F.broadcast(bounds), ["metric"]).where("v <= bound").groupBy("user_id").pivot("metric", list(metrics)).agg(F.sum("n"))
+    size = users.agg(F.count("*").alias("n"))
+    ranked = few.join(below.select("user_id", *[F.col(m).alias(f"{m}_pct_rank") for m in metrics]), "user_id").crossJoin(F.broadcast(size))
+    ranked = ranked.withColumns({f"{m}_pct_rank": F.col(f"{m}_pct_rank") / F.col("n") for m in metrics}).drop("n")
+    return ranked.withColumn("extreme_dimensions", joined_where([(F.col(f"{m}_pct_rank") >= rank_from, m) for m in metrics]))
+
+
+#: Names and shares of the concentration groups.
+SHARES = ((0.001, "top_0_1_percent_users"), (0.01, "top_1_percent_users"), (0.05, "top_5_percent_users"), (0.1, "top_10_percent_users"))
+
+
+def concentration(panel: DataFrame, metrics: Sequence[str] = ("purchase_total", "redeem_total")) -> DataFrame:
+    """Of each metric: the share of its total that the largest 1, 10, 0.1 %, 1 %, 5 % and 10 % of users hold."""
+    wide = user_extremes(panel)
+    users = wide.select("user_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])))
+    size = users.groupBy("metric").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    groups = [F.struct(F.lit(g).alias("group"), F.lit(k).cast("long").alias("k")) for g, k in (("top_1_user", 1), ("top_10_users", 10))]
+    groups += [F.struct(F.lit(g).alias("group"), F.greatest(F.lit(1), F.ceil(F.col("n") * p)).cast("long").alias("k")) for p, g in SHARES]
+    table = size.select("metric", "n", "total", F.inline(F.array(*groups)))
     # Users are ranked within ranges of value; sums over the ranges above give the rest.
     users = users.withColumn("range", F.floor(F.log2(F.greatest("v", F.lit(0)) + 1.0) * 64).cast("int"))
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = users.groupBy("range").agg(F.count("*").alias("rn_n"), F.sum("v").alias("rn_v"))  # 64 for each doubling
+    above = Window.partitionBy("metric").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = users.groupBy("metric", "range").agg(F.count("*").alias("rn_n"), F.sum("v").alias("rn_v"))  # 64 for each doubling
     ranges = ranges.withColumns({"n_above": F.coalesce(F.sum("rn_n").over(above), F.lit(0)), "v_above": F.coalesce(F.sum("rn_v").over(above), F.lit(0))})
-    edges = ranges.join(F.broadcast(table), (F.col("n_above") < F.col("k")) & (F.col("k") <= F.col("n_above") + F.col("rn_n")))
-    ranked = users.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy(F.desc("v"), "user_id")))
-    inside = ranked.join(F.broadcast(edges), "range").where(F.col("rn") + F.col("n_above") <= F.col("k"))
-    held = inside.groupBy("grp").agg(F.first("k").alias("users"), (F.first("v_above") + F.sum("v")).alias("amount"), F.first("total").alias("total"))
-    return held.select("grp", "users", "amount", safe_divide("amount", "total").alias("share"))
+    table = table.withColumn("edge", F.least("k", "n"))
+    edges = ranges.alias("r").join(F.broadcast(table).alias("t"), (F.col("r.metric") == F.col("t.metric")) & (F.col("n_above") < F.col("edge")) & (F.col("edge") <= F.col("n_above") + F.col("rn_n")))
+    edges = edges.select("r.metric", "range", "group", "k", "total", "n_above", "v_above")
+    ranked = users.withColumn("rn", F.row_number().over(Window.partitionBy("metric", "range").orderBy(F.desc("v"), "user_id")))
+    inside = ranked.join(F.broadcast(edges), ["metric", "range"]).where(F.col("rn") + F.col("n_above") <= F.col("k"))
+    held = inside.groupBy("metric", "group").agg(F.first("k").alias("user_count"), (F.first("v_above") + F.sum("v")).alias("amount"), F.first("total").alias("total"))
+    return held.select("metric", "group", "user_count", "amount", safe_divide("amount", "total").alias("share"))
 
 
 def daily_quality(panel: DataFrame) -> DataFrame:

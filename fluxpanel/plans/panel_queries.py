@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import banded, log1p, looked_up, positive
-from ..operators import association, audits, joins, panel as ops, segments
-from ..sources.tables import PANEL_SQL, PANEL_WINDOWS, PROFILE_SQL, panel, profile, windows, windows_sql
+from ..operators import association, audits, joins, panel as ops, segments, series
+from ..sources.tables import PANEL_SQL, PANEL_WINDOWS, PROFILE_SQL, RATES_SQL, SERIES, panel, profile, rates, windows, windows_sql
 from .registry import query
 
 P = f"WITH {PANEL_SQL}"
@@ -73,19 +73,19 @@ def user_lag(spark, sf):
     return ops.user_lag(panel(spark, sf)).select("user_id", "report_date", "previous_balance", "gap_days")
 
 
-@query(f"""{P}, u AS (SELECT user_id, count(*) AS rows, sum(total_purchase_amt)::BIGINT AS purchase, sum(total_redeem_amt)::BIGINT AS redeem, max(tBalance) AS max_balance, max(total_purchase_amt) AS max_purchase,
-  max(total_redeem_amt) AS max_redeem, (sum(total_purchase_amt) + sum(total_redeem_amt))::BIGINT AS volume FROM panel GROUP BY 1),
-c AS (SELECT *, cume_dist() OVER (ORDER BY volume) AS volume_percentile FROM u),
-t AS ({" UNION ALL ".join(f"(SELECT user_id, '{m}' AS metric FROM u ORDER BY {m} DESC, user_id LIMIT 50)" for m in ("purchase", "redeem", "max_balance", "max_purchase", "max_redeem"))})
-SELECT c.*, d.extreme_dimensions FROM c JOIN (SELECT user_id, string_agg(metric, ',' ORDER BY metric) AS extreme_dimensions FROM t GROUP BY 1) d USING (user_id)""", "volume_percentile")
+_USERS = """u AS (SELECT user_id, count(*) AS observed_days, count(*) FILTER (total_purchase_amt > 0) AS purchase_days, count(*) FILTER (total_redeem_amt > 0) AS redeem_days, sum(total_purchase_amt)::BIGINT AS purchase_total,
+  sum(total_redeem_amt)::BIGINT AS redeem_total, max(total_purchase_amt) AS purchase_daily_max, max(total_redeem_amt) AS redeem_daily_max, max(tBalance) AS balance_max FROM panel GROUP BY 1)"""
+@query(f"""{P}, {_USERS}, c AS (SELECT *, {", ".join(f"cume_dist() OVER (ORDER BY {m}) AS {m}_pct_rank" for m in ops.EXTREME_METRICS)} FROM u),
+t AS ({" UNION ".join(f"(SELECT user_id FROM u ORDER BY {m} DESC, user_id LIMIT 50)" for m in ops.EXTREME_METRICS)})
+SELECT c.*, concat_ws(',', {", ".join(f"CASE WHEN {m}_pct_rank >= 0.999 THEN '{m}' END" for m in ops.EXTREME_METRICS)}) AS extreme_dimensions FROM c SEMI JOIN t USING (user_id)""", " ".join(f"{m}_pct_rank" for m in ops.EXTREME_METRICS))
 def extreme_users(spark, sf):
     return ops.extreme_users(panel(spark, sf))
 
 
-@query(f"""{P}, u AS (SELECT user_id, sum(total_purchase_amt) AS v FROM panel GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY v DESC, user_id) AS rn FROM u),
-n AS (SELECT count(*) AS n, sum(v) AS total FROM u), g AS (SELECT unnest(['top_1', 'top_10', 'top_0.1pct', 'top_1pct', 'top_5pct', 'top_10pct']) AS grp, unnest([0.0, 0.0, 0.001, 0.01, 0.05, 0.1]) AS p, unnest([1, 10, 0, 0, 0, 0]) AS fixed),
-k AS (SELECT grp, CASE WHEN fixed > 0 THEN fixed ELSE greatest(1, CAST(ceil(n * p::DOUBLE) AS BIGINT)) END AS k, total FROM g, n)
-SELECT grp, k AS users, sum(v)::BIGINT AS amount, sum(v)::DOUBLE / any_value(total) AS share FROM k JOIN r ON rn <= k GROUP BY 1, 2""", "share")
+@query(f"""{P}, {_USERS}, l AS (SELECT 'purchase_total' AS metric, user_id, purchase_total AS v FROM u UNION ALL SELECT 'redeem_total', user_id, redeem_total FROM u), r AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v DESC, user_id) AS rn FROM l),
+n AS (SELECT metric, count(*) AS n, sum(v) AS total FROM l GROUP BY 1), g AS (SELECT unnest(['top_1_user', 'top_10_users', {", ".join(f"'{g}'" for _, g in ops.SHARES)}]) AS "group", unnest([0.0, 0.0, 0.001, 0.01, 0.05, 0.1]) AS p, unnest([1, 10, 0, 0, 0, 0]) AS fixed),
+k AS (SELECT metric, "group", CASE WHEN fixed > 0 THEN fixed ELSE greatest(1, CAST(ceil(n * p::DOUBLE) AS BIGINT)) END AS k, total FROM g, n)
+SELECT k.metric, "group", k AS user_count, sum(v)::BIGINT AS amount, sum(v)::DOUBLE / any_value(total) AS share FROM k JOIN r ON r.metric = k.metric AND rn <= k GROUP BY 1, 2, 3""", "share")
 def user_concentration(spark, sf):
     return ops.concentration(panel(spark, sf))
 
@@ -128,15 +128,36 @@ def domain_audit(spark, sf):
     return audits.domain_audit(panel(spark, sf), audits.panel_rules())
 
 
-@query(f"""{PP}, j AS (SELECT p.*, f.user_id IS NOT NULL AS matched FROM panel p LEFT JOIN profile f USING (user_id)), u AS (SELECT DISTINCT user_id FROM panel),
-v AS (SELECT unnest(['rows', 'joined_rows', 'matched_rows', 'join_inflation', 'purchase_drift', 'panel_users', 'profile_users', 'users_without_profile', 'profiles_without_rows']) AS "check", unnest([
-  (SELECT count(*) FROM panel), (SELECT count(*) FROM j), (SELECT count(*) FROM j WHERE matched), (SELECT count(*) FROM j) - (SELECT count(*) FROM panel),
-  (SELECT sum(total_purchase_amt)::BIGINT FROM j) - (SELECT sum(total_purchase_amt)::BIGINT FROM panel), (SELECT count(*) FROM u), (SELECT count(DISTINCT user_id) FROM profile),
-  (SELECT count(*) FROM u ANTI JOIN profile USING (user_id)), (SELECT count(*) FROM profile ANTI JOIN u USING (user_id))]) AS value)
-SELECT "check", value::BIGINT AS value, CASE WHEN "check" IN ('join_inflation', 'purchase_drift', 'users_without_profile') THEN CASE WHEN abs(value) > 0 THEN 'FAIL' ELSE 'PASS' END
-  WHEN "check" = 'profiles_without_rows' THEN CASE WHEN value > 0 THEN 'REVIEW' ELSE 'PASS' END ELSE 'INFO' END AS status FROM v""")
+_AMOUNTS = ("tBalance", "yBalance", "total_purchase_amt", "direct_purchase_amt", "purchase_bal_amt", "purchase_bank_amt", "total_redeem_amt", "consume_amt", "transfer_amt", "tftobal_amt", "tftocard_amt", "share_amt", "category1", "category2", "category3", "category4")
+@query(f"""{PP}, {RATES_SQL}, v AS (SELECT unnest(['user_id positive integer', 'source amounts non-negative', 'sex domain subset of {{0,1}}', 'city has exactly 25 non-null codes', 'constellation has exactly 5 non-null values', 'rates finite and positive']) AS "constraint",
+  unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'MEDIUM', 'MEDIUM', 'HIGH']) AS severity, unnest([(SELECT count(*) FILTER (user_id <= 0) FROM panel), (SELECT {" + ".join(f"count(*) FILTER ({a} < 0)" for a in _AMOUNTS)} FROM panel), (SELECT count(*) FILTER (sex NOT IN (0, 1)) FROM profile),
+  (SELECT (count(DISTINCT city) <> 25)::BIGINT FROM profile), (SELECT (count(DISTINCT constellation) <> 5)::BIGINT FROM profile), (SELECT count(*) FILTER (rate_1d <= 0) + count(*) FILTER (rate_7d <= 0) FROM rates)]) AS violation_count)
+SELECT "constraint", violation_count::BIGINT AS violation_count, severity, CASE WHEN violation_count > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM v""")
+def business_domains(spark, sf):
+    return audits.business_domains(panel(spark, sf), profile(spark, sf), rates(spark, sf), cities=25, signs=5)
+
+
+@query(f"""{P}, c AS (SELECT count(*) FILTER (n = 4) AS all_null_rows, count(*) FILTER (n BETWEEN 1 AND 3) AS partial_null_rows, count(*) FILTER ((n = 4) <> (consume_amt = 0)) AS disagreeing_rows FROM (SELECT consume_amt, (category1 IS NULL)::INT + (category2 IS NULL)::INT + (category3 IS NULL)::INT + (category4 IS NULL)::INT AS n FROM panel))
+SELECT *, CASE WHEN partial_null_rows + disagreeing_rows > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM c""")
+def structural_nulls(spark, sf):
+    return audits.structural_nulls(panel(spark, sf))
+
+
+def _dated(spark, df):
+    """Dates of the rate table moved onto the panel's calendar."""
+    return df.select(F.date_add("report_date", 2556).alias("report_date"))
+
+
+_GAP = lambda a, b, k: f"(SELECT count(DISTINCT {k}) FROM {a} ANTI JOIN {b} USING ({k}))"
+@query(f"""{PP}, {RATES_SQL}, cal AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-03-03', INTERVAL 1 DAY)) AS DATE) + 2556 AS report_date), obs AS (SELECT report_date + 2556 AS report_date FROM rates), j AS (SELECT p.*, f.user_id IS NOT NULL AS matched FROM panel p LEFT JOIN profile f USING (user_id)),
+v AS (SELECT unnest(['balance users missing profile', 'profile users absent from balance', 'balance dates missing fund yield', 'fund yield dates absent from balance', 'balance dates without observed rate', 'balance dates missing dense rate', 'profile join unmatched or row inflation', 'profile join purchase total drift', 'profile join redeem total drift']) AS coverage_check,
+  unnest([{_GAP("panel", "profile", "user_id")}, {_GAP("profile", "panel", "user_id")}, {_GAP("panel", "cal", "report_date")}, {_GAP("cal", "panel", "report_date")}, {_GAP("panel", "obs", "report_date")}, {_GAP("panel", "cal", "report_date")},
+  (SELECT count(*) FILTER (NOT matched) FROM j) + abs((SELECT count(*) FROM j) - (SELECT count(*) FROM panel)), abs((SELECT sum(total_purchase_amt)::BIGINT FROM j) - (SELECT sum(total_purchase_amt)::BIGINT FROM panel)), abs((SELECT sum(total_redeem_amt)::BIGINT FROM j) - (SELECT sum(total_redeem_amt)::BIGINT FROM panel))]) AS "count")
+SELECT coverage_check, "count"::BIGINT AS "count", CASE WHEN coverage_check = 'balance dates without observed rate' THEN 'INFO' WHEN "count" <> 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM v""")
 def coverage_audit(spark, sf):
-    return audits.coverage(panel(spark, sf), profile(spark, sf))
+    r = rates(spark, sf)
+    cal = joins.calendar(r, "report_date", *SERIES)
+    return audits.coverage(panel(spark, sf), profile(spark, sf), _dated(spark, cal), _dated(spark, r), _dated(spark, cal))
 
 
 @query(f"""{PW}, h AS (SELECT id, max(report_date) AS last_history_day, count(*) AS history_rows FROM panel JOIN windows ON report_date < "start" GROUP BY 1),
@@ -148,12 +169,11 @@ def leakage_audit(spark, sf):
     return audits.leakage_audit(panel(spark, sf), windows(spark))
 
 
-@query(f"""{P}, v AS (SELECT count(*)::VARCHAR AS rows, count(DISTINCT user_id)::VARCHAR AS users, count(DISTINCT report_date)::VARCHAR AS days, min(report_date)::VARCHAR AS first_day, max(report_date)::VARCHAR AS last_day,
-  (date_diff('day', min(report_date), max(report_date)) + 1 - count(DISTINCT report_date))::VARCHAR AS missing_days, (count(*) - count(DISTINCT (user_id, report_date)))::VARCHAR AS duplicate_keys,
-  count(*) FILTER (category1 IS NULL)::VARCHAR AS null_category1, count(*) FILTER (total_purchase_amt < 0 OR total_redeem_amt < 0)::VARCHAR AS negative_flows, count(*) FILTER (total_purchase_amt = 0)::VARCHAR AS zero_purchase_rows,
-  count(*) FILTER (total_redeem_amt = 0)::VARCHAR AS zero_redeem_rows, sum(total_purchase_amt)::VARCHAR AS purchase_total, sum(total_redeem_amt)::VARCHAR AS redeem_total, max(tBalance)::VARCHAR AS largest_balance FROM panel)
-SELECT "check", value, CASE WHEN "check" IN ('first_day', 'last_day') THEN 'date' WHEN "check" IN ('purchase_total', 'redeem_total', 'largest_balance') THEN 'cents' WHEN "check" = 'users' THEN 'users'
-  WHEN "check" IN ('days', 'missing_days') THEN 'days' ELSE 'rows' END AS unit FROM v UNPIVOT (value FOR "check" IN (COLUMNS(*)))""")
+@query(f"""{P}, v AS (SELECT count(*)::VARCHAR AS rows, '18' AS columns_loaded, count(DISTINCT user_id)::VARCHAR AS unique_users, min(report_date)::VARCHAR AS date_min, max(report_date)::VARCHAR AS date_max, count(DISTINCT report_date)::VARCHAR AS distinct_dates,
+  (date_diff('day', min(report_date), max(report_date)) + 1)::VARCHAR AS expected_calendar_dates, (count(*) - count(DISTINCT (user_id, report_date)))::VARCHAR AS duplicate_user_date_rows, count(*) FILTER (user_id IS NULL)::VARCHAR AS null_user_id,
+  count(*) FILTER (report_date IS NULL)::VARCHAR AS null_report_date, count(*) FILTER (total_purchase_amt IS NULL)::VARCHAR AS null_purchase, count(*) FILTER (total_redeem_amt IS NULL)::VARCHAR AS null_redeem,
+  count(*) FILTER (total_purchase_amt < 0)::VARCHAR AS negative_purchase_rows, count(*) FILTER (total_redeem_amt < 0)::VARCHAR AS negative_redeem_rows FROM panel)
+SELECT "check", value, CASE WHEN "check" LIKE 'date\\_%' ESCAPE '\\' THEN 'date' ELSE 'count' END AS unit FROM v UNPIVOT (value FOR "check" IN (COLUMNS(*)))""")
 def quality_summary(spark, sf):
     return audits.quality_summary(panel(spark, sf))
 
@@ -392,20 +412,35 @@ def duplicated_days(spark, sf):
 
 _T = ops.TARGETS
 def _type_sql(a, b):
-    parts = {"|".join(sorted((x, y))): 1 for x, ys in association.PARTS.items() for y in ys}
-    bal = ["|".join(sorted(p)) for p in (("purchase_bal_amt", "tftobal_amt"), ("share_amt", "tftobal_amt"), ("purchase_bal_amt", "share_amt"))]
-    key = "|".join(sorted((a, b)))
-    return "mechanical" if key in parts else "balance" if key in bal else "behavioural"
+    if tuple(sorted((a, b))) in {tuple(sorted(p)) for p in association.MECHANICAL}:
+        return "mechanical_component_relationship"
+    return "balance_behavior_relationship" if {a, b} & set(association.STOCKS) else "behavioral_flow_relationship"
 @query(f"{P}, d AS (SELECT report_date, {', '.join(f'sum(coalesce({t}, 0))::DOUBLE AS {t}' for t in _T)} FROM panel GROUP BY 1), r AS (SELECT report_date, {', '.join(f'rank() OVER (ORDER BY {t}) + (count(*) OVER (PARTITION BY {t}) - 1) / 2.0 AS r_{t}, {t}' for t in _T)} FROM d) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS pairs, corr({a}, {b}) AS pearson, corr(r_{a}, r_{b}) AS spearman, '{_type_sql(a, b)}' AS pair_type FROM r" for i, a in enumerate(_T) for b in _T[i + 1 :]), "pearson spearman")
 def target_associations(spark, sf):
     days = panel(spark, sf).groupBy("report_date").agg(*[F.sum(F.coalesce(t, F.lit(0))).alias(t) for t in _T])
     return association.pair_statistics(association.long_pairs(days, _T, _T, [], triangular=True)).withColumn("pair_type", association.pair_type("a", "b"))
 
 
-@query(None)
+_BAD = lambda e: f"count(*) FILTER ({e})"
+@query(f"""{PW}, {PROFILE_SQL}, l AS (SELECT yBalance - lag(tBalance) OVER (PARTITION BY user_id ORDER BY report_date) AS d FROM panel),
+v AS (SELECT unnest({list(audits.CHECKS)!r}) AS check_id, unnest({[d for d, _ in audits.CHECKS.values()]!r}) AS dimension, unnest({[x for _, x in audits.CHECKS.values()]!r}) AS severity_if_failed, unnest([0, (SELECT {_BAD("user_id <= 0")} FROM panel), (SELECT count(*) - count(DISTINCT (user_id, report_date)) FROM panel),
+  (SELECT {_BAD("(category1 IS NULL) <> (consume_amt = 0)")} FROM panel), (SELECT {_BAD("total_purchase_amt < 0 OR total_redeem_amt < 0")} FROM panel), (SELECT {" + ".join(_BAD(f"({a}) <> ({b})") for _, a, b in audits.IDENTITIES)} FROM panel), (SELECT {_BAD("d <> 0")} FROM l),
+  (SELECT date_diff('day', min(report_date), max(report_date)) + 1 - count(DISTINCT report_date) FROM panel), 0, (SELECT least(50, count(DISTINCT user_id)) FROM panel), {_GAP("panel", "profile", "user_id")}, 0, 0]) AS metric_value)
+SELECT check_id, dimension, severity_if_failed, metric_value::BIGINT AS metric_value, CASE WHEN metric_value = 0 THEN 'PASS' WHEN check_id IN {audits.SOFT!r} THEN 'REVIEW' ELSE 'FAIL' END AS status FROM v""")
 def audit_summary(spark, sf):
     p, prof = panel(spark, sf), profile(spark, sf)
-    return audits.audit_summary({"identity": audits.identity_audit(p), "key": audits.key_audit(p, ["user_id", "report_date"], "panel"), "domain": audits.domain_audit(p, audits.panel_rules()), "coverage": audits.coverage(p, prof), "leakage": audits.leakage_audit(p, windows(spark))})
+    bad = lambda c: p.agg(F.count_if(c).alias("n"))
+    types = audits.type_audit(p, dict(p.dtypes)).agg(F.count_if(F.col("status") != "PASS").alias("n"))
+    leaks = audits.leakage_audit(p, windows(spark)).agg(F.count_if(F.col("status") == "FAIL").alias("n"))
+    flat = p.groupBy("report_date").agg(F.lit(1).alias("one"))
+    return audits.audit_summary({
+        "types": types, "domain_constraints": bad(F.col("user_id") <= 0), "primary_keys": audits.key_audit(p, ["user_id", "report_date"], "panel").select(F.col("rows") - F.col("distinct_keys")),
+        "structural_nulls": audits.structural_nulls(p).select("disagreeing_rows"), "negative_amounts": bad((F.col("total_purchase_amt") < 0) | (F.col("total_redeem_amt") < 0)),
+        "additive_relationships": audits.identity_audit(p).agg(F.sum("mismatches")), "balance_continuity": ops.continuity(p).where("scope = 'previous_row'").select("mismatches"),
+        "calendar": joins.missing_days(flat, "report_date").agg(F.count("*")), "anomalous_dates": series.anomalies(flat, ["one"]).agg(F.count_if("is_anomaly")),
+        "extreme_users": ops.user_extremes(p).orderBy(F.desc("purchase_total"), "user_id").limit(50).agg(F.count("*")), "cross_table_coverage": p.select("user_id").distinct().join(prof, "user_id", "left_anti").agg(F.count("*")),
+        "time_leakage": leaks, "derived_reconciliation": audits.reconcile(p, ops.typed(p), ["total_purchase_amt"]).agg(F.count_if(F.col("status") == "FAIL")),
+    })
 
 
 @query(None)
