@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import banded, log1p, looked_up, positive
-from ..operators import association, audits, joins, panel as ops, segments, series
+from ..operators import association, audits, features, joins, panel as ops, segments, series
 from ..sources.tables import PANEL_SQL, PANEL_WINDOWS, PROFILE_SQL, RATES_SQL, SERIES, panel, profile, rates, windows, windows_sql
 from .registry import query
 
@@ -451,3 +451,21 @@ def user_clusters(spark, sf):
     scaled = clustering.robust_scale(clustering.inputs(clustering.eligible(users)).select("user_id", *clustering.INPUTS), clustering.INPUTS)
     _, labels, _ = clustering.fit_grid(scaled, ks=(3, 4), seeds=(0, 1))
     return clustering.hybrid(users, labels).select("user_id", "segment", "auto_cluster", "hybrid_segment")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in sorted({(p, f, sum(a == p and b == f for a, b, _, _ in features.catalog_rows())) for p, f, _, _ in features.catalog_rows()})) + ") t(priority, family, features)")
+def feature_catalog_counts(spark, sf):
+    return features.catalog(spark).groupBy("priority", "family").agg(F.count("*").cast("int").alias("features"))
+
+
+@query(f"""{PP}, d AS (SELECT constellation, report_date, sum(total_purchase_amt)::BIGINT AS total FROM panel JOIN profile USING (user_id) GROUP BY 1, 2)
+SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(total) OVER w END AS constellation_total_purchase_amt_rolling7 FROM d WINDOW w AS (PARTITION BY constellation ORDER BY report_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""", "constellation_total_purchase_amt_rolling7")
+def segment_history(spark, sf):
+    return features.segment_history(panel(spark, sf), profile(spark, sf), "constellation", "total_purchase_amt")
+
+
+@query(f"""{P}, d AS (SELECT report_date, sum(purchase_bank_amt)::DOUBLE AS bank, sum(direct_purchase_amt) AS direct, sum(transfer_amt)::DOUBLE AS transfer, sum(total_redeem_amt) AS redeem FROM panel GROUP BY 1)
+SELECT report_date, lag(bank / nullif(direct, 0)) OVER w AS bank_share_lag1, lag(transfer / nullif(redeem, 0)) OVER w AS transfer_share_lag1 FROM d WINDOW w AS (ORDER BY report_date)""", "bank_share_lag1 transfer_share_lag1")
+def composition_history(spark, sf):
+    d = panel(spark, sf).groupBy("report_date").agg(*[F.sum(c).alias(n) for n, c in (("bank", "purchase_bank_amt"), ("direct", "direct_purchase_amt"), ("transfer", "transfer_amt"), ("redeem", "total_redeem_amt"))])
+    return features.composition_features(d, {"bank_share": ("bank", "direct"), "transfer_share": ("transfer", "redeem")}).select("report_date", "bank_share_lag1", "transfer_share_lag1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import daily_score, month_features, relative_error, score_curve
-from ..operators import association, audits, clustering, forecast, joins, series
+from ..operators import association, audits, clustering, features, forecast, joins, series
 from ..sources.tables import DAILY_SQL, RATES_SQL, SERIES, SERIES_WINDOWS, daily, rates, windows, windows_sql
 from .registry import query
 
@@ -46,6 +46,14 @@ def lagged_rolling(spark, sf):
     return d.select("report_date", *[(F.col(f"purchase_{k}{n}") / 1e6).alias(f"purchase_{k}{n}") for k, n, _ in _ROLL])
 
 
+_LR = lambda k, n: f"CASE WHEN count(rate_1d) OVER (ORDER BY report_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} THEN {k}(rate_1d) OVER (ORDER BY report_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END"
+_RF = ("rate_1d_lag1", "rate_1d_lag7", "rate_1d_delta1_lag1", "rate_1d_delta7_lag1", "spread", "rate_1d_mean7", "rate_1d_mean14", "rate_1d_mean28", "rate_1d_std7", "rate_1d_std28")
+@query(f"""{_FILLED} SELECT report_date, lag(rate_1d, 1) {OVER} AS rate_1d_lag1, lag(rate_1d, 7) {OVER} AS rate_1d_lag7, lag(rate_1d, 1) {OVER} - lag(rate_1d, 2) {OVER} AS rate_1d_delta1_lag1, lag(rate_1d, 1) {OVER} - lag(rate_1d, 8) {OVER} AS rate_1d_delta7_lag1,
+  lag(rate_7d - rate_1d, 1) {OVER} AS spread, {", ".join(f"{_LR('avg', n)} AS rate_1d_mean{n}" for n in (7, 14, 28))}, {", ".join(f"{_LR('stddev_samp', n)} AS rate_1d_std{n}" for n in (7, 28))} FROM filled""", " ".join(_RF))
+def rate_features(spark, sf):
+    return features.rate_features(rates_filled(spark, sf), ["rate_1d"], {"spread": "rate_7d - rate_1d"}).select("report_date", *_RF)
+
+
 @query(f"{D} SELECT report_date, CASE WHEN count(*) OVER w >= 14 THEN avg(ln(1 + purchase)) OVER w END AS trend FROM daily WINDOW w AS (ORDER BY report_date ROWS BETWEEN 14 PRECEDING AND 13 FOLLOWING)", "trend")
 def centered_trend(spark, sf):
     return series.centered_mean(daily(spark, sf).select("report_date", F.log1p("purchase").alias("l")), "l", "trend").drop("l")
