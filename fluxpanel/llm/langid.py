@@ -78,10 +78,15 @@ def sample(rows: DataFrame, id_col: str, lang_col: str, max_docs: int, max_langu
     ranked (Spark limits each group before the shuffle); texts are read for the chosen.
     """
     named = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    common = [r[0] for r in named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()]
+    common = named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
+    if not common:
+        return named.limit(0)
+    # Hashes are even, so about four times the rows wanted are ranked, however many there are.
+    reach = F.create_map(*[F.lit(x) for r in common for x in (r[0], min(1.0, 4.0 * max_docs / r[1]))])
+    place = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
     order = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
     chosen = (
-        named.where(F.col(lang_col).isin(common)).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+        named.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).where(place < reach[F.col("__lang")])
         .withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= max_docs)
         .select("__id").distinct()
     )
