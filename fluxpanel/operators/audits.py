@@ -83,6 +83,7 @@ def business_domains(panel: DataFrame, profile: DataFrame, rates: DataFrame, cit
     rate_columns = list(rate_columns or [c for c in rates.columns if c != "report_date"])
     bad = [F.count_if(~finite(c) | (F.col(c) <= 0)) for c in rate_columns]
     r = rates.agg(sum(bad[1:], bad[0]).alias("f"))
+    # Names of the constraints.
     names = (
         ("a", "user_id positive integer", "CRITICAL"), ("b", "source amounts non-negative", "HIGH"), ("c", "sex domain subset of {0,1}", "MEDIUM"),
         ("d", f"city has exactly {cities} non-null codes", "MEDIUM"), ("e", f"constellation has exactly {signs} non-null values", "MEDIUM"), ("f", "rates finite and positive", "HIGH"),
@@ -131,6 +132,7 @@ def coverage(panel: DataFrame, profile: DataFrame, yields: DataFrame, observed:
     joined = join_checked(panel.select("user_id", "total_purchase_amt", "total_redeem_amt"), profile.select("user_id"), ["user_id"], "left", "many_to_one", "matched")
     after = joined.agg(F.count("*").alias("n"), F.count_if(~F.col("matched")).alias("lost"), F.sum("total_purchase_amt").alias("p"), F.sum("total_redeem_amt").alias("r"))
     base = panel.agg(F.count("*").alias("n0"), F.sum("total_purchase_amt").alias("p0"), F.sum("total_redeem_amt").alias("r0"))
+    # Names of the checks.
     drift = after.crossJoin(base).select(  # a row each
         F.inline(F.array(*[F.struct(F.lit(n).alias("coverage_check"), v.cast("long").alias("count")) for n, v in (
             ("profile join unmatched or row inflation", F.col("lost") + F.abs(F.col("n") - F.col("n0"))), ("profile join purchase total drift", F.abs(F.col("p") - F.col("p0"))),
