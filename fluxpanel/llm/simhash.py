@@ -3,8 +3,8 @@
 Fingerprints are made in one pass over whole texts.  Distinct fingerprints alone are
 searched for links (``radius`` differing bits or fewer):
 
-1.  The bits are cut into ``radius + 2`` blocks.  Two linked fingerprints agree in two
-    blocks at least (pigeonhole), so each pair of blocks gives a group key.
+1.  The bits are cut into ``radius + agree`` blocks.  Two linked fingerprints agree in
+    ``agree`` blocks at least (pigeonhole), so each choice of blocks gives a group key.
 2.  Within a group the Hamming distances to ``PIVOTS`` reference fingerprints are
     tabulated.  By the triangle inequality a linked pair differs by ``radius`` at most in
     every coordinate: members are sorted by the first coordinate, only pairs within its
@@ -12,9 +12,11 @@ searched for links (``radius`` differing bits or fewer):
     discarded, and survivors are verified on all 64 bits.
 3.  A group of more than ``SWEEP`` distinct fingerprints is so dense that most pairs
     survive.  There, members that agree after clearing any ``radius`` of the bits in which
-    a group can differ are linked by sorting: the same links, without pairs.
+    a group can differ are linked by sorting: the same links, without pairs.  Beyond a
+    radius of ``DENSE`` those choices are too many; then a few members gather what is near
+    them, and only members outside of the largest gathering are compared with the rest.
 4.  A group of more than ``SHARD`` fingerprints does not go to one task: step 3 is done
-    by a distributed aggregation over the cleared fingerprints.
+    by a distributed aggregation over the cleared fingerprints (radius up to ``DENSE``).
 
 A group gives a spanning forest of its links, never all pairs.  Components come from
 alternating star contraction over those edges.
@@ -37,6 +39,8 @@ from .util import discard, stored
 PIVOTS = np.random.default_rng(20_240_601).integers(0, 2**64, 16, dtype=np.uint64, endpoint=False)
 SWEEP = 4096
 SHARD = 1_000_000
+#: Up to this radius a group can be linked by clearing bits.
+DENSE = 2
 #: Pairs looked at at once.
 PAIRS = 1_000_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -73,9 +77,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), made(F.col(text_col)).alias("fp"))
 
 
-def blocks(radius: int) -> list[int]:
-    """Masks of ``radius + 2`` disjoint blocks of the 64 bits."""
-    cuts = np.linspace(0, 64, radius + 3).astype(int)
+def blocks(n: int) -> list[int]:
+    """Masks of ``n`` disjoint blocks of the 64 bits."""
+    cuts = np.linspace(0, 64, n + 1).astype(int)
     return [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -83,8 +87,9 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def group_masks(radius: int) -> list[int]:
-    return [a | b for a, b in combinations(blocks(radius), 2)]
+def group_masks(radius: int, agree: int = 2) -> list[int]:
+    """Masks of ``agree`` of ``radius + agree`` blocks: linked fingerprints are equal under one at least."""
+    return [sum(c) for c in combinations(blocks(radius + agree), agree)]
 
 
 def cleared(mask: int, radius: int) -> list[int]:
@@ -111,16 +116,16 @@ class Forest:
                 up[flat] = up[up[flat]]
 
 
-def sweep(x: np.ndarray, radius: int, forest: Forest) -> None:
-    """Link all pairs of ``x`` within ``radius`` by the pivot table."""
+def sweep(x: np.ndarray, radius: int, forest: Forest, group: np.ndarray | None = None) -> None:
+    """Link all pairs of ``x`` within ``radius``, and of one group, by the pivot table."""
     table = np.bitwise_count(x[:, None] ^ PIVOTS).astype(np.int16)
-    order = np.argsort(table[:, 0], kind="stable")
-    table, x = table[order], x[order]
-    last = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
-    reach = last - np.arange(len(x)) - 1
-    at = 0
+    place = table[:, 0].astype(np.int64) if group is None else group.astype(np.int64) * 256 + table[:, 0]
+    order = np.argsort(place, kind="stable")
+    table, x, place = table[order], x[order], place[order]
+    reach = np.searchsorted(place, place + radius, side="right") - np.arange(len(x)) - 1
+    at, upto = 0, np.concatenate(([0], np.cumsum(reach)))
     while at < len(x):
-        to = at + max(1, int(np.searchsorted(np.cumsum(reach[at:]), PAIRS, side="right")))
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
         n = reach[at:to]
         left = np.repeat(np.arange(at, to), n)
         right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -132,6 +137,29 @@ def sweep(x: np.ndarray, radius: int, forest: Forest) -> None:
         at = to
 
 
+def crowd(x: np.ndarray, radius: int, forest: Forest, leaders: int = 64) -> None:
+    """The same links for one large group, most of which is close together.
+
+    A few members are compared with all and gather what is near them; after that only
+    members outside of the largest gathering need to be compared with the others.
+    """
+    for _ in range(leaders):
+        alone = np.flatnonzero(forest.up == np.arange(len(x)))
+        sizes = np.bincount(forest.up, minlength=len(x))[alone]
+        fresh = alone[sizes == 1]
+        if not len(fresh):
+            break
+        near = np.flatnonzero(np.bitwise_count(x ^ x[fresh[0]]) <= radius)
+        forest.link(np.full(len(near), fresh[0]), near)
+    largest = np.bincount(forest.up).argmax()
+    outside = np.flatnonzero(forest.up != largest)
+    each = max(1, PAIRS // len(x))
+    for at in range(0, len(outside), each):
+        part = outside[at : at + each]
+        i, j = np.nonzero(np.bitwise_count(x[part, None] ^ x[None, :]) <= radius)
+        forest.link(part[i], j)
+
+
 def dense(x: np.ndarray, mask: int, radius: int, forest: Forest) -> None:
     """The same links as ``sweep``, for one group of many fingerprints that agree on ``mask``."""
     for keep in cleared(mask, radius):
@@ -141,32 +169,24 @@ def dense(x: np.ndarray, mask: int, radius: int, forest: Forest) -> None:
         forest.link(order[1:][same], order[:-1][same])
 
 
-def forest_of(x: np.ndarray, mask: int, radius: int) -> np.ndarray:
-    forest = Forest(len(x))
-    if len(x) > SWEEP:
-        dense(x, mask, radius, forest)
-    else:
-        sweep(x, radius, forest)
-    return forest.up
-
-
 def _links(masks: list[int], radius: int):
     """Rows sorted by (band, key) to edges between the reps of a group; the last group waits for the next batch."""
 
     def edges(band, fp, rep, bounds):
-        out_a, out_b = [], []
         sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]
-        table = np.abs(np.bitwise_count(fp[two, None] ^ PIVOTS).astype(np.int16) - np.bitwise_count(fp[two + 1, None] ^ PIVOTS).astype(np.int16))
-        two = two[table.max(axis=1, initial=0) <= radius]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-        out_a.append(rep[two])
-        out_b.append(rep[two + 1])
-        for a, b in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2]):
-            up = forest_of(fp[a:b], masks[band[a]], radius)
-            child = np.flatnonzero(up != np.arange(b - a))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        small = np.flatnonzero((sizes > 1)[group] & (sizes <= SWEEP)[group])
+        forest = Forest(len(small))
+        if len(small):
+            sweep(fp[small], radius, forest, group[small])
+        child = np.flatnonzero(forest.up != np.arange(len(small)))
+        out_a, out_b = [rep[small[child]]], [rep[small[forest.up[child]]]]
+        for a, b in zip(bounds[:-1][sizes > SWEEP], bounds[1:][sizes > SWEEP]):
+            forest = Forest(int(b - a))
+            dense(fp[a:b], masks[band[a]], radius, forest) if radius <= DENSE else crowd(fp[a:b], radius, forest)
+            child = np.flatnonzero(forest.up != np.arange(b - a))
             out_a.append(rep[a:b][child])
-            out_b.append(rep[a:b][up[child]])
+            out_b.append(rep[a:b][forest.up[child]])
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +218,17 @@ def _links(masks: list[int], radius: int):
     return run
 
 
-def links(reps: DataFrame, radius: int = 2) -> DataFrame:
+def links(reps: DataFrame, radius: int = 2, agree: int = 2) -> DataFrame:
     """Edges (a, b) between ids of ``reps`` (distinct fp, rep): a spanning forest of each group."""
-    masks = group_masks(radius)
+    masks = group_masks(radius, agree)
     keys = reps.select(
         "fp", "rep",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("band", "key"),
     )
-    vast = keys.groupBy("band", "key").count().where(F.col("count") > SHARD).select("band", "key")
-    vast = stored(vast, "vast")
-    if vast.isEmpty():
+    vast = None
+    if radius <= DENSE:
+        vast = stored(keys.groupBy("band", "key").count().where(F.col("count") > SHARD).select("band", "key"), "vast")
+    if vast is None or vast.isEmpty():
         rest, more = keys, None
     else:
         rest = keys.join(vast, ["band", "key"], "left_anti")
@@ -248,7 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("id"), F.col("u").alias("root"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2, agree: int = 2) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest linked id).
 
     Null and empty texts have fingerprint zero and are linked like any other.  A row with
@@ -257,14 +278,70 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
-    roots = components(links(reps, radius))
+    roots = components(links(reps, radius, agree))
     owner = reps.join(roots, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(owner, "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def shingle_set(text: str | None, width: int) -> frozenset[int]:
+    """Hashes of the distinct shingles of ``width`` words; fewer words are one shingle, none is no shingle."""
+    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not found:
+        return frozenset()
+    return frozenset(xxhash.xxh64_intdigest(b" ".join(found[i : i + width])) for i in range(max(1, len(found) - width + 1)))
+
+
+def _leading(width: int, similarity: float):
+    """Rows sorted by (component, salt, id): each either is near an earlier one that stays, or stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, posts, sizes = None, {}, []
+        for batch in batches:
+            ids, kept = batch.column("id").to_pylist(), []
+            for i, (component, salt) in enumerate(zip(batch.column("component").to_pylist(), batch.column("salt").to_pylist())):
+                if now != (component, salt):
+                    now, posts, sizes = (component, salt), {}, []
+                own = shingle_set(batch.column("text")[i].as_py(), width)
+                shared: dict[int, int] = {}
+                for h in own:
+                    for leader in posts.get(h, ()):
+                        shared[leader] = shared.get(leader, 0) + 1
+                near = any(c >= similarity * (len(own) + sizes[leader] - c) for leader, c in shared.items()) or (not own and 0 in sizes)
+                kept.append(not near)
+                if not near:
+                    for h in own:
+                        posts.setdefault(h, []).append(len(sizes))
+                    sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("component"), pa.array(kept)], ["id", "component", "kept"])
+
+    return run
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000) -> DataFrame:
+    """Ids (column ``lost``) of documents whose shingles are similar to those of one that stays.
+
+    Fingerprints within ``radius`` bits name the components to look at; within one, documents
+    come in the order of their ids, and a document goes if its Jaccard similarity to one that
+    stays is ``similarity`` or more (whole texts, shingles of ``shingle`` words).  A component
+    of more than ``part`` documents is first worked through in parts, then the documents
+    that stay in the parts together.  Texts without a word are copies of each other.
+    Documents with a null id are not looked at; rows repeated with one id stay or go together.
+    """
+    groups = stored(near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct(), "groups")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    members = groups.join(sizes, "component").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / part)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = "id long, component long, kept boolean"
+    look = lambda df: df.repartition("component", "salt").sortWithinPartitions("component", "salt", "id").select("id", "component", "salt", "text").mapInArrow(_leading(shingle, similarity), kind)
+    first = stored(look(texts.join(members, "id")), "first-look")
+    again = first.where("kept").join(sizes.where(F.col("n") > part), "component").select("id", "component", F.lit(0).alias("salt"))
+    second = look(texts.join(again, "id"))
+    return first.where("not kept").select("id").unionByName(second.where("not kept").select("id")).select(F.col("id").alias("lost")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows with a null id stay."""
-    lost = near_groups(docs, id_col, text_col, **how).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost"))
+    """The rows of ``docs`` without the ``similar_copies``; rows with a null id stay."""
+    lost = similar_copies(docs, id_col, text_col, **how).select(F.col("lost").alias("__lost"))
     return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")

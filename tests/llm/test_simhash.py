@@ -59,19 +59,34 @@ def clustered(n, seed):
     return out
 
 
-@pytest.mark.parametrize("path", ["sweep", "dense"])
-def test_group_forest_equals_all_pairs(path):
+@pytest.mark.parametrize("radius", [2, 7])
+@pytest.mark.parametrize("path", ["sweep", "dense", "crowd"])
+def test_group_forest_equals_all_pairs(path, radius):
+    if path == "dense" and radius > simhash.DENSE:
+        return
     mask = simhash.group_masks(2)[3]
     rng = random.Random(5)
     x = sorted({sum(1 << b for b in rng.sample([i for i in range(64) if not mask >> i & 1], rng.randrange(5))) for _ in range(300)})
     forest = simhash.Forest(len(x))
     array = np.array(x, dtype=np.uint64)
-    simhash.sweep(array, 2, forest) if path == "sweep" else simhash.dense(array, mask, 2, forest)
-    assert dict(enumerate(forest.up.tolist())) == brute_components(dict(enumerate(x)), 2)
+    if path == "crowd":
+        simhash.crowd(array, radius, forest, leaders=3)
+    elif path == "sweep":
+        simhash.sweep(array, radius, forest)
+    else:
+        simhash.dense(array, mask, radius, forest)
+    assert dict(enumerate(forest.up.tolist())) == brute_components(dict(enumerate(x)), radius)
 
 
-@pytest.mark.parametrize("limits", [(4096, 1_000_000), (3, 1_000_000), (4096, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, limits):
+def test_sweep_keeps_groups_apart():
+    x = np.array([1, 1, 3, 3, 7, 15 << 60], dtype=np.uint64)
+    forest = simhash.Forest(len(x))
+    simhash.sweep(x, 2, forest, np.array([0, 1, 0, 1, 0, 0]))
+    assert forest.up.tolist() == [0, 1, 0, 1, 0, 5]
+
+
+@pytest.mark.parametrize("limits,radius,agree", [((4096, 1_000_000), 2, 2), ((3, 1_000_000), 2, 2), ((4096, 4), 2, 2), ((4096, 1_000_000), 5, 2), ((3, 1_000_000), 5, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, limits, radius, agree):
     monkeypatch.setattr(simhash, "SWEEP", limits[0])
     monkeypatch.setattr(simhash, "SHARD", limits[1])
     prints = dict(enumerate(clustered(400, 7)))
@@ -79,8 +94,8 @@ def test_components_equal_brute_force(spark, monkeypatch, limits):
     for k, fp in prints.items():
         reps.setdefault(fp, k)
     df = spark.createDataFrame([(simhash.signed(fp), k) for fp, k in reps.items()], "fp long, rep long")
-    got = {r.id: r.root for r in simhash.components(simhash.links(df)).collect()}
-    want = brute_components(prints, 2)
+    got = {r.id: r.root for r in simhash.components(simhash.links(df, radius, agree)).collect()}
+    want = brute_components(prints, radius)
     assert {k: got.get(k, k) for k in reps.values()} == {k: want[k] for k in reps.values()}
 
 
@@ -96,7 +111,53 @@ def test_near_groups_whole_operator(spark):
         if r.doc_id is not None:
             assert r.component_id == want[r.doc_id]
     assert sorted((r.component_id is None) for r in got if r.doc_id is None) == [False, True]
-    kept = simhash.drop_near_copies(df)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == set(want.values()) | {None}
     assert simhash.near_groups(df.limit(0)).count() == 0
+
+
+def brute_kept(rows, radius=7, similarity=0.8, width=5):
+    """Ids that stay, from the definition: components of fingerprints, then in order of ids."""
+    texts = {i: t for i, t in rows if i is not None}
+    roots = brute_components({i: brute_fingerprint(t) for i, t in texts.items()}, radius)
+
+    def shingles(t):
+        found = (t or "").lower().split()
+        return {tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1))} if found else set()
+
+    kept = []
+    for i in sorted(texts):
+        own = shingles(texts[i])
+        near = [k for k in kept if roots[k] == roots[i]]
+        if not any((not own and not shingles(texts[k])) or (own and len(own & (o := shingles(texts[k]))) / len(own | o) >= similarity) for k in near):
+            kept.append(i)
+    return set(kept)
+
+
+def edited(seed=3):
+    rng = random.Random(seed)
+    names = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(names) for _ in range(rng.randint(60, 300))]
+        for _ in range(rng.randint(1, 6)):
+            text = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 12, 40])):
+                text[rng.randrange(len(text))] = rng.choice(names)
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_similar_copies_go_and_others_stay(spark):
+    rows = edited() + [(900, None), (901, " "), (902, "lone"), (903, "lone"), (None, "lone")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, salt string, lost int").repartition(3)
+    out = simhash.drop_near_copies(df)
+    assert out.columns == df.columns
+    assert {r.doc_id for r in out.collect()} == brute_kept(rows) | {None}
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_large_components_in_parts(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, base.replace(f"w{i * 2} ", "changed ")) for i in range(60)] + [(100 + i, f"own words {i} " + " ".join(f"v{i}x{k}" for k in range(40))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(df, part=7).collect()}
+    assert kept == {0} | {100 + i for i in range(10)}
