@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,49 +46,40 @@ def tokens(text: str | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """States are numbered from 0 (the empty context); arcs are keyed by state << 32 | word."""
+    """States are numbered from 0, the empty context, whose arcs are the words themselves.
+
+    ``unigram`` and ``after`` end with an entry for words beyond the dictionary (number -1).
+    """
 
     words: dict[bytes, int] = field(repr=False)
     unigram: list[float] = field(repr=False)  # log10 by word
     after: list[int] = field(repr=False)  # the state after a word, from the empty context
-    arcs: dict[int, int] = field(repr=False)
-    weight: list[float] = field(repr=False)
-    target: list[int] = field(repr=False)
+    arcs: list[dict[int, tuple[float, int]]] = field(repr=False)  # by state: word to (log10, next state)
     backoff: list[float] = field(repr=False)  # log10 by state; 0 for state 0
     failure: list[int] = field(repr=False)
     total: int = 0
     kinds: int = 0
 
-    def rare(self, count: int) -> float:
-        return math.log10((count + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
-
     def traverse(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
         """n_tokens, those in the dictionary, base and model sums without the others, and the others."""
         found = tokens(text)
-        ids = list(map(self.words.get, found))
-        arcs, weight, target, backoff, failure, unigram, after = self.arcs.get, self.weight, self.target, self.backoff, self.failure, self.unigram, self.after
-        state, base, score, others = 0, 0.0, 0.0, []
-        for at, word in enumerate(ids):
-            if word is None:
-                others.append(found[at])
-                while state:
-                    score += backoff[state]
-                    state = failure[state]
-                continue
-            own = unigram[word]
-            base += own
+        ids = list(map(self.words.get, found, repeat(-1)))
+        others = [t for t, i in zip(found, ids) if i < 0] if -1 in ids else []
+        arcs, backoff, failure, unigram, after = self.arcs, self.backoff, self.failure, self.unigram, self.after
+        state, score = 0, 0.0
+        for word in ids:
             while state:
-                arc = arcs(state << 32 | word)
+                arc = arcs[state].get(word)
                 if arc is not None:
-                    score += weight[arc]
-                    state = target[arc]
+                    score += arc[0]
+                    state = arc[1]
                     break
                 score += backoff[state]
                 state = failure[state]
             else:
-                score += own
+                score += unigram[word]
                 state = after[word]
-        return len(found), len(found) - len(others), base, score, others
+        return len(found), len(found) - len(others), sum(map(unigram.__getitem__, ids)), score, others
 
 
 def build(words: list[bytes], counts: list[int], grams: dict[tuple[int, ...], int], total: int, kinds: int, discount: float = 0.75) -> Automaton:
@@ -127,14 +119,11 @@ def build(words: list[bytes], counts: list[int], grams: dict[tuple[int, ...], in
         return state[h] if h else 0
 
     order = max((len(h) for h in by_context), default=0)
-    made = Automaton({w: i for i, w in enumerate(words)}, [math.log10(x) for x in p1], [place((w,)) for w in range(len(words))], {}, [], [], [0.0], [0], total, kinds)
+    made = Automaton({w: i for i, w in enumerate(words)}, [*[math.log10(x) for x in p1], 0.0], [*[place((w,)) for w in range(len(words))], 0], [{}], [0.0], [0], total, kinds)
     for h in state:
         made.backoff.append(math.log10(bow[h]))
         made.failure.append(place(h[1:]))
-        for w in by_context[h]:
-            made.arcs[state[h] << 32 | w] = len(made.weight)
-            made.weight.append(math.log10(p[(*h, w)]))
-            made.target.append(place((*h, w)[-order:]))
+        made.arcs.append({w: (math.log10(p[(*h, w)]), place((*h, w)[-order:])) for w in by_context[h]})
     return made
 
 
@@ -252,10 +241,14 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, *, id_col: str =
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 found = [made.traverse(t) for t in part.column("text").to_pylist()]
+                rest = [Counter(r[4]) for r in found]
+                ends = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array([t for c in rest for t in c], pa.binary()), pa.array([n for c in rest for n in c.values()], pa.int64())], ["token", "tf"]
+                )
                 columns = [
                     pa.array(range(row, row + len(found)), pa.int64()), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()),
-                    pa.array([r[2] for r in found], pa.float64()), pa.array([r[3] for r in found], pa.float64()),
-                    pa.array([[{"token": t, "tf": n} for t, n in Counter(r[4]).items()] for r in found], pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))),
+                    pa.array([r[2] for r in found], pa.float64()), pa.array([r[3] for r in found], pa.float64()), pa.ListArray.from_arrays(ends, pairs),
                 ]
                 row += len(found)
                 keep = [n for n in part.schema.names if n != "text"]
