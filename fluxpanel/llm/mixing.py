@@ -20,8 +20,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WHITESPACE, stored
+from .util import stored
 
+WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of an epoch's order, as hexadecimal digits of the hash.
 DIGITS = 3
 MAX_LEAVES = 100_000
@@ -29,8 +30,7 @@ MAX_LEAVES = 100_000
 
 def token_count(text: str = "text"):
     """Words between ASCII white space; zero for null."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{WHITESPACE}|{WHITESPACE}$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, WHITESPACE))).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def share(total: int, wants: list[tuple[Fraction, int]]) -> list[int]:
@@ -105,8 +105,8 @@ def mix(
     """
     names = list(levels)
     size = token_count() if tokens_expr is None else tokens_expr
-    base = docs.select(F.col(id_col).alias("id"), *[c.alias(f"l{i}") for i, c in enumerate(levels.values())], size.alias("tokens")).where("tokens > 0")
-    base = stored(base, "token-counts")
+    base = docs.select(F.col(id_col).alias("id"), *[c.alias(f"l{i}") for i, c in enumerate(levels.values())], size.alias("tokens"))
+    base = stored(base, "token-counts").where("tokens > 0")
     leaf = [f"l{i}" for i in range(len(names))]
     sums = base.groupBy(*leaf).agg(F.sum("tokens").alias("have"))
     rows = sums.limit(MAX_LEAVES + 1).collect()
