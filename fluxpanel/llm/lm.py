@@ -19,7 +19,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -61,28 +60,22 @@ class Automaton:
     total: int = 0
     kinds: int = 0
 
-    @cached_property
-    def states(self) -> list[tuple]:
-        """Of each state: how to find an arc, the backoff weight and the failure arc's target."""
-        return [(arcs.get, weight, to) for arcs, weight, to in zip(self.arcs, self.backoff, self.failure)]
-
     def traverse(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
         """n_tokens, those in the dictionary, base and model sums without the others, and the others."""
         found = tokens(text)
         ids = list(map(self.words.get, found, repeat(-1)))
         others = [t for t, i in zip(found, ids) if i < 0] if -1 in ids else []
-        states, unigram, after = self.states, self.unigram, self.after
+        arcs, backoff, failure, unigram, after = self.arcs, self.backoff, self.failure, self.unigram, self.after
         state, score = 0, 0.0
         for word in ids:
             while state:
-                arc_of, weight, shorter = states[state]
-                arc = arc_of(word)
+                arc = arcs[state].get(word)
                 if arc is not None:
-                    weight, state = arc
-                    score += weight
+                    score += arc[0]
+                    state = arc[1]
                     break
-                score += weight
-                state = shorter
+                score += backoff[state]
+                state = failure[state]
             else:
                 score += unigram[word]
                 state = after[word]
