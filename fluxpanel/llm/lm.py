@@ -178,7 +178,7 @@ def _count_grams(shared, levels: list[np.ndarray]):
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                ids += [words.get(t, -1) for t in tokens(text)]
+                ids.extend(map(words.get, tokens(text), repeat(-1)))
                 ids.append(-1)
                 if len(ids) >= HELD:
                     add()
