@@ -27,9 +27,12 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
     return df.select(*columns) if columns else df
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, between: tuple[str, object, object] | None = None) -> DataFrame:
-    """Parquet with column pruning and a range that reaches the row groups."""
-    df = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, between: tuple[str, object, object] | None = None, schema=None) -> DataFrame:
+    """Parquet with column pruning and a range that reaches the row groups.
+
+    With a known ``schema`` no job reads footers before the query does.
+    """
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     if between:
         name, low, high = between
         df = df.where(F.col(name).between(low, high))
