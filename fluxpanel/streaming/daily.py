@@ -19,9 +19,11 @@ def daily_totals(spark: SparkSession, source: str, scratch: str) -> DataFrame:
     Each batch replaces its days (update mode into versioned rows), so the last version of a
     day and type is its total.
     """
-    schema = spark.read.parquet(source).schema
-    folder, _, name = source.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if spark.read.parquet(source).inputFiles()[0].rstrip("/").rpartition("/")[2] != name else folder + "/" + _glob(name))
+    table = spark.read.parquet(source)
+    folder, _, name = source.rstrip("/").rpartition("/")
+    plain_file = table.inputFiles()[0].endswith(f"/{name}")
+    place = f"{folder}/{_glob(name)}" if plain_file else source
+    stream = spark.readStream.schema(table.schema).parquet(place)
 
     def keep(batch: DataFrame, version: int) -> None:
         batch.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{scratch}/totals")
