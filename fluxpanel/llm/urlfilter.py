@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,7 +140,7 @@ def judge(pages: DataFrame, entries: DataFrame, url_col: str = "url", *, max_byt
     Columns of ``pages`` with the output names are replaced; repeated rows stay.
     """
     made = ("host", "path", "rule", "verdict")
-    rest = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made], F.col(url_col).alias("__url")) if url_col in made else pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made]).withColumn("__url", F.col(url_col))
+    rest = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made], F.col(url_col).alias("__url"))
     keep = [F.col(f"`{c}`") for c in rest.columns if c != "__url"]
     rest = rest.withColumns({"__host": host_of(F.col("__url")), "__path": path_of(F.col("__url"))})
     entries = (
