@@ -12,6 +12,7 @@ from ..functions import clip, first_match, holds, safe_divide
 from .association import eta_squared
 from .joins import in_windows
 from .panel import FLOWS, period_aggregates
+from .quantiles import group_quantiles
 
 #: Rules in the order in which they are named, and the order in which the first that holds labels a user.
 RULES = (
@@ -58,15 +59,18 @@ def features(profiles: DataFrame) -> DataFrame:
 
 
 def thresholds(users: DataFrame, panel: DataFrame, windows: DataFrame) -> DataFrame:
-    """Four percentiles of each window, each of its own population; a row a window."""
-    q = lambda c, p, cond: F.percentile(F.when(cond, F.col(c)), F.lit(p))
-    of_users = users.groupBy("id").agg(
-        q("active_flow_days_90", 0.75, F.col("active_flow_days_90") > 0).alias("p75_active"), q("volume_90", 0.9, (F.col("direct_90") > 0) & (F.col("transfer_90") > 0)).alias("p90_volume"),
-        q("consume_days_90", 0.75, F.col("consume_days_90") > 0).alias("p75_consume"),
-    )
-    day = F.col("report_date")
-    spent = in_windows(panel.where("consume_amt > 0").select("report_date", "consume_amt"), windows, "report_date", (day < F.col("start")) & (day >= F.date_sub(F.col("start"), 90)))
-    return of_users.join(spent.groupBy("id").agg(F.percentile("consume_amt", F.lit(0.5)).alias("p50_consume_row")), "id", "left")
+    """Four quantiles of each window, each of its own population; a row a window."""
+    c, day = F.col, F.col("report_date")
+    of = lambda name, p, value, cond: F.struct(F.lit(name).alias("metric"), F.lit(p).alias("p"), F.when(cond, c(value).cast("double")).alias("v"))
+    kinds = [
+        of("p75_active", 0.75, "active_flow_days_90", c("active_flow_days_90") > 0), of("p90_volume", 0.9, "volume_90", (c("direct_90") > 0) & (c("transfer_90") > 0)),
+        of("p75_consume", 0.75, "consume_days_90", c("consume_days_90") > 0),
+    ]
+    spent = in_windows(panel.where("consume_amt > 0").select("report_date", "consume_amt"), windows, "report_date", (day < c("start")) & (day >= F.date_sub(c("start"), 90)))
+    rows = users.select("id", F.inline(F.array(*kinds))).unionByName(spent.select("id", F.lit("p50_consume_row").alias("metric"), F.lit(0.5).alias("p"), c("consume_amt").cast("double").alias("v")))
+    found = group_quantiles(rows, ["id", "metric"])
+    wide = found.groupBy("id").agg(*[F.max(F.when(c("metric") == m, c("quantile"))).alias(m) for m in ("p75_active", "p90_volume", "p75_consume", "p50_consume_row")])
+    return windows.select("id").join(wide, "id", "left")
 
 
 def rule_columns() -> dict[str, Column]:

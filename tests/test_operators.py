@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from fluxpanel.operators import association, audits, clustering, features, forecast, joins, segments, series
+from fluxpanel.operators import association, audits, clustering, features, forecast, joins, quantiles, segments, series
 from fluxpanel.operators import panel as ops
 
 
@@ -179,6 +179,16 @@ def test_concentration_equals_sorting(spark):
         assert got[group] == (k, sum(best[:k]))
 
 
+def test_group_quantiles_equal_percentile(spark):
+    rng = random.Random(7)
+    groups = [("many", 0.9, [rng.gauss(0, 1000) for _ in range(301)]), ("same", 0.75, [5.0] * 50), ("one", 0.5, [-3.0]), ("two", 0.5, [1.0, 4.0]), ("ends", 1.0, [1.0, 2.0, 9.0]), ("ties", 0.25, [0.0] * 7 + [1.0] * 3)]
+    rows = [(g, p, v) for g, p, vs in groups for v in vs] + [("many", 0.9, None), ("none", 0.5, None)]
+    df = spark.createDataFrame(rows, "g string, p double, v double")
+    got = {r.g: r.quantile for r in quantiles.group_quantiles(df, ["g"]).collect()}
+    want = {g: df.where(F.col("g") == g).agg(F.percentile("v", F.lit(p)).alias("q")).first().q for g, p, _ in groups}
+    assert got == pytest.approx(want) and set(got) == {g for g, _, _ in groups}
+
+
 def series_windows(spark, start):
     return spark.createDataFrame([("w", day(start), day(start + 9))], "id string, start date, end date")
 
