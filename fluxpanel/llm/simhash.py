@@ -293,52 +293,95 @@ def shingle_set(text: str | None, width: int) -> frozenset[int]:
     return frozenset(xxhash.xxh64_intdigest(b" ".join(found[i : i + width])) for i in range(max(1, len(found) - width + 1)))
 
 
-def _leading(width: int, similarity: float):
-    """Rows sorted by (component, salt, id): each either is near an earlier one that stays, or stays."""
+def shingle_links(sets: list[np.ndarray], similarity: float, forest: Forest, leaders: int = 64) -> None:
+    """Link all pairs of shingle sets whose Jaccard similarity is ``similarity`` or more; empty sets are alike.
+
+    As in ``crowd``, some sets are compared with all, then those outside of the largest gathering.
+    """
+    sizes = np.array([len(s) for s in sets])
+    forest.link(np.flatnonzero(sizes == 0)[1:], np.full(max(0, int((sizes == 0).sum()) - 1), int(np.argmin(sizes)) if len(sizes) else 0))
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    order = np.argsort(flat, kind="stable")
+    keys, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+
+    def compare(i: int) -> None:
+        lo, n = np.searchsorted(keys, sets[i]), np.searchsorted(keys, sets[i], side="right")
+        n = n - lo
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((shared > 0) & (shared >= similarity * (sizes[i] + sizes - shared)))
+        forest.link(np.full(len(near), i), near)
+
+    done = np.zeros(len(sets), bool)
+    for _ in range(leaders):
+        fresh = np.flatnonzero((np.bincount(forest.up, minlength=len(sets))[forest.up] == 1) & ~done)
+        if not len(fresh):
+            break
+        done[fresh[0]] = True
+        compare(int(fresh[0]))
+    largest = np.bincount(forest.up, minlength=1).argmax()
+    for i in np.flatnonzero((forest.up != largest) & ~done):
+        compare(int(i))
+
+
+def _alike(width: int, similarity: float):
+    """Rows sorted by (component, salt, id) to (id, component, root): root is the smallest id that verified links reach in the part."""
+
+    def found(ids: list, component: int, sets: list[np.ndarray]) -> pa.RecordBatch:
+        forest = Forest(len(sets))
+        shingle_links(sets, similarity, forest)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([component] * len(ids), pa.int64()), pa.array([ids[i] for i in forest.up.tolist()], pa.int64())], ["id", "component", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, posts, sizes = None, {}, []
+        now, ids, sets = None, [], []
         for batch in batches:
-            ids, kept = batch.column("id").to_pylist(), []
-            for i, (component, salt) in enumerate(zip(batch.column("component").to_pylist(), batch.column("salt").to_pylist())):
+            for i, (one, component, salt) in enumerate(zip(batch.column("id").to_pylist(), batch.column("component").to_pylist(), batch.column("salt").to_pylist())):
                 if now != (component, salt):
-                    now, posts, sizes = (component, salt), {}, []
-                own = shingle_set(batch.column("text")[i].as_py(), width)
-                shared: dict[int, int] = {}
-                for h in own:
-                    for leader in posts.get(h, ()):
-                        shared[leader] = shared.get(leader, 0) + 1
-                near = any(c >= similarity * (len(own) + sizes[leader] - c) for leader, c in shared.items()) or (not own and 0 in sizes)
-                kept.append(not near)
-                if not near:
-                    for h in own:
-                        posts.setdefault(h, []).append(len(sizes))
-                    sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("component"), pa.array(kept)], ["id", "component", "kept"])
+                    if ids:
+                        yield found(ids, now[0], sets)
+                    now, ids, sets = (component, salt), [], []
+                ids.append(one)
+                sets.append(np.array(sorted(shingle_set(batch.column("text")[i].as_py(), width)), dtype=np.uint64))
+        if ids:
+            yield found(ids, now[0], sets)
 
     return run
 
 
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000) -> DataFrame:
-    """Ids (column ``lost``) of documents whose shingles are similar to those of one that stays.
+    """Ids (column ``lost``) of all documents of a group of near duplicates but the smallest id.
 
     Fingerprints within ``radius`` bits name the components to look at; within one, documents
-    come in the order of their ids, and a document goes if its Jaccard similarity to one that
-    stays is ``similarity`` or more (whole texts, shingles of ``shingle`` words).  A component
-    of more than ``part`` documents is first worked through in parts, then the documents
-    that stay in the parts together.  Texts without a word are copies of each other.
+    whose Jaccard similarity is ``similarity`` or more are linked (whole texts, shingles of
+    ``shingle`` words), and a group is what links reach.  A component of more than ``part``
+    documents is looked at in parts, then the first documents of what was linked in the parts;
+    at last the documents outside of its largest group are compared with every part, so that
+    the parts don't change the groups.  Texts without a word are copies of each other.
     Documents with a null id are not looked at; rows repeated with one id stay or go together.
     """
     groups = stored(near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct(), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    members = groups.join(sizes, "component").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / part)))
+    salted = lambda df, seed: df.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / part)))
+    members = salted(groups.join(sizes, "component"), 0)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = "id long, component long, kept boolean"
-    look = lambda df: df.repartition("component", "salt").sortWithinPartitions("component", "salt", "id").select("id", "component", "salt", "text").mapInArrow(_leading(shingle, similarity), kind)
-    first = stored(look(texts.join(members, "id")), "first-look")
-    again = first.where("kept").join(sizes.where(F.col("n") > part), "component").select("id", "component", F.lit(0).alias("salt"))
-    second = look(texts.join(again, "id"))
-    return first.where("not kept").select("id").unionByName(second.where("not kept").select("id")).select(F.col("id").alias("lost")).distinct()
+    kind = "id long, component long, root long"
+    look = lambda df: texts.join(df, "id").select("id", "component", "salt", "text").repartition("component", "salt").sortWithinPartitions("component", "salt", "id").mapInArrow(_alike(shingle, similarity), kind)
+    edge = lambda df: df.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    first = stored(look(members), "first-look")
+    edges = edge(first)
+    large = stored(sizes.where(F.col("n") > part), "large")
+    if not large.isEmpty():
+        firsts = first.join(large.select("component"), "component").where("id = root").select("id", "component").distinct()
+        firsts = salted(firsts.join(firsts.groupBy("component").agg(F.count("*").alias("n")), "component"), 1)
+        edges = stored(edges.unionByName(edge(look(firsts))), "edges-of-parts")
+        every = members.join(large.select("component"), "component")
+        rooted = stored(every.join(components(edges), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        most = rooted.groupBy("component", "root").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
+        outside = rooted.join(most, "component").where("root != largest").select("id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / part) - 1)).alias("salt"))
+        busy = outside.select("component").distinct()
+        parts = every.join(busy, "component", "left_semi").select("id", "component", F.col("salt").cast("long").alias("salt"))
+        edges = edges.unionByName(edge(look(parts.unionByName(outside).distinct())))
+    return components(edges).where("id != root").select(F.col("id").alias("lost")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -161,3 +161,30 @@ def test_large_components_in_parts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_near_copies(df, part=7).collect()}
     assert kept == {0} | {100 + i for i in range(10)}
+
+
+def chain(n, step, words=200):
+    """Texts whose neighbours alone are 0.8 similar: each has ``step`` more words replaced than the one before."""
+    return [" ".join([f"new{k}" for k in range(i * step)] + [f"w{k}" for k in range(i * step, words)]) for i in range(n)]
+
+
+def test_one_document_of_a_chain_stays(spark):
+    a, b, c = chain(3, 15)
+    rows = [(5, b), (1, a), (3, c), (7, " ".join(f"v{k}" for k in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(df, radius=40, agree=1).collect()} == {1, 7}
+
+
+def test_shingle_links_equal_all_pairs():
+    sets = [np.array(sorted(simhash.shingle_set(t, 5)), dtype=np.uint64) for _, t in edited(4)] + [np.zeros(0, np.uint64)] * 3
+    want = {}
+    for leaders in (0, 2, 64):
+        forest = simhash.Forest(len(sets))
+        simhash.shingle_links(sets, 0.8, forest, leaders)
+        got = simhash.Forest(len(sets))
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if (not len(x) and not len(sets[j])) or (both and both / (len(x) + len(sets[j]) - both) >= 0.8):
+                    got.link(np.array([i]), np.array([j]))
+        assert forest.up.tolist() == got.up.tolist()
