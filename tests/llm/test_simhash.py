@@ -175,6 +175,13 @@ def test_one_document_of_a_chain_stays(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(df, radius=40, agree=1).collect()} == {1, 7}
 
 
+def test_parts_do_not_change_groups(spark):
+    rows = [(i, t) for i, t in enumerate(chain(12, 15) + [f"alone {i} " + " ".join(f"v{i}x{k}" for k in range(60)) for i in range(6)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1000, 5):
+        assert {r.doc_id for r in simhash.drop_near_copies(df, radius=40, agree=1, part=part).collect()} == {0, *range(12, 18)}, part
+
+
 def test_shingle_links_equal_all_pairs():
     sets = [np.array(sorted(simhash.shingle_set(t, 5)), dtype=np.uint64) for _, t in edited(4)] + [np.zeros(0, np.uint64)] * 3
     want = {}
