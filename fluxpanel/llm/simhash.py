@@ -43,6 +43,7 @@ SHARD = 1_000_000
 DENSE = 2
 #: Pairs looked at at once.
 PAIRS = 1_000_000
+_SEEDS = np.random.default_rng(20_240_602).integers(0, 2**64, (512, 3), dtype=np.uint64, endpoint=False) | np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -348,10 +349,42 @@ def _alike(width: int, similarity: float):
     return run
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000) -> DataFrame:
+def least_hashes(found: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` MinHashes of a set of 64-bit hashes: the least value under each of ``n`` multiply-xorshift hashes."""
+    made = np.empty(n, np.uint64)
+    for k in range(n):
+        x = (found ^ _SEEDS[k, 0]) * _SEEDS[k, 1]
+        made[k] = ((x ^ x >> np.uint64(29)) * _SEEDS[k, 2]).min()
+    return made
+
+
+def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
+    """(id, component) of rows with an id: those that have all ``rows`` MinHashes of one of ``bands`` bands in common are linked.
+
+    A pair of similarity j meets in one band at least with chance 1 - (1 - j^rows)^bands: 0.99994 at 0.8.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.zeros((batch.num_rows, bands), np.uint64)  # no word: the key zero of every band
+            for i, text in enumerate(batch.column("text")):
+                found = np.fromiter(shingle_set(text.as_py(), shingle), np.uint64)
+                if len(found):
+                    keys[i] = [xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least_hashes(found, bands * rows).reshape(bands, rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands)), pa.array(keys.ravel().view(np.int64))], ["id", "key"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    keys = stored(texts.mapInArrow(run, "id long, key long"), "band-keys")
+    least = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most").select("key", "b")
+    roots = components(keys.join(least, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct())
+    return texts.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component")).distinct()
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000, bands: int = 0) -> DataFrame:
     """Ids (column ``lost``) of all documents of a group of near duplicates but the smallest id.
 
-    Fingerprints within ``radius`` bits name the components to look at; within one, documents
+    Fingerprints within ``radius`` bits, or ``bands`` of MinHashes where that isn't zero, name
+    the components to look at; within one, documents
     whose Jaccard similarity is ``similarity`` or more are linked (whole texts, shingles of
     ``shingle`` words), and a group is what links reach.  A component of more than ``part``
     documents is looked at in parts, then the first documents of what was linked in the parts;
@@ -359,7 +392,11 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the parts don't change the groups.  Texts without a word are copies of each other.
     Documents with a null id are not looked at; rows repeated with one id stay or go together.
     """
-    groups = stored(near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct(), "groups")
+    if bands:
+        named = band_groups(docs, id_col, text_col, shingle=shingle, bands=bands)
+    else:
+        named = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component"))
+    groups = stored(named.where("id is not null").distinct(), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     salted = lambda df, seed: df.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / part)))
     members = salted(groups.join(sizes, "component"), 0)

@@ -195,3 +195,26 @@ def test_shingle_links_equal_all_pairs():
                 if (not len(x) and not len(sets[j])) or (both and both / (len(x) + len(sets[j]) - both) >= 0.8):
                     got.link(np.array([i]), np.array([j]))
         assert forest.up.tolist() == got.up.tolist()
+
+
+def test_bands_find_pairs_at_the_threshold(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for k in range(4):
+            other[25 + 50 * k] = f"x{i}y{k}"  # isolated edits: 176 of 216 shingles in common
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    rows += [(900, None), (901, " "), (None, "lone"), (903, "lone"), (904, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = simhash.drop_near_copies(df, bands=32)
+    assert {r.doc_id for r in out.collect()} == {*range(0, 120, 2), 900, 903, None}
+    assert simhash.drop_near_copies(df.limit(0), bands=32).count() == 0
+
+
+def test_pipeline_names_candidates_by_bands(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "drop_near_copies", lambda docs, **how: how)
+    assert corpus_pipeline.drop_near_copies(spark, None, "")["bands"] == 32
