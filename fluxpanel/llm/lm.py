@@ -1,21 +1,21 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Every token of the training texts is counted, and so is every n-gram of the ``state_words``
-commonest tokens whose prefix was kept; no text is sampled or cut.  N-grams are smoothed by
-absolute discounting and become an automaton: a state for each context that has kept
-continuations, an arc (log-probability, next state) for each of those, and a failure arc
-(backoff weight) to the longest shorter context.  One left-to-right traversal of a text
-carries the state and adds up log10-probabilities.
-
-What is broadcast is bounded by parameters: ``words`` tokens of at most ``LONGEST`` bytes
-and ``arcs`` n-grams of each order, the most frequent ones (a threshold on the counts, found
-from a histogram).  Tokens beyond the dictionary are scored with their exact counts by a
-shuffle of (text, token) pairs.
+"""Language-model scoring with a backoff model of all n-grams.
+
+Every token of the training texts is counted, and so is every n-gram of any words; no text is
+sampled or cut.  N-grams seen ``least`` times or more are smoothed by absolute discounting.
+With p(w | h) for a kept n-gram and else the backoff weight of h times p(w | h without its
+first word), the log10 score of a text is a sum over the n-grams in it: each kept one adds
+log p(w | h) - log bow(h) - log p(w | shorter h), each context log bow, each word log p(w).
+(With a count of ``least`` or more its prefix and suffix have one too, so both are kept.)
+
+Those weights are a table, however large.  Only helpers that don't change results are
+broadcast: the commonest ``words`` tokens and ``hot`` weights are looked up in place, and bits
+(a Bloom filter of two hashes) keep n-grams that have no weight from being shuffled.
+All other tokens and n-grams get their counts and weights by a join.  An n-gram's key is a
+64-bit hash of its prefix's and suffix's keys; a word's is its XXH64 (seed 42).
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ END = b""
 LONGEST = 64
 #: Distinct entries that a counting task holds before it passes them on.
 HELD = 400_000
-_WORD = (1 << 32) - 1
+#: The filter has two to this power bits.
+BITS = 26
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,86 +48,69 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 @dataclass
-class Automaton:
-    """States are numbered from 0, the empty context, whose arcs are the words themselves.
-
-    ``unigram`` and ``after`` end with an entry for words beyond the dictionary (number -1).
-    """
+class Model:
+    """``unigram`` and ``hashes`` by word number; ``unigram`` ends with an entry for words beyond the dictionary (number -1)."""
 
     words: dict[bytes, int] = field(repr=False)
-    unigram: list[float] = field(repr=False)  # log10 by word
-    after: list[int] = field(repr=False)  # the state after a word, from the empty context
-    arcs: list[dict[int, tuple[float, int]]] = field(repr=False)  # by state: word to (log10, next state)
-    backoff: list[float] = field(repr=False)  # log10 by state; 0 for state 0
-    failure: list[int] = field(repr=False)
+    unigram: np.ndarray = field(repr=False)  # log10
+    hashes: np.ndarray = field(repr=False)
+    order: int = 1
     total: int = 0
     kinds: int = 0
+    table: DataFrame | None = None  # gram, v: the weights of all n-grams and contexts
+    hot: tuple[np.ndarray, np.ndarray] = field(default=(np.zeros(0, np.uint64), np.zeros(0)), repr=False)
+    bits: np.ndarray | None = field(default=None, repr=False)
+
+
+def numbered(texts: list, words: dict[bytes, int], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """For all tokens of ``texts``: row, number in the dictionary (-1: none) and key; and the other tokens of each row."""
+    found = [tokens(t) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = [t for f in found for t in f]
+    ids = np.fromiter(map(words.get, flat, repeat(-1)), np.int64, len(flat))
+    rows = np.repeat(np.arange(len(found)), sizes)
+    keys = np.append(hashes, np.uint64(0))[ids]
+    others: list[list[bytes]] = [[] for _ in found]
+    for i in np.flatnonzero(ids < 0).tolist():
+        others[rows[i]].append(flat[i])
+        keys[i] = xxhash.xxh64_intdigest(flat[i], 42)
+    return rows, ids, keys, others
+
+
+def mixed(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    x = (prefix ^ prefix >> np.uint64(31)) * _MIX[0] + suffix * _MIX[1]
+    x = (x ^ x >> np.uint64(29)) * _MIX[2]
+    return x ^ x >> np.uint64(32)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter has the keys; never wrongly false."""
+    out, wide = np.ones(len(keys), bool), len(bits).bit_length() + 5  # two to this power bits
+    for shift in (64 - wide, 8):
+        at = keys >> np.uint64(shift) & np.uint64((1 << wide) - 1)
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def filter_bits(keys: DataFrame) -> np.ndarray:
+    """The filter over the column ``gram``; its size does not depend on the keys."""
+    at = [F.shiftrightunsigned("gram", s).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) for s in (64 - BITS, 8)]
+    size = 1 << min(20, BITS)  # bits of a block: blocks, not rows for bits, go to the driver
 
-    def traverse(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
-        """n_tokens, those in the dictionary, base and model sums without the others, and the others."""
-        found = tokens(text)
-        ids = list(map(self.words.get, found, repeat(-1)))
-        others = [t for t, i in zip(found, ids) if i < 0] if -1 in ids else []
-        arcs, backoff, failure, unigram, after = self.arcs, self.backoff, self.failure, self.unigram, self.after
-        state, score = 0, 0.0
-        for word in ids:
-            while state:
-                arc = arcs[state].get(word)
-                if arc is not None:
-                    score += arc[0]
-                    state = arc[1]
-                    break
-                score += backoff[state]
-                state = failure[state]
-            else:
-                score += unigram[word]
-                state = after[word]
-        return len(found), len(found) - len(others), sum(map(unigram.__getitem__, ids)), score, others
-
-
-def build(words: list[bytes], counts: list[int], grams: dict[tuple[int, ...], int], total: int, kinds: int, discount: float = 0.75) -> Automaton:
-    """Smooth the counts and lay out states, arcs and failure arcs.
-
-    p(w | h) is (c(hw) - discount) / c(h) for a kept n-gram, else the backoff weight of h
-    times p(w | h without its first word), so that each context's probabilities add up to 1.
-    """
-    low = total + 0.5 * (kinds + 1)
-    p1 = [(c + 0.5) / low for c in counts]
-    p: dict[tuple[int, ...], float] = {}
-    bow: dict[tuple[int, ...], float] = {}
-
-    def prob(h: tuple[int, ...], w: int) -> float:
-        scale = 1.0
-        while h:
-            if (found := p.get((*h, w))) is not None:
-                return scale * found
-            scale *= bow.get(h, 1.0)
-            h = h[1:]
-        return scale * p1[w]
-
-    by_context: dict[tuple[int, ...], list[int]] = {}
-    for gram in grams:
-        by_context.setdefault(gram[:-1], []).append(gram[-1])
-    for h in sorted(by_context, key=lambda h: (len(h), h)):
-        seen = counts[h[0]] if len(h) == 1 else grams[h]
-        lower = sum(prob(h[1:], w) for w in by_context[h])
-        for w in by_context[h]:
-            p[(*h, w)] = (grams[(*h, w)] - discount) / seen
-        bow[h] = max(1e-300, 1.0 - sum(p[(*h, w)] for w in by_context[h])) / max(1e-300, 1.0 - lower)
-    state = {h: i for i, h in enumerate(sorted(by_context, key=lambda h: (len(h), h)), 1)}
-
-    def place(h: tuple[int, ...]) -> int:
-        while h and h not in state:
-            h = h[1:]
-        return state[h] if h else 0
-
-    order = max((len(h) for h in by_context), default=0)
-    made = Automaton({w: i for i, w in enumerate(words)}, [*[math.log10(x) for x in p1], 0.0], [*[place((w,)) for w in range(len(words))], 0], [{}], [0.0], [0], total, kinds)
-    for h in state:
-        made.backoff.append(math.log10(bow[h]))
-        made.failure.append(place(h[1:]))
-        made.arcs.append({w: (math.log10(p[(*h, w)]), place((*h, w)[-order:])) for w in by_context[h]})
-    return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = np.unique(batch.column("at").to_numpy(zero_copy_only=False))
+            for block in np.unique(found // size).tolist():
+                held.setdefault(block, np.zeros(size, bool))[found[found // size == block] % size] = True
+        for block, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    each = keys.select(F.explode(F.array(*at)).alias("at")).repartition(F.floor(F.col("at") / size)).mapInArrow(run, "block long, bits binary")
+    bits = np.zeros((1 << BITS) // 64, np.uint64)
+    for r in each.collect():
+        bits[r.block * size // 64 : (r.block + 1) * size // 64] = np.frombuffer(r.bits, np.uint64)
+    return bits
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,54 +129,48 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
-def _grams_at(ids: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """For each place, the number of the kept n-gram that ends there (-1: none); ids below 0 break n-grams."""
-    at = ids
-    for keys in levels:
-        before = np.concatenate(([-1], at[:-1]))
-        key = np.where((before >= 0) & (ids >= 0), before << 32 | ids & _WORD, -1)
-        place = np.searchsorted(keys, key)
-        at = np.where((key >= 0) & (keys[np.minimum(place, len(keys) - 1)] == key), place, -1) if len(keys) else np.full(len(ids), -1)
-    return at
-
+def _count_grams(shared, order: int):
+    """The n-grams of ``order`` whose prefix and suffix may be kept, as (prefix, suffix, c)."""
 
-def _count_grams(shared, levels: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids: list = []
-
-        def add():
-            nonlocal keys, counts, ids
-            own = np.array(ids, dtype=np.int64)
-            ids = []
-            before = np.concatenate(([-1], _grams_at(own, levels)[:-1]))
-            fine = (before >= 0) & (own >= 0)
-            new, n = np.unique(before[fine] << 32 | own[fine], return_counts=True)
-            every, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, counts = every, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
+        words, hashes, known, levels = shared.value
+        held, size = [], 0
 
         def out():
-            nonlocal keys, counts
-            batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "c"])
-            keys, counts = keys[:0], counts[:0]
-            return batch
+            nonlocal held, size
+            prefix, suffix, n = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            by = np.lexsort((suffix, prefix))
+            prefix, suffix, n = prefix[by], suffix[by], n[by]
+            starts = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])))) if len(prefix) else by
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(prefix[starts].view(np.int64)), pa.array(suffix[starts].view(np.int64)), pa.array(np.add.reduceat(n, starts) if len(starts) else n)], ["prefix", "suffix", "c"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids.extend(map(words.get, tokens(text), repeat(-1)))
-                ids.append(-1)
-                if len(ids) >= HELD:
-                    add()
-                    if len(keys) >= 2 * HELD:
-                        yield out()
-        if ids:
-            add()
+            for a in range(0, batch.num_rows, 200):
+                rows, _, keys, _ = numbered(batch.column("text").slice(a, 200).to_pylist(), words, hashes)
+                fine = may_hold(levels[0], keys) if known is None else np.isin(keys, known)
+                for n in range(2, order + 1):
+                    prefix, suffix, both = keys[:-1], keys[1:], fine[:-1] & fine[1:] & (rows[:-1] == rows[1:])
+                    if n == order:
+                        break
+                    keys, rows = mixed(prefix, suffix), rows[1:]
+                    fine = both & may_hold(levels[n - 1], keys)
+                    # a place's n-gram ends in its row; it began there too if it is fine
+                held.append((prefix[both], suffix[both], np.ones(int(both.sum()), np.int64)))
+                size += len(held[-1][0])
+                if size >= 4 * HELD:
+                    yield out()
         yield out()
 
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gram = mixed(*(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("prefix", "suffix")))
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *(batch.column(c) for c in ("prefix", "suffix", "c"))], ["gram", "prefix", "suffix", "c"])
+
+
 def frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
     """The rows with the highest ``c``, at most ``most``: those from a threshold that a histogram gives."""
     step = F.floor(F.log2("c") * 16).cast("int")
@@ -203,66 +183,107 @@ def frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
     return counts.where((F.col("c") >= least) & (step >= low)) if low is not None else counts.limit(0)
 
 
-def train(docs: DataFrame, text_col: str = "text", *, order: int = 3, words: int = 200_000, state_words: int = 20_000, arcs: int = 200_000, least: int = 2) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the exact counts of all tokens (token, c)."""
+def train(docs: DataFrame, text_col: str = "text", *, order: int = 3, words: int = 200_000, state_words: int | None = None, hot: int = 200_000, least: int = 2, discount: float = 0.75) -> tuple[Model, DataFrame]:
+    """The model, and the exact counts of all tokens (token, c); n-grams of the ``state_words`` commonest alone where that is given."""
     texts = docs.select(F.col(text_col).alias("text"))
     counts = stored(texts.mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, kinds = map(int, counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
     kept = frequent(counts.where(F.octet_length("token") <= LONGEST), words, 1).toPandas()
     kept = sorted(zip(map(bytes, kept["token"]), map(int, kept["c"])), key=lambda x: (-x[1], x[0]))
-    names, each = [t for t, _ in kept], [c for _, c in kept]
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast({t: i for i, t in enumerate(names[:state_words])})
-    levels: list[np.ndarray] = []
-    grams: dict[tuple[int, ...], int] = {}
-    level = [(i,) for i in range(len(names))]
-    for _ in range(2, order + 1):
-        table = stored(texts.mapInArrow(_count_grams(shared, levels), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "grams")
-        rows = frequent(table, arcs, least).toPandas().sort_values("gram")
-        keys = rows["gram"].to_numpy(dtype=np.int64)
-        level = [(*level[k >> 32], k & _WORD) for k in keys.tolist()]
-        grams |= zip(level, map(int, rows["c"]))
-        levels = [*levels, keys]
-    return build(names, each, grams, int(total), int(kinds)), counts
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    low = total + 0.5 * (kinds + 1)
+    names = {t: i for i, (t, _) in enumerate(kept)}
+    hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t, _ in kept], dtype=np.uint64)
+    model = Model(names, np.append(np.log10((np.array([c for _, c in kept]) + 0.5) / low), 0.0), hashes, order, total, kinds)
+    if order < 2:
+        return model, counts
+    before = counts.select(F.xxhash64("token").alias("gram"), "c", ((F.col("c") + 0.5) / low).alias("p"))
+    known = None if state_words is None else hashes[:state_words]
+    levels, weights = [filter_bits(before.where(F.col("c") >= least))], []
+    for n in range(2, order + 1):
+        shared = docs.sparkSession.sparkContext.broadcast((names, hashes, known, levels))
+        table = texts.mapInArrow(_count_grams(shared, n), "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        grams = table.mapInArrow(_named, "gram long, prefix long, suffix long, c long")
+        lower = grams.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        seen = lower.join(before.select(F.col("gram").alias("prefix"), F.col("c").alias("seen")), "prefix")
+        level = stored(seen.select("gram", "prefix", "c", "lower", ((F.col("c") - discount) / F.col("seen")).alias("p")), "grams")
+        shared.unpersist()
+        rest = lambda c: F.greatest(F.lit(1e-300), 1.0 - F.sum(c))
+        bow = stored(level.groupBy("prefix").agg(F.log10(rest("p") / rest("lower")).alias("bow"), F.sum("c").alias("c")), "backoff")
+        weights.append(level.join(bow.select("prefix", "bow"), "prefix").select("gram", (F.log10("p") - F.log10("lower") - F.col("bow")).alias("v"), "c"))
+        weights.append(bow.select(F.col("prefix").alias("gram"), F.col("bow").alias("v"), "c"))
+        before = level.select("gram", "c", "p")
+        if n < order:
+            levels = [*levels, filter_bits(before)]
+    every = weights[0]
+    for w in weights[1:]:
+        every = every.unionByName(w)
+    model.table = stored(every.groupBy("gram").agg(F.sum("v").alias("v"), F.max("c").alias("c")), "weights")
+    model.bits = filter_bits(model.table)
+    top = frequent(model.table, hot, least).select("gram", "v").toPandas()
+    keys = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    model.hot = keys[by], top["v"].to_numpy(dtype=np.float64)[by]
+    return model, counts
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """id, the ``extra`` columns, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     A null or empty text is the end alone.  Repeated rows are scored each; ids may be null.
     With nothing to learn from, every token counts as unseen.
     """
     extra = extra or {}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.unigram, model.hashes, model.order, *model.hot, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, row = shared.value, TaskContext.get().partitionId() << 40
+        (words, unigram, hashes, order, hot, value, bits), row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                found = [made.traverse(t) for t in part.column("text").to_pylist()]
-                rest = [Counter(r[4]) for r in found]
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                rows, ids, keys, others = numbered(part.column("text").to_pylist(), words, hashes)
+                n, rest = part.num_rows, [Counter(o) for o in others]
+                sizes = np.bincount(rows, minlength=n)
+                known = np.bincount(rows, weights=ids >= 0, minlength=n).astype(np.int64)
+                base = np.bincount(rows, weights=unigram[ids], minlength=n)
+                more, cold = np.zeros(n), []
+                fine = np.ones(len(keys), bool)
+                for level in range(1, order + 1 if bits is not None else 1):
+                    if level > 1:
+                        fine = fine[:-1] & fine[1:] & (rows[:-1] == rows[1:])
+                        keys, rows = mixed(keys[:-1], keys[1:]), rows[1:]
+                    at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+                    hit = fine & (hot[at] == keys) if len(hot) else np.zeros(len(keys), bool)
+                    more += np.bincount(rows[hit], weights=value[at[hit]], minlength=n)
+                    left = np.flatnonzero(fine & ~hit)
+                    left = left[may_hold(bits, keys[left])]
+                    cold.append((rows[left], keys[left]))
+                at, grams = (np.concatenate(c) for c in zip(*cold)) if cold else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n)))), pa.int32()), pa.array(grams[np.argsort(at, kind="stable")].view(np.int64)))
                 ends = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
                 pairs = pa.StructArray.from_arrays(
                     [pa.array([t for c in rest for t in c], pa.binary()), pa.array([n for c in rest for n in c.values()], pa.int64())], ["token", "tf"]
                 )
                 columns = [
-                    pa.array(range(row, row + len(found)), pa.int64()), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()),
-                    pa.array([r[2] for r in found], pa.float64()), pa.array([r[3] for r in found], pa.float64()), pa.ListArray.from_arrays(ends, pairs),
+                    pa.array(range(row, row + n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
+                    pa.array(base), pa.array(base + more), pa.ListArray.from_arrays(ends, pairs), grams,
                 ]
-                row += len(found)
+                row += n
                 keep = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + columns, [*keep, "__row", "n_tokens", "__in", "__base", "__score", "__rest"])
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + columns, [*keep, "__row", "n_tokens", "__in", "__base", "__score", "__rest", "__grams"])
 
     given = docs.select(F.col(id_col).alias("__id"), *[c.alias(n) for n, c in extra.items()], F.col(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "text")
-    part = stored(given.mapInArrow(run, f"{kinds}, __row long, n_tokens long, __in long, __base double, __score double, __rest array<struct<token: binary, tf: long>>"), "traversed")
+    part = stored(given.mapInArrow(run, f"{kinds}, __row long, n_tokens long, __in long, __base double, __score double, __rest array<struct<token: binary, tf: long>>, __grams array<long>"), "traversed")
     rest = part.select("__row", F.inline("__rest")).join(counts, "token", "left")
     c = F.coalesce("c", F.lit(0))
     log = F.log10((c + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))
     sums = rest.groupBy("__row").agg(F.sum(F.col("tf") * log).alias("__more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("__known"))
     more = F.coalesce("__more", F.lit(0.0))
-    return part.join(sums, "__row", "left").select(
+    joined = part.drop("__rest", "__grams").join(sums, "__row", "left").withColumn("__cold", F.lit(0.0))
+    if model.table is not None:
+        cold = part.select("__row", F.explode("__grams").alias("gram")).join(model.table.select("gram", "v"), "gram").groupBy("__row").agg(F.sum("v").alias("__v"))
+        joined = joined.join(cold, "__row", "left").withColumn("__cold", F.coalesce("__v", F.lit(0.0)))
+    return joined.select(
         F.col("__id").alias(id_col), *extra, "n_tokens", (F.col("__in") + F.coalesce("__known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + more).alias("base_score"), (F.col("__score") + more).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + more).alias("base_score"), (F.col("__score") + F.col("__cold") + more).alias("score"),
     )

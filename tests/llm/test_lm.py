@@ -110,3 +110,14 @@ def test_nothing_to_learn_from(spark):
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0
     assert got[1].score == pytest.approx(0.0) and got[2].n_tokens == 1
     assert lm.score(df.limit(0), model, counts).count() == 0
+
+
+@pytest.mark.parametrize("hot,bits", [(0, 27), (50, 10), (300_000, 27)])
+def test_all_words_have_their_ngrams(spark, monkeypatch, hot, bits):
+    monkeypatch.setattr(lm, "BITS", bits)
+    rows = corpus() + [(200, "seldom heard phrase"), (201, "seldom heard phrase " + "y" * 80), (202, "seldom heard phrase")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, counts = lm.train(df, words=20, hot=hot)  # a dictionary of twenty words bounds no n-gram
+    brute = Brute([t for _, t in rows], 3, 10**6, 10**6)
+    got = {r.doc_id: r.score for r in lm.score(df, model, counts).collect()}
+    assert got == pytest.approx({i: brute.score(t) for i, t in rows}, rel=1e-9)
