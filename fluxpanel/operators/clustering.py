@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
+from statistics import median
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -62,9 +64,9 @@ def separation(points: DataFrame, features: str = "features", label: str = "pred
 def fit_grid(scaled: DataFrame, columns: Sequence[str] = INPUTS, ks: Sequence[int] = range(3, 9), seeds: Sequence[int] = range(5), key: str = "user_id"):
     """For each k the restart of least cost, its metrics and stability; and the labels of the chosen k.
 
-    Stability is the mean adjusted Rand index of the restarts against the best one.  The k
-    with the smallest sum of ranks wins (Calinski-Harabasz high, Davies-Bouldin low,
-    stability high), ties to the smaller k.
+    Stability is the median adjusted Rand index over all pairs of restarts.  The k with the
+    smallest sum of ranks wins (Calinski-Harabasz high, Davies-Bouldin low, stability and
+    the smallest cluster's share high), ties to the smaller k.
     """
     points = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select(key, "features").cache()
     rows, labels = [], {}
@@ -73,10 +75,15 @@ def fit_grid(scaled: DataFrame, columns: Sequence[str] = INPUTS, ks: Sequence[in
         best = min(fits, key=lambda m: m.summary.trainingCost)
         labels[k] = best.transform(points).select(key, "features", "prediction")
         sep = separation(labels[k]).first()
-        others = [adjusted_rand(labels[k].select(key, F.col("prediction").alias("a")).join(m.transform(points).select(key, F.col("prediction").alias("b")), key), "a", "b").first().adjusted_rand for m in fits if m is not best]
-        rows.append((k, best.summary.trainingCost, sep.calinski_harabasz, sep.davies_bouldin, sum(others) / len(others) if others else 1.0))
-    table = scaled.sparkSession.createDataFrame(rows, "k int, inertia double, calinski_harabasz double, davies_bouldin double, stability double")
-    chosen = rank_sum(table, {"calinski_harabasz": False, "davies_bouldin": True, "stability": False}, "k").first().k
+        shares = labels[k].groupBy("prediction").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
+        runs = points
+        for i, m in enumerate(fits):
+            runs = m.copy().setPredictionCol(f"run_{i}").transform(runs)
+        pairs = [F.struct(F.lit(f"{i}-{j}").alias("pair"), F.col(f"run_{i}").alias("a"), F.col(f"run_{j}").alias("b")) for i, j in combinations(range(len(fits)), 2)]
+        rand = [r.adjusted_rand for r in adjusted_rand(runs.select(F.inline(F.array(*pairs))), "a", "b", ["pair"]).collect()] if pairs else []
+        rows.append((k, best.summary.trainingCost, sep.calinski_harabasz, sep.davies_bouldin, median(rand) if rand else 1.0, shares.least / shares.n if shares.k == k else 0.0))
+    table = scaled.sparkSession.createDataFrame(rows, "k int, inertia double, calinski_harabasz double, davies_bouldin double, stability double, smallest_share double")
+    chosen = rank_sum(table, {"calinski_harabasz": False, "davies_bouldin": True, "stability": False, "smallest_share": False}, "k").first().k
     return table, labels[chosen].select(key, F.concat(F.lit("cluster_"), F.col("prediction").cast("string")).alias("auto_cluster")), chosen
 
 

@@ -449,7 +449,7 @@ def user_clusters(spark, sf):
 
     users = segments.snapshot(panel(spark, sf), windows(spark)).where("id = 'w3'")
     scaled = clustering.robust_scale(clustering.inputs(clustering.eligible(users)).select("user_id", *clustering.INPUTS), clustering.INPUTS)
-    _, labels, _ = clustering.fit_grid(scaled, ks=(3, 4), seeds=(0, 1))
+    _, labels, _ = clustering.fit_grid(scaled)
     return clustering.hybrid(users, labels).select("user_id", "segment", "auto_cluster", "hybrid_segment")
 
 

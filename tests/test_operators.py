@@ -272,3 +272,25 @@ def test_cluster_grid_finds_separate_groups(spark):
     assert k in (2, 3, 4) and labels.count() == 90
     three = clustering.fit_grid(scaled, ["a", "b"], ks=(3,), seeds=(0, 1, 2))[1].withColumn("truth", F.col("user_id") % 3)
     assert segments.adjusted_rand(three, "auto_cluster", "truth").first().adjusted_rand > 0.5
+
+
+def test_cluster_grid_is_whole(spark, monkeypatch):
+    import inspect
+
+    from fluxpanel.plans import panel_queries
+
+    rng = random.Random(6)
+    rows = [(i, 5.0 * (i % 3 == 0) + rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(80)]
+    scaled = clustering.robust_scale(spark.createDataFrame(rows, "user_id long, a double, b double"), ["a", "b"])
+    row = clustering.fit_grid(scaled, ["a", "b"], ks=(4,), seeds=(0, 1, 2, 3))[0].first()
+    runs = []
+    for seed in range(4):
+        points = clustering.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(scaled)
+        model = clustering.KMeans(k=4, seed=seed, maxIter=100, tol=1e-7).fit(points)
+        runs.append((model.summary.trainingCost, model.transform(points).select("user_id", "prediction")))
+    pairs = [segments.adjusted_rand(a.withColumnRenamed("prediction", "x").join(b.withColumnRenamed("prediction", "y"), "user_id"), "x", "y").first().adjusted_rand for i, (_, a) in enumerate(runs) for _, b in runs[i + 1 :]]
+    assert row.stability == pytest.approx((sorted(pairs)[2] + sorted(pairs)[3]) / 2)
+    assert row.smallest_share == min(r["count"] for r in min(runs, key=lambda r: r[0])[1].groupBy("prediction").count().collect()) / 80
+    assert "fit_grid(scaled)" in inspect.getsource(panel_queries.user_clusters)
+    grid = inspect.signature(clustering.fit_grid).parameters
+    assert list(grid["ks"].default) == [3, 4, 5, 6, 7, 8] and len(grid["seeds"].default) == 5
