@@ -176,10 +176,12 @@ def json_records(df: DataFrame) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, columns: Sequence[str] | None = None, decimals: int = 4, labels: Mapping[str, str] | None = None, most: int = 1000) -> str:
-    """A small table as Markdown; formatted by Spark, at most ``most`` rows."""
+    """A small table as Markdown; formatted by Spark; more than ``most`` rows are refused."""
     columns, labels, kinds = list(columns or df.columns), labels or {}, dict(df.dtypes)
     text = [F.coalesce(F.format_number(c, decimals) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit("")) for c in columns]
-    lines = [r[0] for r in df.limit(most).select(F.concat(F.lit("| "), F.concat_ws(" | ", *text), F.lit(" |"))).collect()]
+    lines = [r[0] for r in df.limit(most + 1).select(F.concat(F.lit("| "), F.concat_ws(" | ", *text), F.lit(" |"))).collect()]
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rows for a Markdown table")
     head = "| " + " | ".join(labels.get(c, c) for c in columns) + " |"
     return "\n".join([head, "|" + " --- |" * len(columns), *lines]) + "\n"
 

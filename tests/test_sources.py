@@ -103,3 +103,10 @@ def test_stream_equals_batch(spark, tmp_path):
         n, c = want.get((ts.day, kind), (0, 0))
         want[ts.day, kind] = (n + 1, c + int(v * 100 + 0.5))
     assert got == want
+
+
+def test_markdown_table_refuses_what_it_would_cut(spark):
+    df = spark.range(3)
+    assert files.markdown_table(df, most=3).count("\n") == 5
+    with pytest.raises(ValueError):
+        files.markdown_table(df, most=2)
