@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,68 @@ def pair_statistics(pairs: DataFrame, by: Sequence[str] = ("a", "b")) -> DataFra
     return ranked.groupBy(*by).agg(F.count("*").alias("pairs"), F.when(two, correlation("x", "y")).alias("pearson"), F.when(two, correlation("rx", "ry")).alias("spearman"))
 
 
+def ranked_in_ranges(rows: DataFrame, by: str, value: str, steps: int = 256) -> DataFrame:
+    """``rows`` with ``rank``, the average rank of ``value`` among all rows of ``by``, without sorting a group in one task.
+
+    Equal values are counted first; counts of ranges of values (``steps`` for each doubling) say
+    how many lie below a range, and only the distinct values of one range are put in order.
+    """
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("range", F.floor(F.signum(value) * F.log2(F.abs(value) + 1.0) * steps))
+    below = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy(by, "range").agg(F.sum("n").alias("m")).withColumn("below", F.coalesce(F.sum("m").over(below), F.lit(0)))
+    inside = Window.partitionBy(by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(ranges.select(by, "range", "below"), [by, "range"])
+    rank = F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2.0
+    return rows.join(placed.select(by, value, rank.alias("rank")), [by, value])
+
+
+def user_spearman(metrics: DataFrame, value: str, key: str = "user_id") -> DataFrame:
+    """Spearman of every pair of targets over users: a, b, user_spearman; ``metrics`` has a row for each user and target."""
+    ranked = ranked_in_ranges(metrics.select(key, "target", F.col(value).cast("double").alias("v")), "target", "v")
+    wide = ranked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("target", "rank"))).alias("m"))  # a user's targets
+    names = sorted(r[0] for r in metrics.select("target").distinct().collect())  # of the panel's columns
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("m")[a].alias("x"), F.col("m")[b].alias("y")) for a in names for b in names if a != b]
+    return wide.select(F.inline(F.array(*cells))).where("x is not null and y is not null").groupBy("a", "b").agg(correlation("x", "y").alias("user_spearman"))
+
+
+#: Statistics of a rate and a flow: which form of each, and which correlation.
+GRID = {
+    "pearson_raw": ("x", "y", "pearson"), "pearson_log": ("x", "l", "pearson"), "spearman": ("x", "y", "spearman"), "residual_corr": ("x_res", "l_res", "pearson"), "lag1_spearman": ("x_lag1", "y", "spearman"),
+    "lag7_spearman": ("x_lag7", "y", "spearman"), "diff1_corr": ("x_diff1", "l_diff1", "pearson"), "diff7_corr": ("x_diff7", "l_diff7", "pearson"), "lagged_diff1_corr": ("x_diff1_lag1", "l_diff1", "pearson"),
+}
+
+
+def _forms(daily: DataFrame, columns: Sequence[str], log: bool, day: str) -> DataFrame:
+    """Each column in long form (name, level, v) with lags, differences and residual of v, the level or its log."""
+    level = F.col("level").cast("double")
+    long = daily.select(day, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("level")) for c in columns])))
+    base = long.withColumns({"v": F.log1p(level) if log else level, "t": F.datediff(day, F.lit("1970-01-01")).cast("double")})
+    w, wd, whole = Window.partitionBy("name").orderBy(day), Window.partitionBy("name", F.weekday(day)), Window.partitionBy("name")
+    lag = lambda n: F.lag("v", n).over(w)
+    out = base.withColumns({
+        "lag1": lag(1), "lag7": lag(7), "diff1": F.col("v") - lag(1), "diff7": F.col("v") - lag(7), "diff1_lag1": lag(1) - lag(2),
+        "v_d": F.col("v") - F.avg("v").over(wd), "t_d": F.col("t") - F.avg(F.when(F.col("v").isNotNull(), F.col("t"))).over(wd),
+    })
+    slope = F.coalesce(F.try_divide(F.sum(F.col("v_d") * F.col("t_d")).over(whole), F.sum(F.when(F.col("v").isNotNull(), F.col("t_d") * F.col("t_d"))).over(whole)), F.lit(0.0))
+    return out.withColumn("res", F.col("v_d") - slope * F.col("t_d")).drop("t", "v_d", "t_d")
+
+
+def rate_grid(daily: DataFrame, rates: Sequence[str], flows: Sequence[str], day: str = "report_date") -> DataFrame:
+    """Of each rate and flow: the nine correlations of ``GRID``, complete pairs of each, and their absolute values.
+
+    ``daily`` is an aggregated series; its columns are put in long form once, so the plan has
+    the same size for any number of them.
+    """
+    x, y = _forms(daily, rates, False, day).alias("x"), _forms(daily, flows, True, day).alias("y")
+    both = x.join(y, day)
+    side = lambda c, table: F.col(f"{table}.{'level' if c in ('x', 'y') else 'v' if c == 'l' else c.partition('_')[2]}")
+    cells = [F.struct(F.lit(s).alias("statistic"), side(a, "x").alias("x"), side(b, "y").alias("y")) for s, (a, b, _) in GRID.items()]
+    found = pair_statistics(both.select(F.col("x.name").alias("rate"), F.col("y.name").alias("flow"), F.inline(F.array(*cells))), ("rate", "flow", "statistic"))
+    value = F.when(F.col("statistic").endswith("spearman"), F.col("spearman")).otherwise(F.col("pearson"))
+    return found.select("rate", "flow", "statistic", "pairs", value.alias("value"), F.abs(value).alias("abs_value"))
+
+
 def residuals(df: DataFrame, columns: Sequence[str], day: str = "report_date") -> DataFrame:
     """Columns less intercept, linear trend and weekday means (least squares).
 
@@ -82,6 +144,25 @@ def group_profile(df: DataFrame, category: str, values: Sequence[str]) -> DataFr
     )
 
 
+def demographic_grid(metrics: DataFrame, profile: DataFrame, features: Sequence[str], values: Mapping[str, Column], key: str = "user_id") -> DataFrame:
+    """Eta squared of each value (by name) by each feature, for every target of the long ``metrics``; one grouping for all."""
+    joined = metrics.join(profile.select(key, *features), key)
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("group"), F.lit(n).alias("metric"), v.cast("double").alias("v")) for f in features for n, v in values.items()]
+    return eta_squared(joined.select("target", F.inline(F.array(*cells))), "group", "v", ["feature", "target", "metric"])
+
+
+def crossed_grid(metrics: DataFrame, profile: DataFrame, crosses: Sequence[Sequence[str]], value: Column, least: int = 50, key: str = "user_id", other: str = "__SMALL_GROUP__") -> DataFrame:
+    """Eta squared of ``value`` by each cross of features, groups under ``least`` users being one, for every target."""
+    names = sorted({f for c in crosses for f in c})
+    cells = [F.struct(F.lit("_x_".join(c)).alias("feature"), F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in c]).alias("group")) for c in crosses]
+    users = profile.join(metrics.select(key).distinct(), key, "left_semi").select(key, *names).select(key, F.inline(F.array(*cells)))
+    sizes = users.groupBy("feature", "group").agg(F.count("*").alias("n"))
+    raw = sizes.groupBy("feature").agg(F.count("*").alias("raw_groups"))  # a row for each cross
+    kept = users.join(sizes, ["feature", "group"]).withColumn("group", F.when(F.col("n") < least, other).otherwise(F.col("group")))
+    found = eta_squared(metrics.select(key, "target", value.alias("v")).join(kept, key), "group", "v", ["feature", "target"])
+    return found.join(F.broadcast(raw), "feature")
+
+
 #: Pairs of which one is a component of the other, and the stocks among the targets.
 MECHANICAL = (
     ("total_purchase_amt", "direct_purchase_amt"), ("direct_purchase_amt", "purchase_bal_amt"), ("direct_purchase_amt", "purchase_bank_amt"), ("total_purchase_amt", "share_amt"),

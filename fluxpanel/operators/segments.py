@@ -117,28 +117,37 @@ def _active(name: str) -> Column:
     return F.avg((F.col(f"future_{name}_days") > 0).cast("int"))
 
 
+OUTCOMES = ("purchase", "redeem", "consume", "transfer")
+
+
 def summarize_segments(users: DataFrame, label: str = "segment") -> DataFrame:
-    """Of each window and segment: users, shares, future activity with its lift, balance and flow shares."""
+    """Of each window and segment: users, shares, future activity with its lift, and total, mean, median and share of each future flow."""
     groups = users.groupBy("id", label).agg(
         F.count("*").alias("users"), _active("purchase").alias("purchase_rate"), _active("redeem").alias("redeem_rate"), F.sum("end_balance_life").alias("balance"),
-        F.sum("future_purchase").alias("future_purchase"), F.sum("future_redeem").alias("future_redeem"), F.avg("future_purchase").alias("mean_purchase"),
-        F.percentile("future_purchase", F.lit(0.5)).alias("median_purchase"),
+        *[x for t in OUTCOMES for x in (F.sum(f"future_{t}").alias(f"future_{t}"), F.avg(f"future_{t}").alias(f"mean_{t}"))],
     )
+    flows = F.inline(F.array(*[F.struct(F.lit(t).alias("flow"), F.col(f"future_{t}").cast("double").alias("v")) for t in OUTCOMES]))
+    middle = group_quantiles(users.select("id", label, flows).withColumn("p", F.lit(0.5)), ["id", label, "flow"])
+    medians = middle.groupBy("id", label).agg(*[F.max(F.when(F.col("flow") == t, F.col("quantile"))).alias(f"median_{t}") for t in OUTCOMES])
     w = Window.partitionBy("id")
-    total = {c: F.sum(c).over(w) for c in ("users", "balance", "future_purchase", "future_redeem")}
-    rate = F.sum(F.col("purchase_rate") * F.col("users")).over(w) / total["users"]
-    return groups.withColumns({
-        "user_share": safe_divide("users", total["users"]), "balance_share": safe_divide("balance", total["balance"]), "purchase_lift": safe_divide("purchase_rate", rate),
-        "purchase_share": safe_divide("future_purchase", total["future_purchase"]), "redeem_share": safe_divide("future_redeem", total["future_redeem"]),
+    total = lambda c: F.sum(c).over(w)
+    lift = lambda t: safe_divide(f"{t}_rate", total(F.col(f"{t}_rate") * F.col("users")) / total("users"))
+    return groups.join(medians, ["id", label]).withColumns({
+        "user_share": safe_divide("users", total("users")), "balance_share": safe_divide("balance", total("balance")), "purchase_lift": lift("purchase"), "redeem_lift": lift("redeem"),
+        **{f"{t}_share": safe_divide(f"future_{t}", total(f"future_{t}")) for t in OUTCOMES},
     })
 
 
 def summarize_rules(users: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
-    """Of each window and rule: covered users, share, future purchase rate with its lift and mean; rules without users too."""
-    long = users.select("id", "future_purchase", "future_purchase_days", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hit")) for r in rules])))
-    hit, bought = F.col("hit"), (F.col("future_purchase_days") > 0).cast("int")
-    groups = long.groupBy("id", "rule").agg(F.count("*").alias("all_users"), F.count_if(hit).alias("users"), F.avg(F.when(hit, bought)).alias("purchase_rate"), F.avg(bought).alias("base_rate"), F.avg(F.when(hit, F.col("future_purchase"))).alias("mean_purchase"))
-    return groups.select("id", "rule", "users", safe_divide("users", "all_users").alias("coverage"), F.coalesce("purchase_rate", F.lit(0.0)).alias("purchase_rate"), safe_divide("purchase_rate", "base_rate").alias("lift"), F.coalesce("mean_purchase", F.lit(0.0)).alias("mean_purchase"))
+    """Of each window and rule: covered users and share; future purchase and redeem rates with their lifts and means; rules without users too."""
+    kinds = ("purchase", "redeem")
+    long = users.select("id", *[F.col(f"future_{t}{x}") for t in kinds for x in ("", "_days")], F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hit")) for r in rules])))
+    hit, used = F.col("hit"), {t: (F.col(f"future_{t}_days") > 0).cast("int") for t in kinds}
+    sums = [x for t in kinds for x in (F.avg(F.when(hit, used[t])).alias(f"own_{t}"), F.avg(used[t]).alias(f"all_{t}"), F.avg(F.when(hit, F.col(f"future_{t}"))).alias(f"sum_{t}"))]
+    groups = long.groupBy("id", "rule").agg(F.count("*").alias("all_users"), F.count_if(hit).alias("users"), *sums)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    made = [x for t in kinds for x in (zero(f"own_{t}").alias(f"{t}_rate"), safe_divide(f"own_{t}", f"all_{t}").alias(f"{t}_lift"), zero(f"sum_{t}").alias(f"mean_{t}"))]
+    return groups.select("id", "rule", "users", safe_divide("users", "all_users").alias("coverage"), *made)
 
 
 def rule_overlap(users: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:

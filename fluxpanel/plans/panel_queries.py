@@ -286,11 +286,12 @@ def cold_start(spark, sf):
     return segments.cold_start(segments.periods(panel(spark, sf), windows(spark)))
 
 
-_SEG = f"""{_SNAP}, g AS (SELECT id, segment, count(*) AS users, avg((future_purchase_days > 0)::INT) AS purchase_rate, avg((future_redeem_days > 0)::INT) AS redeem_rate, sum(end_balance_life)::BIGINT AS balance, sum(future_purchase)::BIGINT AS future_purchase,
-  sum(future_redeem)::BIGINT AS future_redeem, avg(future_purchase) AS mean_purchase, quantile_cont(future_purchase, 0.5) AS median_purchase FROM snap GROUP BY 1, 2)"""
-_SEG_SQL = f"""SELECT *, users::DOUBLE / sum(users) OVER w AS user_share, coalesce(balance::DOUBLE / nullif(sum(balance) OVER w, 0), 0) AS balance_share, coalesce(purchase_rate / nullif(sum(purchase_rate * users) OVER w / sum(users) OVER w, 0), 0) AS purchase_lift,
-  coalesce(future_purchase::DOUBLE / nullif(sum(future_purchase) OVER w, 0), 0) AS purchase_share, coalesce(future_redeem::DOUBLE / nullif(sum(future_redeem) OVER w, 0), 0) AS redeem_share FROM g WINDOW w AS (PARTITION BY id)"""
-@query(f"{_SEG} {_SEG_SQL}", "purchase_rate redeem_rate mean_purchase median_purchase user_share balance_share purchase_lift purchase_share redeem_share")
+_FUTURE = ("purchase", "redeem", "consume", "transfer")
+_SEG = f"""{_SNAP}, g AS (SELECT id, segment, count(*) AS users, avg((future_purchase_days > 0)::INT) AS purchase_rate, avg((future_redeem_days > 0)::INT) AS redeem_rate, sum(end_balance_life)::BIGINT AS balance,
+  {", ".join(f"sum(future_{t})::BIGINT AS future_{t}, avg(future_{t}) AS mean_{t}, quantile_cont(future_{t}, 0.5) AS median_{t}" for t in _FUTURE)} FROM snap GROUP BY 1, 2)"""
+_SEG_SQL = f"""SELECT *, users::DOUBLE / sum(users) OVER w AS user_share, coalesce(balance::DOUBLE / nullif(sum(balance) OVER w, 0), 0) AS balance_share, {", ".join(f"coalesce({t}_rate / nullif(sum({t}_rate * users) OVER w / sum(users) OVER w, 0), 0) AS {t}_lift" for t in ("purchase", "redeem"))},
+  {", ".join(f"coalesce(future_{t}::DOUBLE / nullif(sum(future_{t}) OVER w, 0), 0) AS {t}_share" for t in _FUTURE)} FROM g WINDOW w AS (PARTITION BY id)"""
+@query(f"{_SEG} {_SEG_SQL}", "purchase_rate redeem_rate user_share balance_share purchase_lift redeem_lift " + " ".join(f"mean_{t} median_{t} {t}_share" for t in _FUTURE))
 def segment_summary(spark, sf):
     return segments.summarize_segments(segments.snapshot(panel(spark, sf), windows(spark)))
 
@@ -308,9 +309,9 @@ def segment_pivot(spark, sf):
     return s.groupBy("segment").pivot("id", ids).count().na.fill(0, ids)
 
 
-@query(f"{_SNAP}, l AS (" + " UNION ALL ".join(f"SELECT id, '{r}' AS rule, {r} AS hit, future_purchase, (future_purchase_days > 0)::INT AS b FROM snap" for r in segments.RULES) + f""")
-SELECT id, rule, count(*) FILTER (hit) AS users, count(*) FILTER (hit)::DOUBLE / count(*) AS coverage, coalesce(avg(b) FILTER (hit), 0) AS purchase_rate, coalesce(avg(b) FILTER (hit) / nullif(avg(b), 0), 0) AS lift,
-  coalesce(avg(future_purchase) FILTER (hit), 0) AS mean_purchase FROM l GROUP BY 1, 2""", "coverage purchase_rate lift mean_purchase")
+@query(f"{_SNAP}, l AS (" + " UNION ALL ".join(f"SELECT id, '{r}' AS rule, {r} AS hit, future_purchase AS m_purchase, future_redeem AS m_redeem, (future_purchase_days > 0)::INT AS b_purchase, (future_redeem_days > 0)::INT AS b_redeem FROM snap" for r in segments.RULES) + f""")
+SELECT id, rule, count(*) FILTER (hit) AS users, count(*) FILTER (hit)::DOUBLE / count(*) AS coverage, {", ".join(f"coalesce(avg(b_{t}) FILTER (hit), 0) AS {t}_rate, coalesce(avg(b_{t}) FILTER (hit) / nullif(avg(b_{t}), 0), 0) AS {t}_lift, coalesce(avg(m_{t}) FILTER (hit), 0) AS mean_{t}" for t in ("purchase", "redeem"))}
+  FROM l GROUP BY 1, 2""", "coverage purchase_rate purchase_lift mean_purchase redeem_rate redeem_lift mean_redeem")
 def rule_summary(spark, sf):
     return segments.summarize_rules(segments.snapshot(panel(spark, sf), windows(spark)))
 
@@ -374,6 +375,23 @@ def demographic_effects(spark, sf):
     return out
 
 
+_METRICS = f"""um2 AS (SELECT m.*, sex::VARCHAR AS sex, city::VARCHAR AS city, constellation FROM (SELECT user_id, target, sum(v)::DOUBLE / (date_diff('day', min(report_date), max(last)) + 1) AS per_day, count(*) FILTER (v > 0)::DOUBLE / (date_diff('day', min(report_date), max(last)) + 1) AS rate,
+  coalesce(sum(v)::DOUBLE / nullif(count(*) FILTER (v > 0), 0), 0) AS positive FROM (SELECT user_id, report_date, target, v FROM (SELECT user_id, report_date, {", ".join(f"coalesce({t}, 0) AS {t}" for t in ops.TARGETS)} FROM panel) UNPIVOT (v FOR target IN ({", ".join(ops.TARGETS)}))), (SELECT max(report_date) AS last FROM panel) GROUP BY 1, 2) m JOIN profile USING (user_id))"""
+_VALUES = {"log1p_amount_per_exposure_day": "ln(1 + per_day)", "active_day_rate": "rate", "log1p_positive_day_amount": "ln(1 + positive)"}
+_DEMO = ("sex", "city", "constellation")
+_CROSSES = (("sex", "city"), ("sex", "constellation"), ("city", "constellation"), ("sex", "city", "constellation"))
+@query(f"{PP}, {_METRICS}, e AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, target, '{n}' AS metric, groups, rows, eta_squared FROM ({_eta_sql('um2', f, v, 'target')})" for f in _DEMO for n, v in _VALUES.items()) + f") SELECT *, {_LABEL} FROM e", "eta_squared")
+def demographic_grid(spark, sf):
+    values = {"log1p_amount_per_exposure_day": F.log1p("per_exposure_day"), "active_day_rate": F.col("active_day_rate"), "log1p_positive_day_amount": F.log1p("positive_day_mean")}
+    return association.demographic_grid(ops.user_metrics(panel(spark, sf)), profile(spark, sf), _DEMO, values)
+
+
+@query(f"{PP}, {_METRICS}, k AS (" + " UNION ALL ".join(f"SELECT '{'_x_'.join(c)}' AS feature, target, per_day, {' || chr(124) || '.join(c)} AS g, count(*) OVER (PARTITION BY target, {', '.join(c)}) AS n FROM um2" for c in _CROSSES) + f"""), z AS (SELECT feature, target, per_day, CASE WHEN n < 50 THEN '__SMALL_GROUP__' ELSE g END AS g FROM k),
+e AS ({_eta_sql("z", "g", "ln(1 + per_day)", "feature, target")}), r AS (SELECT feature, count(DISTINCT g) AS raw_groups FROM k GROUP BY 1) SELECT e.*, raw_groups, {_LABEL} FROM e JOIN r USING (feature)""", "eta_squared")
+def crossed_effects(spark, sf):
+    return association.crossed_grid(ops.user_metrics(panel(spark, sf)), profile(spark, sf), _CROSSES, F.log1p("per_exposure_day"))
+
+
 @query(f"""{PP}, {_TOTALS}, j AS (SELECT *, sex::VARCHAR || '|' || constellation AS k FROM um), z AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY k) < 15 THEN '__SMALL_GROUP__' ELSE k END AS pooled FROM j)
 SELECT pooled, count(*) AS users, sum(purchase)::BIGINT AS purchase FROM z GROUP BY 1""")
 def pooled_groups(spark, sf):
@@ -415,10 +433,17 @@ def _type_sql(a, b):
     if tuple(sorted((a, b))) in {tuple(sorted(p)) for p in association.MECHANICAL}:
         return "mechanical_component_relationship"
     return "balance_behavior_relationship" if {a, b} & set(association.STOCKS) else "behavioral_flow_relationship"
-@query(f"{P}, d AS (SELECT report_date, {', '.join(f'sum(coalesce({t}, 0))::DOUBLE AS {t}' for t in _T)} FROM panel GROUP BY 1), r AS (SELECT report_date, {', '.join(f'rank() OVER (ORDER BY {t}) + (count(*) OVER (PARTITION BY {t}) - 1) / 2.0 AS r_{t}, {t}' for t in _T)} FROM d) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS pairs, corr({a}, {b}) AS pearson, corr(r_{a}, r_{b}) AS spearman, '{_type_sql(a, b)}' AS pair_type FROM r" for i, a in enumerate(_T) for b in _T[i + 1 :]), "pearson spearman")
+_RANK = lambda t: f"rank() OVER (ORDER BY {t}) + (count(*) OVER (PARTITION BY {t}) - 1) / 2.0"
+@query(f"""{P}, d AS (SELECT report_date, {', '.join(f'sum(coalesce({t}, 0))::DOUBLE AS {t}' for t in _T)} FROM panel GROUP BY 1), r AS (SELECT report_date, {', '.join(f'{_RANK(t)} AS r_{t}, {t}' for t in _T)} FROM d),
+u AS (SELECT user_id, {', '.join(f"sum(coalesce({t}, 0))::DOUBLE / (date_diff('day', min(report_date), (SELECT max(report_date) FROM panel)) + 1) AS {t}" for t in _T)} FROM panel GROUP BY 1), ur AS (SELECT {', '.join(f'{_RANK(t)} AS u_{t}' for t in _T)} FROM u), z AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS pairs, corr({a}, {b}) AS pearson, corr(r_{a}, r_{b}) AS spearman, corr(ln(1 + {a}), ln(1 + {b})) AS log_pearson, (SELECT corr(u_{a}, u_{b}) FROM ur) AS user_spearman, '{_type_sql(a, b)}' AS pair_type FROM r" for i, a in enumerate(_T) for b in _T[i + 1 :]) + """)
+SELECT *, greatest(abs(spearman), abs(log_pearson), abs(user_spearman)) AS max_abs_correlation FROM z""", "pearson spearman log_pearson user_spearman max_abs_correlation")
 def target_associations(spark, sf):
     days = panel(spark, sf).groupBy("report_date").agg(*[F.sum(F.coalesce(t, F.lit(0))).alias(t) for t in _T])
-    return association.pair_statistics(association.long_pairs(days, _T, _T, [], triangular=True)).withColumn("pair_type", association.pair_type("a", "b"))
+    stats = association.pair_statistics(association.long_pairs(days, _T, _T, [], triangular=True)).withColumn("pair_type", association.pair_type("a", "b"))
+    logs = association.pair_statistics(association.long_pairs(days.select(*[F.log1p(t).alias(t) for t in _T]), _T, _T, [], triangular=True)).select("a", "b", F.col("pearson").alias("log_pearson"))
+    users = association.user_spearman(ops.user_metrics(panel(spark, sf)), "per_exposure_day")
+    out = stats.join(logs, ["a", "b"]).join(users, ["a", "b"])
+    return out.withColumn("max_abs_correlation", F.greatest(F.abs("spearman"), F.abs("log_pearson"), F.abs("user_spearman")))
 
 
 _BAD = lambda e: f"count(*) FILTER ({e})"
@@ -453,7 +478,38 @@ def user_clusters(spark, sf):
     return clustering.hybrid(users, labels).select("user_id", "segment", "auto_cluster", "hybrid_segment")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in sorted({(p, f, sum(a == p and b == f for a, b, _, _ in features.catalog_rows())) for p, f, _, _ in features.catalog_rows()})) + ") t(priority, family, features)")
+# The catalogue in SQL, written from its rules: families as joins of names with lags and sizes.
+_CATALOG = """WITH demo AS (SELECT * FROM (VALUES (1, 'sex'), (2, 'city'), (3, 'constellation')) x(i, n)), rate AS (SELECT unnest(['mfd_daily_yield', 'mfd_7daily_yield'] || ['Interest_' || x FOR x IN ['O_N', '1_W', '2_W', '1_M', '3_M', '6_M', '9_M', '1_Y']]) AS n),
+target AS (SELECT unnest(['total_purchase_amt', 'total_redeem_amt', 'direct_purchase_amt', 'purchase_bank_amt', 'transfer_amt']) AS n),
+pair AS (SELECT * FROM (VALUES ('mfd_7daily_yield', 'Interest_O_N'), ('mfd_7daily_yield', 'Interest_1_W'), ('mfd_7daily_yield', 'Interest_1_M'), ('mfd_7daily_yield', 'Interest_3_M'), ('Interest_1_Y', 'Interest_O_N'), ('Interest_3_M', 'Interest_O_N'), ('Interest_1_M', 'Interest_1_W')) x(a, b)),
+part AS (SELECT * FROM (VALUES ('bank_purchase_share', 'purchase_bank_amt', 'direct_purchase_amt'), ('balance_purchase_share', 'purchase_bal_amt', 'direct_purchase_amt'), ('share_purchase_share', 'share_amt', 'total_purchase_amt'), ('transfer_redeem_share', 'transfer_amt', 'total_redeem_amt'),
+  ('consume_redeem_share', 'consume_amt', 'total_redeem_amt'), ('transfer_to_card_share', 'tftocard_amt', 'transfer_amt'), ('transfer_to_balance_share', 'tftobal_amt', 'transfer_amt')) x(n, a, b)),
+catalog AS (SELECT 'P0' AS priority, 'raw_demographic' AS family, n AS feature_name, n AS formula, 'user' AS grain FROM demo
+UNION ALL SELECT 'P0', 'demographic_cross', a.n || '_x_' || b.n, a.n || ' + ' || b.n, 'user' FROM demo a JOIN demo b ON a.i < b.i
+UNION ALL SELECT 'P1', 'demographic_cross', string_agg(n, '_x_' ORDER BY i), string_agg(n, ' + ' ORDER BY i), 'user' FROM demo
+UNION ALL SELECT 'P0', 'rate_lag', n || '_lag' || k, 'lag(' || n || ', ' || k || ')', 'date' FROM rate, (SELECT unnest([1, 7]) AS k)
+UNION ALL SELECT 'P0', 'rate_change', n || '_delta' || k || '_lag1', 'lag(' || n || ' - lag(' || n || ',' || k || '), 1)', 'date' FROM rate, (SELECT unnest([1, 7]) AS k)
+UNION ALL SELECT 'P1', 'rate_rolling', n || '_mean' || k, 'rolling_mean(lag(' || n || ',1), ' || k || ')', 'date' FROM rate, (SELECT unnest([7, 14, 28]) AS k)
+UNION ALL SELECT 'P1', 'rate_volatility', n || '_std' || k, 'rolling_std(lag(' || n || ',1), ' || k || ')', 'date' FROM rate, (SELECT unnest([7, 28]) AS k)
+UNION ALL SELECT 'P0', 'rate_spread_curve', 'spread_' || a || '_less_' || b, 'lag(' || a || ' - ' || b || ', 1)', 'date' FROM pair
+UNION ALL SELECT 'P0', 'rate_spread_curve', 'bend_Interest_3_M', 'lag(2 * Interest_3_M - Interest_O_N - Interest_1_Y, 1)', 'date'
+UNION ALL SELECT 'P0', 'target_history', n || '_lag' || k, 'lag(daily_sum(' || n || '), ' || k || ')', 'date' FROM target, (SELECT unnest([1, 7, 14, 28]) AS k)
+UNION ALL SELECT 'P0', 'target_history', n || '_rolling_mean' || k, 'rolling_mean(lag(daily_sum(' || n || '),1), ' || k || ')', 'date' FROM target, (SELECT unnest([7, 14, 28]) AS k)
+UNION ALL SELECT 'P0', 'behavior_composition', n || '_lag1', 'lag(daily(' || a || ' / ' || b || '), 1)', 'date' FROM part
+UNION ALL SELECT 'P0', 'behavior_composition', 'net_flow_lag1', 'lag(daily(total_purchase_amt - total_redeem_amt), 1)', 'date'
+UNION ALL SELECT 'P1', 'segment_history', d.n || '_' || t.n || '_rolling7', 'rolling_mean(lag(daily_sum(' || t.n || ') by ' || d.n || ',1),7)', 'date x segment' FROM demo d, target t
+UNION ALL SELECT 'P1', 'cross_domain_interaction', unnest(['rate_spread_x_bank_share', 'rate_change_x_transfer_share', 'weekday_x_rate_spread', 'new_user_share_x_rate']), unnest(['spread_mfd_7daily_yield_less_Interest_1_W_lag1 * bank_purchase_share_lag1',
+  'delta7(mfd_7daily_yield)_lag1 * transfer_redeem_share_lag1', 'weekday * spread_mfd_7daily_yield_less_Interest_1_W_lag1', 'new_user_share_lag1 * mfd_7daily_yield_lag1']), 'date'
+UNION ALL SELECT 'P2_NOT_NOW', 'defer_or_reject', unnest(['all_pairwise_polynomials', 'high_cardinality_user_id_cross', 'full_period_target_encoding', 'same_day_component_ratios']),
+  unnest(['every numeric pair and square', 'user_id x demographic x rate', 'category mean target on all dates', 'ratios built from forecast-day outcomes']), 'mixed')"""
+
+
+@query(f"{_CATALOG} SELECT * FROM catalog")
+def feature_catalog(spark, sf):
+    return features.catalog(spark).drop("rationale", "leakage_rule")
+
+
+@query(f"{_CATALOG} SELECT priority, family, count(*)::INTEGER AS features FROM catalog GROUP BY 1, 2")
 def feature_catalog_counts(spark, sf):
     return features.catalog(spark).groupBy("priority", "family").agg(F.count("*").cast("int").alias("features"))
 

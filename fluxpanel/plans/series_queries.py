@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import daily_score, month_features, relative_error, score_curve
 from ..operators import association, audits, clustering, features, forecast, joins, series
-from ..sources.tables import DAILY_SQL, RATES_SQL, SERIES, SERIES_WINDOWS, daily, rates, windows, windows_sql
+from ..sources.tables import BACKTESTS, DAILY_SQL, RATES_SQL, SERIES, SERIES_WINDOWS, daily, rates, table, windows, windows_sql
 from .registry import query
 
 D = f"WITH {DAILY_SQL}"
@@ -138,6 +138,48 @@ def lagged_rate_correlations(spark, sf):
     return association.pair_statistics(association.long_pairs(j, ("lagged", "spread", "rate_1d"), BOTH, []))
 
 
+_MODULI = (53, 59, 61, 67, 71, 73, 79, 83, 89, 97)
+_TENORS = tuple(f"rate_{i}" for i in range(10))
+_GRID_FLOWS = ("purchase", "redeem", "direct", "transfer", "consume", "share")
+#: Ten rates of the days that observe them, carried forward from the first observation.
+_WIDE = f"""{DR}, obs AS (SELECT o_orderdate::DATE AS report_date, {", ".join(f"avg(o_orderkey % {m})::DOUBLE AS {r}" for r, m in zip(_TENORS, _MODULI))} FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-03-03' AND isodow(o_orderdate) <= 5 GROUP BY 1),
+wide AS (SELECT * FROM (SELECT report_date, {", ".join(f"last_value({r} IGNORE NULLS) OVER w AS {r}" for r in _TENORS)} FROM calendar LEFT JOIN obs USING (report_date) WINDOW w AS (ORDER BY report_date ROWS UNBOUNDED PRECEDING)) WHERE rate_0 IS NOT NULL)"""
+
+
+def wide_rates(spark, sf):
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("report_date"), "o_orderkey")
+    o = o.where(F.col("report_date").between(*SERIES) & (F.weekday("report_date") < 5))
+    seen = o.groupBy("report_date").agg(*[F.avg(F.col("o_orderkey") % m).alias(r) for r, m in zip(_TENORS, _MODULI)])
+    return joins.forward_fill(joins.densify(seen, "report_date", *SERIES), "report_date", list(_TENORS)).where("rate_0 is not null").select("report_date", *_TENORS)
+
+
+def _grid_sql() -> str:
+    x = {"x": "{r}", "x_lag1": "lag({r}, 1) OVER w", "x_lag7": "lag({r}, 7) OVER w", "x_diff1": "{r} - lag({r}, 1) OVER w", "x_diff7": "{r} - lag({r}, 7) OVER w", "x_diff1_lag1": "lag({r}, 1) OVER w - lag({r}, 2) OVER w"}
+    y = {"y": "{t}::DOUBLE", "l": "ln(1 + {t})", "l_diff1": "ln(1 + {t}) - lag(ln(1 + {t}), 1) OVER w", "l_diff7": "ln(1 + {t}) - lag(ln(1 + {t}), 7) OVER w"}
+    xs = " UNION ALL ".join(f"SELECT report_date, '{r}' AS rate, {', '.join(f'{e.format(r=r)} AS {n}' for n, e in x.items())} FROM j WINDOW w AS (ORDER BY report_date)" for r in _TENORS)
+    ys = " UNION ALL ".join(f"SELECT report_date, '{t}' AS flow, {', '.join(f'{e.format(t=t)} AS {n}' for n, e in y.items())} FROM j WINDOW w AS (ORDER BY report_date)" for t in _GRID_FLOWS)
+    centred = lambda cte, name, v: f"""{cte}_c AS (SELECT *, {v} - avg({v}) OVER p AS v_d, date_diff('day', DATE '1970-01-01', report_date) - avg(date_diff('day', DATE '1970-01-01', report_date)) OVER p AS t_d FROM {cte} WINDOW p AS (PARTITION BY {name}, isodow(report_date))),
+    {cte}_r AS (SELECT * EXCLUDE (v_d, t_d), v_d - sum(v_d * t_d) OVER q / sum(t_d * t_d) OVER q * t_d AS {cte[0]}_res FROM {cte}_c WINDOW q AS (PARTITION BY {name}))"""
+    both = " UNION ALL ".join(f"SELECT rate, flow, '{s}' AS statistic, {a} AS x, {b if b != 'l_res' else 'y_res'} AS y FROM g" for s, (a, b, _) in association.GRID.items())
+    ranked = lambda v: f"rank() OVER (PARTITION BY rate, flow, statistic ORDER BY {v}) + (count(*) OVER (PARTITION BY rate, flow, statistic, {v}) - 1) / 2.0"
+    return f"""{_WIDE}, j AS (SELECT * FROM daily JOIN wide USING (report_date)), xs AS ({xs}), ys AS ({ys}), {centred("xs", "rate", "x")}, {centred("ys", "flow", "l")}, g AS (SELECT * FROM xs_r JOIN ys_r USING (report_date)),
+long AS ({both}), ok AS (SELECT *, {ranked("x")} AS rx, {ranked("y")} AS ry FROM long WHERE x IS NOT NULL AND y IS NOT NULL),
+v AS (SELECT rate, flow, statistic, count(*) AS pairs, CASE WHEN statistic LIKE '%spearman' THEN corr(rx, ry) ELSE corr(x, y) END AS value FROM ok GROUP BY 1, 2, 3)
+SELECT rate, flow, statistic, pairs, CASE WHEN isnan(value) THEN NULL ELSE value END AS value, CASE WHEN isnan(value) THEN NULL ELSE abs(value) END AS abs_value FROM v"""
+
+
+@query(_grid_sql(), "value abs_value")
+def rate_flow_grid(spark, sf):
+    joined = daily(spark, sf).join(wide_rates(spark, sf), "report_date")
+    return association.rate_grid(joined, _TENORS, _GRID_FLOWS)
+
+
+@query(f"{_WIDE}, pairs AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y FROM wide" for i, a in enumerate(_TENORS) for b in _TENORS[i + 1 :]) + f"), s AS ({'SELECT * FROM ('}WITH {_STATS})) SELECT a, b, pairs, spearman, abs(spearman) AS abs_spearman FROM s", "spearman abs_spearman")
+def rate_collinearity(spark, sf):
+    found = association.pair_statistics(association.long_pairs(wide_rates(spark, sf), _TENORS, _TENORS, [], triangular=True))
+    return found.drop("pearson").withColumn("abs_spearman", F.abs("spearman"))
+
+
 _RES = lambda c: f"{c}_d - sum({c}_d * t_d) OVER () / sum(t_d * t_d) OVER () * t_d"
 @query(f"""{D}, b AS (SELECT report_date, isodow(report_date) AS wd, date_diff('day', DATE '1970-01-01', report_date)::DOUBLE AS t, ln(1 + purchase) AS p, ln(1 + redeem) AS r FROM daily),
 c AS (SELECT report_date, t - avg(t) OVER w AS t_d, p - avg(p) OVER w AS p_d, r - avg(r) OVER w AS r_d FROM b WINDOW w AS (PARTITION BY wd)) SELECT report_date, {_RES("p")} AS p, {_RES("r")} AS r FROM c""", "p r")
@@ -156,14 +198,14 @@ def calendar_features(spark, sf):
 
 _LT = "lt AS (SELECT report_date, 'purchase' AS target, purchase::DOUBLE AS value FROM daily UNION ALL SELECT report_date, 'redeem', redeem::DOUBLE FROM daily)"
 _AHEAD = """ahead AS (SELECT id, "start", CAST(unnest(generate_series("start", "end", INTERVAL 1 DAY)) AS DATE) AS target_date FROM windows), future AS (SELECT *, (date_diff('day', "start", target_date) + 1)::INTEGER AS horizon, isodow(target_date) AS wd FROM ahead)"""
-_BASE = f"""{DW}, {_LT}, {_AHEAD}, m30 AS (SELECT id, target, avg(value) AS p FROM lt JOIN windows ON report_date < "start" AND report_date >= "start" - 30 GROUP BY 1, 2),
+_BASE = f"""WITH {DAILY_SQL}, {windows_sql(BACKTESTS)}, {_LT}, {_AHEAD}, m30 AS (SELECT id, target, avg(value) AS p FROM lt JOIN windows ON report_date < "start" AND report_date >= "start" - 30 GROUP BY 1, 2),
 wd AS (SELECT id, target, isodow(report_date) AS wd, avg(value) AS m, quantile_cont(value, 0.5) AS md FROM lt JOIN windows ON report_date < "start" AND report_date >= "start" - 56 GROUP BY 1, 2, 3),
 predicted AS (SELECT id, target, target_date, horizon, 'mean_30d' AS method, p AS predicted FROM future JOIN m30 USING (id) UNION ALL SELECT id, target, target_date, horizon, 'weekday_mean', m FROM future JOIN wd USING (id, wd)
   UNION ALL SELECT id, target, target_date, horizon, 'weekday_median', md FROM future JOIN wd USING (id, wd)
   UNION ALL SELECT id, target, target_date, horizon, 'seasonal_naive', value FROM future JOIN lt ON report_date = "start" - 7 + (horizon - 1) % 7)"""
 @query(f"{_BASE} SELECT * FROM predicted", "predicted")
 def baseline_forecasts(spark, sf):
-    return forecast.baselines(daily(spark, sf), windows(spark, SERIES_WINDOWS), BOTH)
+    return forecast.baselines(daily(spark, sf), windows(spark, BACKTESTS), BOTH)
 
 
 _SCORE = lambda src, by: f"""e AS (SELECT {by}, target_date, max(CASE WHEN target = 'purchase' THEN er END) AS e1, max(CASE WHEN target = 'redeem' THEN er END) AS e2 FROM (
@@ -174,13 +216,13 @@ _METRICS = "purchase_error redeem_error weighted_error linear quadratic cubic"
 @query(f"{_BASE}, {_SCORE('predicted', 'id, method')}", _METRICS)
 def backtest_metrics(spark, sf):
     d = daily(spark, sf)
-    return forecast.scored(forecast.baselines(d, windows(spark, SERIES_WINDOWS), BOTH), d, BOTH)
+    return forecast.scored(forecast.baselines(d, windows(spark, BACKTESTS), BOTH), d, BOTH)
 
 
 @query(f"{_BASE}, s AS (SELECT * FROM ({_BASE.replace('WITH ', 'WITH ', 1)}, {_SCORE('predicted', 'id, method')})) SELECT method, avg(linear) AS linear, max(weighted_error) AS worst, sum(zero_days)::BIGINT AS zero_days FROM s GROUP BY 1 ORDER BY linear DESC, worst, zero_days, method LIMIT 1", "linear worst")
 def model_selection(spark, sf):
     d = daily(spark, sf)
-    s = forecast.scored(forecast.baselines(d, windows(spark, SERIES_WINDOWS), BOTH), d, BOTH)
+    s = forecast.scored(forecast.baselines(d, windows(spark, BACKTESTS), BOTH), d, BOTH)
     per = s.groupBy("method").agg(F.avg("linear").alias("linear"), F.max("weighted_error").alias("worst"), F.sum("zero_days").alias("zero_days"))
     return clustering.first_by(per, [F.desc("linear"), "worst", "zero_days", "method"])
 
@@ -275,5 +317,5 @@ def rank_sum_selection(spark, sf):
 
 @query(None)
 def ridge_forecast(spark, sf):
-    d = daily(spark, sf).join(rates_filled(spark, sf).select("report_date", "rate_1d"), "report_date")
-    return forecast.forecast(d, "direct", "1998-02-01", auxiliary=("redeem", "consume"), rates=("rate_1d",))
+    d = daily(spark, sf).join(wide_rates(spark, sf), "report_date")
+    return forecast.forecast(d, "direct", "1998-02-01", auxiliary=("redeem", "consume", "transfer", "share", "purchase"), rates=_TENORS)

@@ -22,6 +22,10 @@ SERIES_WINDOWS = (
 )
 
 
+#: With a window that has but 62 days of history before it.
+BACKTESTS = (("b0", "1997-03-04", "1997-04-02"), *SERIES_WINDOWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
