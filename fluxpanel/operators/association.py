@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import effect_label
+from .quantiles import group_quantiles
 from .series import average_rank
 
 
@@ -136,12 +137,13 @@ def pooled(df: DataFrame, columns: Sequence[str], out: str, least: int = 50, oth
 
 
 def group_profile(df: DataFrame, category: str, values: Sequence[str]) -> DataFrame:
-    """Size, mean, median, 90th percentile and positive share of each value by category."""
+    """Size, mean, median, 90th percentile and positive share of each value by category; quantiles by ranges, without a buffer for a group."""
     long = df.select(F.col(category).cast("string").alias("group"), F.inline(F.array(*[F.struct(F.lit(v).alias("target"), F.col(v).cast("double").alias("v")) for v in values])))
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.9)))
-    return long.groupBy("group", "target").agg(F.count("*").alias("users"), F.avg("v").alias("mean"), q.alias("q"), F.avg((F.col("v") > 0).cast("int")).alias("positive_rate")).select(
-        F.lit(category).alias("category"), "group", "target", "users", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "positive_rate"
-    )
+    both = long.select("group", "target", F.inline(F.array(*[F.struct(F.lit(n).alias("q"), F.lit(p).alias("p"), F.col("v")) for n, p in (("median", 0.5), ("p90", 0.9))])))
+    found = group_quantiles(both, ["group", "target", "q"]).groupBy("group", "target").agg(*[F.max(F.when(F.col("q") == n, F.col("quantile"))).alias(n) for n in ("median", "p90")])
+    sums = long.groupBy("group", "target").agg(F.count("*").alias("users"), F.avg("v").alias("mean"), F.avg((F.col("v") > 0).cast("int")).alias("positive_rate"))
+    same = [sums.group.eqNullSafe(found.group), sums.target == found.target]
+    return sums.join(found, same, "left").select(F.lit(category).alias("category"), sums.group, sums.target, "users", "mean", "median", "p90", "positive_rate")
 
 
 def demographic_grid(metrics: DataFrame, profile: DataFrame, features: Sequence[str], values: Mapping[str, Column], key: str = "user_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, status
@@ -17,15 +17,20 @@ def _rows(structs: list[Column]) -> Column:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Of each column: type, nulls, null rate, distinct values, least and greatest as text; one pass."""
+    """Of each column: type, nulls, null rate, distinct values, least and greatest as text.
+
+    Nulls and extremes are one aggregate of partial sums.  Distinct values are counted from
+    (column, value) pairs that are made distinct before the shuffle, so no row is expanded
+    once for each distinct count.
+    """
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
-    one = df.agg(
-        F.count("*").alias("rows"),
-        *[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.countDistinct(c).alias("distinct"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")).alias(f"p_{i}") for i, c in enumerate(columns)],
-    )
-    return one.select("rows", _rows([F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(f"p_{i}").alias("p")) for i, c in enumerate(columns)])).select(
-        "column", "type", "rows", F.col("p.nulls").alias("nulls"), F.try_divide("p.nulls", "rows").alias("null_rate"), F.col("p.distinct").alias("distinct_values"),
+    one = df.agg(F.count("*").alias("rows"), *[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")).alias(f"p_{i}") for i, c in enumerate(columns)])
+    facts = one.select("rows", _rows([F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(f"p_{i}").alias("p")) for i, c in enumerate(columns)]))
+    values = df.select(_rows([F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).where("v is not null").distinct()
+    kinds = values.groupBy("column").agg(F.count("*").alias("distinct_values"))  # a row a column
+    return facts.join(F.broadcast(kinds), "column", "left").select(
+        "column", "type", "rows", F.col("p.nulls").alias("nulls"), F.try_divide("p.nulls", "rows").alias("null_rate"), F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
         F.col("p.low").alias("min_value"), F.col("p.high").alias("max_value"),
     )
 
@@ -116,9 +121,14 @@ def panel_rules() -> dict[str, Column]:
 
 def reconcile(source: DataFrame, derived: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Row counts and totals of a source against a table derived from it."""
-    agg = lambda df: df.agg(F.count("*").alias("rows"), *[F.sum(m).alias(m) for m in measures]).unpivot([], ["rows", *measures], "measure", "total")
-    a, b = agg(source).withColumnRenamed("total", "source_total"), agg(derived).withColumnRenamed("total", "derived_total")
-    out = a.join(F.broadcast(b), "measure").withColumn("delta", F.col("derived_total") - F.col("source_total"))
+    total = lambda df: df.agg(F.count("*").alias("rows"), *[F.sum(m).alias(m) for m in measures])
+    return reconcile_totals(total(source), total(derived), measures)
+
+
+def reconcile_totals(source: DataFrame, derived: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """The same for one row of totals (rows and the measures) a side."""
+    long = lambda df, name: df.unpivot([], ["rows", *measures], "measure", name)
+    out = long(source, "source_total").join(F.broadcast(long(derived, "derived_total")), "measure").withColumn("delta", F.col("derived_total") - F.col("source_total"))
     return out.withColumn("status", status(F.abs("delta")))
 
 
@@ -149,16 +159,23 @@ def coverage(panel: DataFrame, profile: DataFrame, yields: DataFrame, observed:
     return out.withColumn("status", F.when(informative, "INFO").when(F.col("count") != 0, "FAIL").otherwise("PASS"))
 
 
-def leakage_audit(panel: DataFrame, windows: DataFrame) -> DataFrame:
-    """Of each window: last history day before its start, chronology and overlap with the next window."""
-    history = panel.join(F.broadcast(windows), F.col("report_date") < F.col("start")).groupBy("id").agg(F.max("report_date").alias("last_history_day"), F.count("*").alias("history_rows"))
+def leakage_audit(profiles: DataFrame, panel: DataFrame, windows: DataFrame) -> DataFrame:
+    """Of each window: whether the history that features were made of ends before it, and whether windows overlap.
+
+    ``profiles`` has (id, user_id, rows_life, last_seen_life), as the snapshots use them; what
+    they hold is looked at, whatever condition made them.  A window fails that ends before it
+    starts, begins before an earlier one has ended, or has a history that reaches into it; one
+    that doesn't begin a month, or lacks a day, asks for review.
+    """
+    history = profiles.groupBy("id").agg(F.max("last_seen_life").alias("last_history_day"), F.sum("rows_life").alias("history_rows"))
     inside = panel.join(F.broadcast(windows), F.col("report_date").between(F.col("start"), F.col("end"))).groupBy("id").agg(F.countDistinct("report_date").alias("days"))
-    out = windows.join(history, "id", "left").join(inside, "id", "left")
-    bad = (F.col("start") > F.col("end")) | (F.col("last_history_day") >= F.col("start"))
+    before = Window.orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1)  # configuration rows
+    out = windows.withColumn("overlap", F.coalesce(F.max("end").over(before) >= F.col("start"), F.lit(False))).join(history, "id", "left").join(inside, "id", "left")
+    bad = (F.col("start") > F.col("end")) | F.col("overlap") | F.coalesce(F.col("last_history_day") >= F.col("start"), F.lit(False))
     soft = (F.dayofmonth("start") != 1) | (F.coalesce("days", F.lit(0)) != F.datediff("end", "start") + 1)
     return out.select(
-        "id", "start", "end", "last_history_day", F.coalesce("history_rows", F.lit(0)).alias("history_rows"), F.coalesce("days", F.lit(0)).alias("observed_days"),
-        status(F.coalesce(bad, F.lit(False)).cast("int"), soft.cast("int")).alias("status"),
+        "id", "start", "end", "overlap", "last_history_day", F.coalesce("history_rows", F.lit(0)).alias("history_rows"), F.coalesce("days", F.lit(0)).alias("observed_days"),
+        status(bad.cast("int"), soft.cast("int")).alias("status"),
     )
 
 
@@ -174,14 +191,18 @@ SOFT = ("additive_relationships", "balance_continuity", "anomalous_dates", "extr
 
 
 def audit_summary(findings: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per check: dimension, status, number of findings and severity if failed.
+    """One row per check: dimension, severity if failed, the metric and the status.
 
-    Each of ``findings`` is one row with one number, named as the check.  Zero findings pass;
-    others fail, or ask for review where the check is a soft one.
+    Each of ``findings`` is one row of two numbers, named as the check: the metric that is
+    reported, and the violations.  Without violations a check passes; else it fails, or asks
+    for review where it is a soft one.
     """
-    rows = [df.select(F.lit(n).alias("check_id"), F.lit(CHECKS[n][0]).alias("dimension"), F.lit(CHECKS[n][1]).alias("severity_if_failed"), F.col(df.columns[0]).cast("long").alias("metric_value")) for n, df in findings.items()]
+    rows = []
+    for n, df in findings.items():
+        metric, violations = (F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in df.columns)
+        rows.append(df.select(F.lit(n).alias("check_id"), F.lit(CHECKS[n][0]).alias("dimension"), F.lit(CHECKS[n][1]).alias("severity_if_failed"), metric.alias("metric_value"), violations.alias("violations")))
     every = reduce(DataFrame.unionByName, rows)
-    return every.withColumn("status", F.when(F.col("metric_value") == 0, "PASS").when(F.col("check_id").isin(*SOFT), "REVIEW").otherwise("FAIL"))
+    return every.withColumn("status", F.when(F.col("violations") == 0, "PASS").when(F.col("check_id").isin(*SOFT), "REVIEW").otherwise("FAIL"))
 
 
 def quality_summary(panel: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import group_quantiles
 from .segments import STRUCTURAL, adjusted_rand
 from .series import average_rank
 
@@ -31,15 +32,21 @@ def inputs(users: DataFrame) -> DataFrame:
     return users.withColumns({f"log_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in LOGGED} | {"active_recency_90": F.col("active_recency") / 90.0})
 
 
+def scale_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Of each column: median, interquartile range, population deviation and the scale that divides it; quantiles by ranges."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
+    three = long.select(F.inline(F.array(*[F.struct("column", F.lit(n).alias("q"), F.lit(p).alias("p"), F.col("v")) for n, p in (("low", 0.25), ("median", 0.5), ("high", 0.75))])))
+    q = group_quantiles(three, ["column", "q"]).groupBy("column").agg(*[F.max(F.when(F.col("q") == n, F.col("quantile"))).alias(n) for n in ("low", "median", "high")])
+    spread = long.groupBy("column").agg(F.stddev_pop("v").alias("deviation"))
+    out = q.join(F.broadcast(spread), "column").withColumn("iqr", F.col("high") - F.col("low"))  # a row a column
+    return out.select("column", "median", "iqr", "deviation", F.when(F.col("iqr") > 0, F.col("iqr")).when(F.col("deviation") > 0, F.col("deviation")).otherwise(1.0).alias("scale"))
+
+
 def robust_scale(df: DataFrame, columns: Sequence[str], limit: float = 6.0) -> DataFrame:
     """(x - median) / IQR, clipped; population deviation where the IQR is zero, 1 where that is too."""
-    stats = df.agg(*[F.struct(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(c).alias("s")).alias(f"__{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(stats))
-    for c in columns:
-        iqr, s = F.col(f"__{c}.q")[2] - F.col(f"__{c}.q")[0], F.col(f"__{c}.s")
-        scale = F.when(iqr > 0, iqr).when(s > 0, s).otherwise(1.0)
-        out = out.withColumn(c, F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col(c) - F.col(f"__{c}.q")[1]) / scale)))
-    return out.drop(*[f"__{c}" for c in columns])
+    rows = {r["column"]: r for r in scale_table(df, columns).collect()}  # a row a column
+    bounded = lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x))
+    return df.withColumns({c: bounded((F.col(c) - F.lit(rows[c].median)) / F.lit(rows[c].scale)) for c in columns if c in rows})
 
 
 def separation(points: DataFrame, features: str = "features", label: str = "prediction") -> DataFrame:
@@ -83,6 +90,7 @@ def fit_grid(scaled: DataFrame, columns: Sequence[str] = INPUTS, ks: Sequence[in
         rand = [r.adjusted_rand for r in adjusted_rand(runs.select(F.inline(F.array(*pairs))), "a", "b", ["pair"]).collect()] if pairs else []
         rows.append((k, best.summary.trainingCost, sep.calinski_harabasz, sep.davies_bouldin, median(rand) if rand else 1.0, shares.least / shares.n if shares.k == k else 0.0))
     table = scaled.sparkSession.createDataFrame(rows, "k int, inertia double, calinski_harabasz double, davies_bouldin double, stability double, smallest_share double")
+    labels = {k: df.select(key, "prediction") for k, df in labels.items()}
     chosen = rank_sum(table, {"calinski_harabasz": False, "davies_bouldin": True, "stability": False, "smallest_share": False}, "k").first().k
     return table, labels[chosen].select(key, F.concat(F.lit("cluster_"), F.col("prediction").cast("string")).alias("auto_cluster")), chosen
 
@@ -102,8 +110,11 @@ def hybrid(users: DataFrame, clusters: DataFrame, key: str = "user_id") -> DataF
 
 
 def cluster_profile(users: DataFrame, columns: Sequence[str], label: str = "auto_cluster") -> DataFrame:
-    """Size and medians of each cluster."""
-    return users.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("users"), *[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in columns])
+    """Size and medians of each cluster; medians by ranges of values."""
+    own = users.where(F.col(label).isNotNull())
+    long = own.select(label, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).withColumn("p", F.lit(0.5))
+    medians = group_quantiles(long, [label, "column"]).groupBy(label).agg(*[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"median_{c}") for c in columns])
+    return own.groupBy(label).agg(F.count("*").alias("users")).join(medians, label)
 
 
 def first_by(table: DataFrame, order: Sequence) -> DataFrame:

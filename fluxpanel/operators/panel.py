@@ -162,8 +162,8 @@ def extreme_users(panel: DataFrame, top: int = 50, rank_from: float = 0.999, met
     """Users in the ``top`` of any metric, their percentile rank in each, and where it is ``rank_from`` or more.
 
     Ties of the top go to the smaller id, ranks count ties as the highest.  Each top list is a
-    bounded partial sort; percentiles are counted for the listed users alone, so all users
-    are never sorted.
+    bounded partial sort.  For percentiles, users are counted by ranges of value; only values
+    in the range of a listed user are compared with it, so all users are never sorted.
     """
     users = user_extremes(panel)
     marked = None
@@ -171,11 +171,17 @@ def extreme_users(panel: DataFrame, top: int = 50, rank_from: float = 0.999, met
         part = users.orderBy(F.desc(m), "user_id").limit(top).select("user_id")
         marked = part if marked is None else marked.unionByName(part)
     few = users.join(F.broadcast(marked.distinct()), "user_id")  # a list of ``top`` for each metric at most
-    bounds = few.select("user_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("bound")) for m in metrics])))
-    values = users.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics]))).groupBy("metric", "v").agg(F.count("*").alias("n"))
-    below = values.join(F.broadcast(bounds), ["metric"]).where("v <= bound").groupBy("user_id").pivot("metric", list(metrics)).agg(F.sum("n"))
+    span = lambda v: F.floor(F.log2(F.greatest(F.col(v), F.lit(0)) + 1.0) * 64).cast("int")  # noqa: E731  64 for each doubling
+    long = lambda df, name, *more: df.select(*more, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in metrics]))).withColumn("range", span(name))
+    bounds = long(few, "bound", "user_id")
+    values = long(users, "v")
+    sums = values.groupBy("metric", "range").agg(F.count("*").alias("n"))
+    under = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("below", F.coalesce(F.sum("n").over(under), F.lit(0)))  # a row for each range
+    inside = values.join(F.broadcast(bounds), ["metric", "range"]).where("v <= bound").groupBy("user_id", "metric", "range").agg(F.count("*").alias("same"))
+    placed = inside.join(F.broadcast(sums), ["metric", "range"]).groupBy("user_id").pivot("metric", list(metrics)).agg(F.first(F.col("same") + F.col("below")))
     size = users.agg(F.count("*").alias("n"))
-    ranked = few.join(below.select("user_id", *[F.col(m).alias(f"{m}_pct_rank") for m in metrics]), "user_id").crossJoin(F.broadcast(size))
+    ranked = few.join(placed.select("user_id", *[F.col(m).alias(f"{m}_pct_rank") for m in metrics]), "user_id").crossJoin(F.broadcast(size))
     ranked = ranked.withColumns({f"{m}_pct_rank": F.col(f"{m}_pct_rank") / F.col("n") for m in metrics}).drop("n")
     return ranked.withColumn("extreme_dimensions", joined_where([(F.col(f"{m}_pct_rank") >= rank_from, m) for m in metrics]))
 

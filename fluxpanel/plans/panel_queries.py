@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import banded, log1p, looked_up, positive
 from ..operators import association, audits, features, joins, panel as ops, segments, series
 from ..sources.tables import PANEL_SQL, PANEL_WINDOWS, PROFILE_SQL, RATES_SQL, SERIES, panel, profile, rates, windows, windows_sql
 from .registry import query
+from .series_queries import _robust
 
 P = f"WITH {PANEL_SQL}"
 PW = f"WITH {PANEL_SQL}, {windows_sql()}"
@@ -160,13 +164,17 @@ def coverage_audit(spark, sf):
     return audits.coverage(panel(spark, sf), profile(spark, sf), _dated(spark, cal), _dated(spark, r), _dated(spark, cal))
 
 
-@query(f"""{PW}, h AS (SELECT id, max(report_date) AS last_history_day, count(*) AS history_rows FROM panel JOIN windows ON report_date < "start" GROUP BY 1),
-i AS (SELECT id, count(DISTINCT report_date) AS d FROM panel JOIN windows ON report_date BETWEEN "start" AND "end" GROUP BY 1)
-SELECT id, "start", "end", last_history_day, coalesce(history_rows, 0) AS history_rows, coalesce(d, 0) AS observed_days,
-  CASE WHEN coalesce("start" > "end" OR last_history_day >= "start", false) THEN 'FAIL' WHEN day("start") <> 1 OR coalesce(d, 0) <> date_diff('day', "start", "end") + 1 THEN 'REVIEW' ELSE 'PASS' END AS status
-  FROM windows LEFT JOIN h USING (id) LEFT JOIN i USING (id)""")
+#: The panel's windows, and one that reaches back into the last of them: a leak to be found.
+_LEAKY = (*PANEL_WINDOWS, ("w4", "2024-06-20", "2024-07-01"))
+_LEAK_SQL = f"""{windows_sql(_LEAKY)}, h AS (SELECT id, max(last) AS last_history_day, sum(n)::BIGINT AS history_rows FROM (SELECT id, user_id, max(report_date) FILTER (report_date < "start") AS last, count(*) FILTER (report_date < "start") AS n FROM panel JOIN windows ON report_date <= "end" GROUP BY 1, 2) GROUP BY 1),
+i AS (SELECT id, count(DISTINCT report_date) AS d FROM panel JOIN windows ON report_date BETWEEN "start" AND "end" GROUP BY 1), o AS (SELECT *, coalesce(max("end") OVER (ORDER BY "start", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= "start", false) AS overlap FROM windows),
+leaks AS (SELECT id, "start", "end", overlap, last_history_day, coalesce(history_rows, 0) AS history_rows, coalesce(d, 0) AS observed_days,
+  CASE WHEN "start" > "end" OR overlap OR coalesce(last_history_day >= "start", false) THEN 'FAIL' WHEN day("start") <> 1 OR coalesce(d, 0) <> date_diff('day', "start", "end") + 1 THEN 'REVIEW' ELSE 'PASS' END AS status
+  FROM o LEFT JOIN h USING (id) LEFT JOIN i USING (id))"""
+@query(f"{P}, {_LEAK_SQL} SELECT * FROM leaks")
 def leakage_audit(spark, sf):
-    return audits.leakage_audit(panel(spark, sf), windows(spark))
+    p, w = panel(spark, sf), windows(spark, _LEAKY)
+    return audits.leakage_audit(segments.periods(p, w).select("id", "user_id", "rows_life", "last_seen_life"), p, w)
 
 
 @query(f"""{P}, v AS (SELECT count(*)::VARCHAR AS rows, '18' AS columns_loaded, count(DISTINCT user_id)::VARCHAR AS unique_users, min(report_date)::VARCHAR AS date_min, max(report_date)::VARCHAR AS date_max, count(DISTINCT report_date)::VARCHAR AS distinct_dates,
@@ -447,37 +455,106 @@ def target_associations(spark, sf):
 
 
 _BAD = lambda e: f"count(*) FILTER ({e})"
-@query(f"""{PW}, {PROFILE_SQL}, l AS (SELECT yBalance - lag(tBalance) OVER (PARTITION BY user_id ORDER BY report_date) AS d FROM panel),
-v AS (SELECT unnest({list(audits.CHECKS)!r}) AS check_id, unnest({[d for d, _ in audits.CHECKS.values()]!r}) AS dimension, unnest({[x for _, x in audits.CHECKS.values()]!r}) AS severity_if_failed, unnest([0, (SELECT {_BAD("user_id <= 0")} FROM panel), (SELECT count(*) - count(DISTINCT (user_id, report_date)) FROM panel),
-  (SELECT {_BAD("(category1 IS NULL) <> (consume_amt = 0)")} FROM panel), (SELECT {_BAD("total_purchase_amt < 0 OR total_redeem_amt < 0")} FROM panel), (SELECT {" + ".join(_BAD(f"({a}) <> ({b})") for _, a, b in audits.IDENTITIES)} FROM panel), (SELECT {_BAD("d <> 0")} FROM l),
-  (SELECT date_diff('day', min(report_date), max(report_date)) + 1 - count(DISTINCT report_date) FROM panel), 0, (SELECT least(50, count(DISTINCT user_id)) FROM panel), {_GAP("panel", "profile", "user_id")}, 0, 0]) AS metric_value)
-SELECT check_id, dimension, severity_if_failed, metric_value::BIGINT AS metric_value, CASE WHEN metric_value = 0 THEN 'PASS' WHEN check_id IN {audits.SOFT!r} THEN 'REVIEW' ELSE 'FAIL' END AS status FROM v""")
+#: What the tables are to be; the profile's city is wanted as text, which it isn't.
+_TYPES = {"user_id": "bigint", "report_date": "date"} | dict.fromkeys(_AMOUNTS, "bigint")
+_SQL_TYPES = {"bigint": "BIGINT", "date": "DATE", "tinyint": "TINYINT", "string": "VARCHAR", "double": "DOUBLE"}
+_PROFILE_TYPES = {"user_id": "bigint", "sex": "tinyint", "city": "string", "constellation": "string"}
+_RATE_TYPES = {"report_date": "date", "rate_1d": "double", "rate_7d": "double"}
+_WRONG = lambda name, kinds: "(SELECT " + " + ".join(f"(typeof(any_value({c})) <> '{_SQL_TYPES[t]}')::INT" for c, t in kinds.items()) + f" FROM {name})"
+_SUMMED = f"""domains AS (SELECT unnest([(SELECT {_BAD("user_id <= 0")} FROM panel), (SELECT {" + ".join(_BAD(f"{a} < 0") for a in _AMOUNTS)} FROM panel), (SELECT {_BAD("sex NOT IN (0, 1)")} FROM profile), (SELECT (count(DISTINCT city) <> 25)::BIGINT FROM profile), (SELECT (count(DISTINCT constellation) <> 5)::BIGINT FROM profile),
+  (SELECT {_BAD("rate_1d <= 0")} + {_BAD("rate_7d <= 0")} FROM rates)]) AS n), lagged AS (SELECT yBalance - lag(tBalance) OVER w AS d, date_diff('day', lag(report_date) OVER w, report_date) AS gap FROM panel WINDOW w AS (PARTITION BY user_id ORDER BY report_date)),
+nulls AS (SELECT consume_amt, (category1 IS NULL)::INT + (category2 IS NULL)::INT + (category3 IS NULL)::INT + (category4 IS NULL)::INT AS n FROM panel), keyed AS (SELECT count(*) AS c, user_id IS NULL OR report_date IS NULL AS z FROM panel GROUP BY user_id, report_date UNION ALL SELECT count(*), user_id IS NULL FROM profile GROUP BY user_id UNION ALL SELECT count(*), report_date IS NULL FROM rates GROUP BY report_date),
+cal AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-03-03', INTERVAL 1 DAY)) AS DATE) + 2556 AS report_date), gaps AS (SELECT unnest([{_GAP("panel", "profile", "user_id")}, {_GAP("profile", "panel", "user_id")}, {_GAP("panel", "cal", "report_date")}, {_GAP("cal", "panel", "report_date")}, {_GAP("panel", "cal", "report_date")}]) AS n),
+joined AS (SELECT count(*) FILTER (f.user_id IS NULL) AS lost FROM panel p LEFT JOIN profile f USING (user_id)), byday AS (SELECT report_date, sum(total_purchase_amt)::DOUBLE AS purchase, sum(total_redeem_amt)::DOUBLE AS redeem FROM panel GROUP BY 1),
+long AS (SELECT report_date, isodow(report_date) - 1 AS weekday, 'purchase' AS metric, purchase AS value FROM byday UNION ALL SELECT report_date, isodow(report_date) - 1, 'redeem', redeem FROM byday), {_robust("long", "t1", "trailing", "metric", 28, 14)}, {_robust("t1", "t2", "weekday", "metric, weekday", 8, 4)},
+odd AS (SELECT coalesce(greatest(abs(value - trailing_median) / nullif(1.4826 * trailing_mad, 0), abs(value - weekday_median) / nullif(1.4826 * weekday_mad, 0)) > 6, false) AS is_anomaly FROM t2), {_USERS},
+top AS ({" UNION ".join(f"(SELECT user_id FROM u ORDER BY {m} DESC, user_id LIMIT 50)" for m in ops.EXTREME_METRICS)}), drift AS (SELECT count(*) FILTER (a <> b) AS n FROM (SELECT unnest([(SELECT sum(total_purchase_amt) FROM panel), (SELECT sum(total_redeem_amt) FROM panel)]) AS a, unnest([(SELECT sum(purchase_bal_amt) + sum(purchase_bank_amt) FROM panel), (SELECT sum(consume_amt) + sum(transfer_amt) FROM panel)]) AS b)),
+v AS (SELECT unnest({list(audits.CHECKS)!r}) AS check_id, unnest({[d for d, _ in audits.CHECKS.values()]!r}) AS dimension, unnest({[x for _, x in audits.CHECKS.values()]!r}) AS severity_if_failed, unnest([
+  {{'m': {_WRONG("panel", _TYPES)} + {_WRONG("profile", _PROFILE_TYPES)} + {_WRONG("rates", _RATE_TYPES)}, 'x': {_WRONG("panel", _TYPES)} + {_WRONG("profile", _PROFILE_TYPES)} + {_WRONG("rates", _RATE_TYPES)}}},
+  {{'m': (SELECT sum(n) FROM domains), 'x': (SELECT sum(n) FROM domains)}}, {{'m': (SELECT coalesce(sum(c) FILTER (c > 1), 0) FROM keyed), 'x': (SELECT coalesce(sum(c) FILTER (c > 1), 0) + coalesce(sum(c) FILTER (z), 0) FROM keyed)}},
+  {{'m': (SELECT count(*) FILTER (n = 4) FROM nulls), 'x': (SELECT count(*) FILTER (n BETWEEN 1 AND 3) + count(*) FILTER ((n = 4) <> (consume_amt = 0)) FROM nulls)}}, {{'m': (SELECT {" + ".join(_BAD(f"{a} < 0") for a in _AMOUNTS)} FROM panel), 'x': (SELECT {" + ".join(_BAD(f"{a} < 0") for a in _AMOUNTS)} FROM panel)}},
+  {{'m': (SELECT {" + ".join(_BAD(f"({a}) <> ({b})") for _, a, b in audits.IDENTITIES)} FROM panel), 'x': (SELECT {" + ".join(_BAD(f"({a}) <> ({b})") for _, a, b in audits.IDENTITIES)} FROM panel)}},
+  {{'m': (SELECT count(*) FILTER (d <> 0 AND gap IS NOT NULL) + count(*) FILTER (d <> 0 AND gap = 1) FROM lagged), 'x': (SELECT count(*) FILTER (d <> 0 AND gap IS NOT NULL) + count(*) FILTER (d <> 0 AND gap = 1) FROM lagged)}},
+  {{'m': (SELECT count(*) FROM byday), 'x': (SELECT date_diff('day', min(report_date), max(report_date)) + 1 - count(*) FROM byday)}}, {{'m': (SELECT count(*) FILTER (is_anomaly) FROM odd), 'x': (SELECT count(*) FILTER (is_anomaly) FROM odd)}},
+  {{'m': (SELECT count(*) FROM top), 'x': (SELECT count(*) FROM top)}}, {{'m': (SELECT sum(n) FROM gaps) + (SELECT lost FROM joined), 'x': (SELECT sum(n) FROM gaps) + (SELECT lost FROM joined)}},
+  {{'m': (SELECT count(*) FILTER (status = 'FAIL') FROM leaks), 'x': (SELECT count(*) FILTER (status = 'FAIL') FROM leaks)}}, {{'m': (SELECT n FROM drift), 'x': (SELECT n FROM drift)}}]::STRUCT(m BIGINT, x BIGINT)[]) AS f)"""
+@query(f"""{PP}, {RATES_SQL}, {_LEAK_SQL}, {_SUMMED} SELECT check_id, dimension, severity_if_failed, f.m AS metric_value, f.x AS violations, CASE WHEN f.x = 0 THEN 'PASS' WHEN check_id IN {audits.SOFT!r} THEN 'REVIEW' ELSE 'FAIL' END AS status FROM v""")
 def audit_summary(spark, sf):
-    p, prof = panel(spark, sf), profile(spark, sf)
-    bad = lambda c: p.agg(F.count_if(c).alias("n"))
-    types = audits.type_audit(p, dict(p.dtypes)).agg(F.count_if(F.col("status") != "PASS").alias("n"))
-    leaks = audits.leakage_audit(p, windows(spark)).agg(F.count_if(F.col("status") == "FAIL").alias("n"))
-    flat = p.groupBy("report_date").agg(F.lit(1).alias("one"))
+    p, prof, r = panel(spark, sf), profile(spark, sf), rates(spark, sf)
+    twice = lambda df, c: df.select(F.col(c).alias("m"), F.col(c).alias("x"))
+    failed = lambda df, bad="FAIL": twice(df.agg(F.count_if(F.col("status") == bad).alias("n")), "n")
+    types = reduce(DataFrame.unionByName, [audits.type_audit(df, kinds) for df, kinds in ((p, _TYPES), (prof, _PROFILE_TYPES), (r, _RATE_TYPES))])
+    keys = reduce(DataFrame.unionByName, [audits.key_audit(df, k, n) for df, k, n in ((p, ["user_id", "report_date"], "panel"), (prof, ["user_id"], "profile"), (r, ["report_date"], "rates"))])
+    days = p.groupBy("report_date").agg(F.sum("total_purchase_amt").alias("purchase"), F.sum("total_redeem_amt").alias("redeem"))
+    odd = series.anomalies(days, ("purchase", "redeem")).agg(F.count_if("is_anomaly").alias("n"))
+    cal = joins.calendar(r, "report_date", *SERIES)
+    gaps = audits.coverage(p, prof, _dated(spark, cal), _dated(spark, r), _dated(spark, cal)).where("status = 'FAIL'").agg(F.sum("count").alias("n"))
+    leaky = windows(spark, _LEAKY)
+    parts = p.agg(F.count("*").alias("rows"), F.sum(F.col("purchase_bal_amt") + F.col("purchase_bank_amt")).alias("total_purchase_amt"), F.sum(F.col("consume_amt") + F.col("transfer_amt")).alias("total_redeem_amt"))
+    whole = p.agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("total_purchase_amt", "total_redeem_amt")])
     return audits.audit_summary({
-        "types": types, "domain_constraints": bad(F.col("user_id") <= 0), "primary_keys": audits.key_audit(p, ["user_id", "report_date"], "panel").select(F.col("rows") - F.col("distinct_keys")),
-        "structural_nulls": audits.structural_nulls(p).select("disagreeing_rows"), "negative_amounts": bad((F.col("total_purchase_amt") < 0) | (F.col("total_redeem_amt") < 0)),
-        "additive_relationships": audits.identity_audit(p).agg(F.sum("mismatches")), "balance_continuity": ops.continuity(p).where("scope = 'previous_row'").select("mismatches"),
-        "calendar": joins.missing_days(flat, "report_date").agg(F.count("*")), "anomalous_dates": series.anomalies(flat, ["one"]).agg(F.count_if("is_anomaly")),
-        "extreme_users": ops.user_extremes(p).orderBy(F.desc("purchase_total"), "user_id").limit(50).agg(F.count("*")), "cross_table_coverage": p.select("user_id").distinct().join(prof, "user_id", "left_anti").agg(F.count("*")),
-        "time_leakage": leaks, "derived_reconciliation": audits.reconcile(p, ops.typed(p), ["total_purchase_amt"]).agg(F.count_if(F.col("status") == "FAIL")),
+        "types": failed(types), "domain_constraints": twice(audits.business_domains(p, prof, r, cities=25, signs=5).agg(F.sum("violation_count").alias("n")), "n"),
+        "primary_keys": keys.agg(F.sum("duplicate_rows").alias("m"), (F.sum("duplicate_rows") + F.sum("null_key_rows")).alias("x")),
+        "structural_nulls": audits.structural_nulls(p).select("all_null_rows", (F.col("partial_null_rows") + F.col("disagreeing_rows")).alias("x")),
+        "negative_amounts": twice(p.agg(reduce(lambda a, b: a + b, [F.count_if(F.col(c) < 0) for c in _AMOUNTS]).alias("n")), "n"), "additive_relationships": twice(audits.identity_audit(p).agg(F.sum("mismatches").alias("n")), "n"),
+        "balance_continuity": twice(ops.continuity(p).agg(F.sum("mismatches").alias("n")), "n"), "calendar": days.agg(F.count("*").alias("m"), (F.datediff(F.max("report_date"), F.min("report_date")) + 1 - F.count("*")).alias("x")),
+        "anomalous_dates": twice(odd, "n"), "extreme_users": twice(ops.extreme_users(p).agg(F.count("*").alias("n")), "n"), "cross_table_coverage": twice(gaps, "n"),
+        "time_leakage": failed(audits.leakage_audit(segments.periods(p, leaky).select("id", "user_id", "rows_life", "last_seen_life"), p, leaky)),
+        "derived_reconciliation": failed(audits.reconcile_totals(whole, parts, ["total_purchase_amt", "total_redeem_amt"])),
     })
 
 
-@query(None)
-def user_clusters(spark, sf):
+def _clustered(spark, sf):
     from ..operators import clustering
 
     users = segments.snapshot(panel(spark, sf), windows(spark)).where("id = 'w3'")
     scaled = clustering.robust_scale(clustering.inputs(clustering.eligible(users)).select("user_id", *clustering.INPUTS), clustering.INPUTS)
-    _, labels, _ = clustering.fit_grid(scaled)
+    table, labels, _ = clustering.fit_grid(scaled)
+    return users, table, labels
+
+
+@query(None)
+def user_clusters(spark, sf):
+    from ..operators import clustering
+
+    users, _, labels = _clustered(spark, sf)
     return clustering.hybrid(users, labels).select("user_id", "segment", "auto_cluster", "hybrid_segment")
 
 
+@query(None)
+def cluster_grid(spark, sf):
+    """The metrics of every k."""
+    return _clustered(spark, sf)[1]
+
+
+@query(None)
+def cluster_strength(spark, sf):
+    """Eta squared of the rule, cluster and hybrid labels for each outcome."""
+    from ..operators import clustering
+
+    users, _, labels = _clustered(spark, sf)
+    return segments.predictive_strength(clustering.hybrid(users, labels), ["segment", "auto_cluster", "hybrid_segment"])
+
+
+_MEDIANS = ("end_balance_life", "direct_90", "redeem_90", "tenure_days", "active_recency", "future_purchase")
+@query(f"{_SNAP} SELECT segment, count(*) AS users, {', '.join(f'quantile_cont({c}, 0.5) AS median_{c}' for c in _MEDIANS)} FROM snap WHERE id = 'w3' GROUP BY 1", " ".join(f"median_{c}" for c in _MEDIANS))
+def label_medians(spark, sf):
+    from ..operators import clustering
+
+    users = segments.snapshot(panel(spark, sf), windows(spark)).where("id = 'w3'")
+    return clustering.cluster_profile(users, _MEDIANS, "segment")
+
+
+_SCALED = ("active_recency", "active_days_per_30", "roundtrip_90", "net_flow_share_90", "consume_share_90", "balance_cv")
+@query(f"""{_SNAP} SELECT "column", quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, stddev_pop(v) AS deviation, CASE WHEN quantile_cont(v, 0.75) - quantile_cont(v, 0.25) > 0 THEN quantile_cont(v, 0.75) - quantile_cont(v, 0.25) WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END AS scale
+  FROM ({" UNION ALL ".join(f"SELECT '{c}' AS column, {c}::DOUBLE AS v FROM snap WHERE id = 'w3'" for c in _SCALED)}) GROUP BY 1""", "median iqr deviation scale")
+def robust_scales(spark, sf):
+    from ..operators import clustering
+
+    return clustering.scale_table(segments.snapshot(panel(spark, sf), windows(spark)).where("id = 'w3'"), _SCALED)
+
+
+
 # The catalogue in SQL, written from its rules: families as joins of names with lags and sizes.
 _CATALOG = """WITH demo AS (SELECT * FROM (VALUES (1, 'sex'), (2, 'city'), (3, 'constellation')) x(i, n)), rate AS (SELECT unnest(['mfd_daily_yield', 'mfd_7daily_yield'] || ['Interest_' || x FOR x IN ['O_N', '1_W', '2_W', '1_M', '3_M', '6_M', '9_M', '1_Y']]) AS n),
 target AS (SELECT unnest(['total_purchase_amt', 'total_redeem_amt', 'direct_purchase_amt', 'purchase_bank_amt', 'transfer_amt']) AS n),
