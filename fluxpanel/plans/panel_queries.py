@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import banded, log1p, looked_up, positive
 from ..operators import association, audits, features, joins, panel as ops, segments, series
-from ..sources.tables import PANEL_SQL, PANEL_WINDOWS, PROFILE_SQL, RATES_SQL, SERIES, panel, profile, rates, windows, windows_sql
+from ..sources.tables import CALENDAR_SQL, PANEL_SQL, PANEL_WINDOWS, PROFILE_SQL, RATES_SQL, SERIES, panel, profile, rates, windows, windows_sql
 from .registry import query
 from .series_queries import _robust
 
@@ -153,7 +153,7 @@ def _dated(spark, df):
 
 
 _GAP = lambda a, b, k: f"(SELECT count(DISTINCT {k}) FROM {a} ANTI JOIN {b} USING ({k}))"
-@query(f"""{PP}, {RATES_SQL}, cal AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-03-03', INTERVAL 1 DAY)) AS DATE) + 2556 AS report_date), obs AS (SELECT report_date + 2556 AS report_date FROM rates), j AS (SELECT p.*, f.user_id IS NOT NULL AS matched FROM panel p LEFT JOIN profile f USING (user_id)),
+@query(f"""{PP}, {RATES_SQL}, cal AS (SELECT CAST(unnest({CALENDAR_SQL}) AS DATE) + 2556 AS report_date), obs AS (SELECT report_date + 2556 AS report_date FROM rates), j AS (SELECT p.*, f.user_id IS NOT NULL AS matched FROM panel p LEFT JOIN profile f USING (user_id)),
 v AS (SELECT unnest(['balance users missing profile', 'profile users absent from balance', 'balance dates missing fund yield', 'fund yield dates absent from balance', 'balance dates without observed rate', 'balance dates missing dense rate', 'profile join unmatched or row inflation', 'profile join purchase total drift', 'profile join redeem total drift']) AS coverage_check,
   unnest([{_GAP("panel", "profile", "user_id")}, {_GAP("profile", "panel", "user_id")}, {_GAP("panel", "cal", "report_date")}, {_GAP("cal", "panel", "report_date")}, {_GAP("panel", "obs", "report_date")}, {_GAP("panel", "cal", "report_date")},
   (SELECT count(*) FILTER (NOT matched) FROM j) + abs((SELECT count(*) FROM j) - (SELECT count(*) FROM panel)), abs((SELECT sum(total_purchase_amt)::BIGINT FROM j) - (SELECT sum(total_purchase_amt)::BIGINT FROM panel)), abs((SELECT sum(total_redeem_amt)::BIGINT FROM j) - (SELECT sum(total_redeem_amt)::BIGINT FROM panel))]) AS "count")
@@ -464,7 +464,7 @@ _WRONG = lambda name, kinds: "(SELECT " + " + ".join(f"(typeof(any_value({c})) <
 _SUMMED = f"""domains AS (SELECT unnest([(SELECT {_BAD("user_id <= 0")} FROM panel), (SELECT {" + ".join(_BAD(f"{a} < 0") for a in _AMOUNTS)} FROM panel), (SELECT {_BAD("sex NOT IN (0, 1)")} FROM profile), (SELECT (count(DISTINCT city) <> 25)::BIGINT FROM profile), (SELECT (count(DISTINCT constellation) <> 5)::BIGINT FROM profile),
   (SELECT {_BAD("rate_1d <= 0")} + {_BAD("rate_7d <= 0")} FROM rates)]) AS n), lagged AS (SELECT yBalance - lag(tBalance) OVER w AS d, date_diff('day', lag(report_date) OVER w, report_date) AS gap FROM panel WINDOW w AS (PARTITION BY user_id ORDER BY report_date)),
 nulls AS (SELECT consume_amt, (category1 IS NULL)::INT + (category2 IS NULL)::INT + (category3 IS NULL)::INT + (category4 IS NULL)::INT AS n FROM panel), keyed AS (SELECT count(*) AS c, user_id IS NULL OR report_date IS NULL AS z FROM panel GROUP BY user_id, report_date UNION ALL SELECT count(*), user_id IS NULL FROM profile GROUP BY user_id UNION ALL SELECT count(*), report_date IS NULL FROM rates GROUP BY report_date),
-cal AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-03-03', INTERVAL 1 DAY)) AS DATE) + 2556 AS report_date), gaps AS (SELECT unnest([{_GAP("panel", "profile", "user_id")}, {_GAP("profile", "panel", "user_id")}, {_GAP("panel", "cal", "report_date")}, {_GAP("cal", "panel", "report_date")}, {_GAP("panel", "cal", "report_date")}]) AS n),
+cal AS (SELECT CAST(unnest({CALENDAR_SQL}) AS DATE) + 2556 AS report_date), gaps AS (SELECT unnest([{_GAP("panel", "profile", "user_id")}, {_GAP("profile", "panel", "user_id")}, {_GAP("panel", "cal", "report_date")}, {_GAP("cal", "panel", "report_date")}, {_GAP("panel", "cal", "report_date")}]) AS n),
 joined AS (SELECT count(*) FILTER (f.user_id IS NULL) AS lost FROM panel p LEFT JOIN profile f USING (user_id)), byday AS (SELECT report_date, sum(total_purchase_amt)::DOUBLE AS purchase, sum(total_redeem_amt)::DOUBLE AS redeem FROM panel GROUP BY 1),
 long AS (SELECT report_date, isodow(report_date) - 1 AS weekday, 'purchase' AS metric, purchase AS value FROM byday UNION ALL SELECT report_date, isodow(report_date) - 1, 'redeem', redeem FROM byday), {_robust("long", "t1", "trailing", "metric", 28, 14)}, {_robust("t1", "t2", "weekday", "metric, weekday", 8, 4)},
 odd AS (SELECT coalesce(greatest(abs(value - trailing_median) / nullif(1.4826 * trailing_mad, 0), abs(value - weekday_median) / nullif(1.4826 * weekday_mad, 0)) > 6, false) AS is_anomaly FROM t2), {_USERS},

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import daily_score, month_features, relative_error, score_curve
 from ..operators import association, audits, clustering, features, forecast, joins, series
-from ..sources.tables import BACKTESTS, DAILY_SQL, RATES_SQL, SERIES, SERIES_WINDOWS, daily, rates, table, windows, windows_sql
+from ..sources.tables import BACKTESTS, DAILY_SQL, RATES_SQL, SERIES, SERIES_SQL, SERIES_WINDOWS, daily, rates, table, windows, windows_sql
 from .registry import query
 
 D = f"WITH {DAILY_SQL}"
@@ -142,7 +142,7 @@ _MODULI = (53, 59, 61, 67, 71, 73, 79, 83, 89, 97)
 _TENORS = tuple(f"rate_{i}" for i in range(10))
 _GRID_FLOWS = ("purchase", "redeem", "direct", "transfer", "consume", "share")
 #: Ten rates of the days that observe them, carried forward from the first observation.
-_WIDE = f"""{DR}, obs AS (SELECT o_orderdate::DATE AS report_date, {", ".join(f"avg(o_orderkey % {m})::DOUBLE AS {r}" for r, m in zip(_TENORS, _MODULI))} FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-03-03' AND isodow(o_orderdate) <= 5 GROUP BY 1),
+_WIDE = f"""{DR}, obs AS (SELECT o_orderdate::DATE AS report_date, {", ".join(f"avg(o_orderkey % {m})::DOUBLE AS {r}" for r, m in zip(_TENORS, _MODULI))} FROM orders WHERE o_orderdate::DATE BETWEEN {SERIES_SQL} AND isodow(o_orderdate) <= 5 GROUP BY 1),
 wide AS (SELECT * FROM (SELECT report_date, {", ".join(f"last_value({r} IGNORE NULLS) OVER w AS {r}" for r in _TENORS)} FROM calendar LEFT JOIN obs USING (report_date) WINDOW w AS (ORDER BY report_date ROWS UNBOUNDED PRECEDING)) WHERE rate_0 IS NOT NULL)"""
 
 
@@ -315,6 +315,28 @@ def rank_sum_selection(spark, sf):
     return clustering.rank_sum(t, {"ch": False, "db": True, "st": False}, "k").limit(1)
 
 
+@query(f"""{D}, d AS (SELECT report_date, direct, row_number() {OVER} AS seen, {", ".join(f"lag(direct, {n - 1}) {OVER}::DOUBLE AS raw_lag{n}" for n in forecast.LAGS)}, avg(direct) OVER (ORDER BY report_date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS level FROM daily)
+SELECT report_date AS origin, seen, {", ".join(f"raw_lag{n} / 1e6 AS raw_lag{n}" for n in forecast.LAGS)}, level / 1e6 AS level FROM d""", " ".join(f"raw_lag{n}" for n in forecast.LAGS) + " level")
+def origin_lags(spark, sf):
+    rows = forecast.origin_features(daily(spark, sf), "direct")
+    return rows.select("origin", "seen", *[(F.col(c) / 1e6).alias(c) for c in (*[f"raw_lag{n}" for n in forecast.LAGS], "level")])
+
+
+@query(f"""{D}, o AS (SELECT report_date AS origin, row_number() {OVER} AS seen FROM daily) SELECT origin, report_date AS target_date, date_diff('day', origin, report_date)::INTEGER AS horizon, 0.5 ** (date_diff('day', report_date, DATE '1998-02-01')::DOUBLE / {forecast.HALF_LIFE}) AS weight
+  FROM o JOIN daily ON report_date BETWEEN origin + 1 AND origin + {forecast.HORIZON} WHERE origin < DATE '1998-02-01' AND report_date < DATE '1998-02-01' AND seen >= {forecast.MIN_HISTORY}""", "weight")
+def origin_horizons(spark, sf):
+    d = daily(spark, sf)
+    rows, _ = forecast.training_rows(d, forecast.origin_features(d, "direct"), "direct", "1998-02-01")
+    return rows.select("origin", "target_date", "horizon", "weight")
+
+
+@query(f"{D} SELECT report_date, direct, transfer FROM daily WHERE report_date < DATE '1998-02-01'")
+def sentinel_history(spark, sf):
+    """What lies before a cutoff after all numbers from it on have been replaced by noise."""
+    noisy = forecast.contaminated(daily(spark, sf).select("report_date", "direct", "transfer"), "1998-02-01", ("direct", "transfer"))
+    return noisy.where("report_date < DATE '1998-02-01'")
+
+
 @query(None)
 def ridge_forecast(spark, sf):
     d = daily(spark, sf).join(wide_rates(spark, sf), "report_date")

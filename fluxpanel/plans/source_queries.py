@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,11 @@ from .registry import query
 
 
 def scratch(spark) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A folder that driver and executors share: the session's checkpoint folder; a temporary one where all run in one JVM."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/fluxpanel-{uuid.uuid4().hex}"
 
 
@@ -34,6 +38,41 @@ def csv_round_trip(spark, sf):
     return files.read_csv(spark, path, kind)
 
 
+@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def csv_dates(spark, sf):
+    """Two of four columns, a date among them, out of a CSV."""
+    path = scratch(spark)
+    files.write_csv(table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus"), path)
+    return files.read_csv(spark, path, "o_orderkey bigint, o_custkey bigint, day date, o_orderstatus string", ["o_orderkey", "day"])
+
+
+@query("SELECT strftime(o_orderdate, '%Y%m%d') AS day, count(*) AS orders FROM orders GROUP BY 1")
+def csv_without_header(spark, sf):
+    path = scratch(spark)
+    days = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyyMMdd").alias("day")).agg(F.count("*").alias("orders"))
+    files.write_csv(days, path, header=False)
+    return files.read_csv(spark, path, "day string, orders bigint", header=False)
+
+
+@query("SELECT id, s::DATE AS \"start\", e::DATE AS \"end\" FROM (VALUES ('a', '1997-09-01', '1997-09-30'), ('b', '1997-10-01', '1997-10-30')) t(id, s, e)")
+def window_config(spark, sf):
+    """Windows out of a JSON file."""
+    path = scratch(spark)
+    spark.sql("SELECT array(named_struct('id', 'a', 'start', '1997-09-01', 'end', '1997-09-30'), named_struct('id', 'b', 'start', '1997-10-01', 'end', '1997-10-30')) AS windows").coalesce(1).write.json(path)
+    return files.read_windows(spark, path)
+
+
+@query("SELECT 'r' || r_regionkey AS file, CASE r_regionkey WHEN 0 THEN 'missing' WHEN 1 THEN 'changed' ELSE 'PASS' END AS status FROM region UNION ALL SELECT 'r9', 'extra'")
+def inventory_check(spark, sf):
+    """A list of hashes, written and read as text, against what is found."""
+    path = scratch(spark)
+    known = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("file"), F.sha2(F.col("r_name").cast("binary"), 256).alias("sha256"), F.length("r_name").cast("long").alias("bytes"), "r_regionkey", "r_name")
+    known.select(F.concat_ws("  ", "sha256", "file").alias("value")).unionByName(spark.sql("SELECT 'no hash' AS value")).write.text(path)
+    expected = files.read_hashes(spark, path).join(known.select("file", "bytes"), "file")
+    found = known.where("r_regionkey > 0").select("file", "bytes", F.when(F.col("r_regionkey") == 1, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    return files.verify_inventory(expected, found.unionByName(spark.sql("SELECT 'r9' AS file, 1L AS bytes, 'x' AS sha256")))
+
+
 @query("SELECT o_orderdate::DATE AS day, count(*) AS orders, sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT))::BIGINT AS cents FROM orders GROUP BY 1")
 def parquet_clustered_round_trip(spark, sf):
     path = scratch(spark)

@@ -40,8 +40,23 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def describe_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Files with rows and bytes; counts come from the footers."""
-    return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    """Of each file: bytes, rows, row groups, least and most rows of one, compression, writer and schema; only footers are read, on the driver."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = []
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        size = place.getFileSystem(conf).getFileStatus(place).getLen()
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(place, conf))
+        try:
+            footer = reader.getFooter()
+            meta, groups = footer.getFileMetaData(), list(footer.getBlocks())
+            counts = [g.getRowCount() for g in groups]
+            codecs = sorted({c.getCodec().toString() for g in groups for c in g.getColumns()})
+            columns = [(f.getName(), str(f)) for f in meta.getSchema().getFields()]
+            rows.append((name.rpartition("/")[2], size, sum(counts), len(groups), min(counts, default=0), max(counts, default=0), ",".join(codecs), meta.getCreatedBy(), [t for _, t in columns]))
+        finally:
+            reader.close()
+    return spark.createDataFrame(rows, "file string, bytes long, rows long, row_groups int, least_rows long, most_rows long, compression string, created_by string, columns array<string>")
 
 
 def write_parquet(df: DataFrame, path: str, sort: Sequence[str] = (), range_by: str | None = None, mode: str = "errorifexists") -> None:
@@ -151,11 +166,26 @@ def seal(paths: Sequence[str | Path]) -> None:
         os.chmod(p, stat.S_IRUSR | stat.S_IRGRP | stat.S_IROTH)
 
 
+def runtime(folder: str | Path = ".") -> dict:
+    """Versions that a result was made with, and the state of the git folder it was made from."""
+    import platform
+    import subprocess
+
+    import pyspark
+
+    def git(*words: str) -> str | None:
+        done = subprocess.run(["git", "-C", str(folder), *words], capture_output=True, text=True, check=False)
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    status = git("status", "--porcelain")
+    return {"python": platform.python_version(), "platform": platform.platform(), "pyspark": pyspark.__version__, "git_commit": git("rev-parse", "HEAD"), "git_changed": None if status is None else bool(status)}
+
+
 def write_manifest(folder: str | Path, extra: Mapping | None = None, name: str = "manifest.json") -> dict:
-    """Bytes and hash of every file of a folder, with what else is given."""
+    """Bytes and hash of every file of a folder, the runtime, and what else is given."""
     folder = Path(folder)
     files = {str(p.relative_to(folder)): {"bytes": p.stat().st_size, "sha256": sha256(p)} for p in sorted(folder.rglob("*")) if p.is_file() and p.name != name}
-    made = {"files": files, **(extra or {})}
+    made = {"files": files, "runtime": runtime(), **(extra or {})}
     (folder / name).write_text(json.dumps(made, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
     return made
 

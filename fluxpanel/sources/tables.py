@@ -1,7 +1,7 @@
 """The analytical tables that the registered queries run on, built from the driver's tables.
 
 A user's day is a four-hour slot of ``events``, so that thirty days of events give a panel of
-180 days.  The daily series comes from ``orders`` on a calendar of 427 days.
+180 days.  The daily series has all days of ``orders``, on a calendar without gaps.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..operators.joins import densify
 
 PANEL_START = "2024-01-01"
-SERIES = ("1997-01-01", "1998-03-03")
+SERIES = ("1995-01-01", "2001-08-01")
+SERIES_SQL = f"DATE '{SERIES[0]}' AND DATE '{SERIES[1]}'"
+CALENDAR_SQL = f"generate_series(DATE '{SERIES[0]}', DATE '{SERIES[1]}', INTERVAL 1 DAY)"
 #: Rolling cutoffs of the panel: id, first and last day.
 PANEL_WINDOWS = (("w1", "2024-03-31", "2024-04-29"), ("w2", "2024-04-30", "2024-05-29"), ("w3", "2024-05-30", "2024-06-28"))
 #: Backtest windows of the daily series.
@@ -23,7 +25,7 @@ SERIES_WINDOWS = (
 
 
 #: With a window that has but 62 days of history before it.
-BACKTESTS = (("b0", "1997-03-04", "1997-04-02"), *SERIES_WINDOWS)
+BACKTESTS = (("b0", "1995-03-04", "1995-04-02"), *SERIES_WINDOWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,10 +105,10 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("report_date").agg((F.sum("c") / F.count("*") / 1e7).alias("rate_1d"), F.avg(F.col("o_orderkey") % 97).alias("rate_7d"))
 
 
-RATES_SQL = """
+RATES_SQL = f"""
 rates AS (
   SELECT o_orderdate::DATE AS report_date, sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT))::DOUBLE / count(*) / 1e7 AS rate_1d, avg(o_orderkey % 97) AS rate_7d
-  FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-03-03' AND isodow(o_orderdate) <= 5 GROUP BY 1
+  FROM orders WHERE o_orderdate::DATE BETWEEN {SERIES_SQL} AND isodow(o_orderdate) <= 5 GROUP BY 1
 )"""
 
 
@@ -120,9 +122,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumns({"purchase": F.col("direct") + F.col("share"), "redeem": F.col("transfer") + F.col("consume")})
 
 
-DAILY_SQL = """
+DAILY_SQL = f"""
 calendar AS (
-  SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-03-03', INTERVAL 1 DAY)) AS DATE) AS report_date
+  SELECT CAST(unnest({CALENDAR_SQL}) AS DATE) AS report_date
 ), daily_orders AS (
   SELECT o_orderdate::DATE AS report_date, o_orderstatus, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders
 ), daily_sums AS (
