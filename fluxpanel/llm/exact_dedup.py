@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WHITESPACE, stored
+from .util import WHITESPACE, stored, without
 
 #: Tasks that merge the sketches of the input's tasks.
 MERGERS = 64
@@ -61,5 +61,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id can't be named and all stay; rows repeated with one id stay or
     go together.
     """
-    lost = exact_groups(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("__lost"))
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    return without(docs, id_col, exact_groups(docs, id_col, text_col, **how).where(~F.col("kept")).select(id_col))

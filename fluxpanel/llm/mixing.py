@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import stored
@@ -90,24 +90,11 @@ def budgets(leaves: Mapping[tuple, int], weights: Mapping[tuple, float], total:
     return out
 
 
-def mix(
-    docs: DataFrame, levels: dict[str, object], weights: Mapping[tuple, float], *, fraction: float | None = None, tokens: int | None = None,
-    id_col: str = "doc_id", tokens_expr=None, epochs: int = 1, seed: int = 42,
-) -> DataFrame:
-    """One row per chosen document and epoch: id, the levels, tokens, epoch, leaf_budget.
-
-    ``levels`` names the tree's levels from the root down, each with its column.  The budget
-    is ``tokens``, or ``fraction`` of all tokens there are.  ``epochs`` bounds how often a
-    document can be taken.  A document is in the prefix if it ends within the budget, so a
-    leaf gives its budget less a part of one document.  Null levels are a node of their own;
-    null texts and texts without a token take no part.  Rows repeated with one id stand side
-    by side in the order and count each; null ids are ordered as empty ones.
-    """
-    names = list(levels)
-    size = token_count() if tokens_expr is None else tokens_expr
-    base = docs.select(F.col(id_col).alias("id"), *[c.alias(f"l{i}") for i, c in enumerate(levels.values())], size.alias("tokens"))
+def _chosen(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, float], fraction: float | None, tokens: int | None, id_col: str, size: Column, epochs: int, seed: int) -> DataFrame:
+    """Leaf columns l0, l1, ..., id, tokens, epoch, leaf_budget, whole (epochs taken whole), and the key where a prefix chose the row."""
+    leaf = [f"l{i}" for i in range(len(levels))]
+    base = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in zip(leaf, levels.values())], size.alias("tokens"))
     base = stored(base, "token-counts").where("tokens > 0")
-    leaf = [f"l{i}" for i in range(len(names))]
     sums = base.groupBy(*leaf).agg(F.sum("tokens").alias("have"))
     rows = sums.limit(MAX_LEAVES + 1).collect()
     if len(rows) > MAX_LEAVES:
@@ -115,14 +102,13 @@ def mix(
     have = {tuple(r[c] for c in leaf): r.have for r in rows}
     total = tokens if tokens is not None else int(Fraction(str(1.0 if fraction is None else fraction)) * sum(have.values()))
     given = budgets({p: t * epochs for p, t in have.items()}, weights, total)
-    spark = docs.sparkSession
     kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in leaf)
-    table = spark.createDataFrame([(*p, b, b // have[p], b % have[p]) for p, b in given.items()], f"{kinds}, leaf_budget long, whole long, part long")
+    table = docs.sparkSession.createDataFrame([(*p, b, b // have[p], b % have[p]) for p, b in given.items()], f"{kinds}, leaf_budget long, whole long, part long")
     same = [base[c].eqNullSafe(table[c]) for c in leaf]
     rows = base.join(F.broadcast(table), same).select(*[base[c] for c in leaf], "id", "tokens", "leaf_budget", "whole", "part")  # MAX_LEAVES rows at most
-    whole = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1))).select(*leaf, "id", "tokens", "epoch", "leaf_budget")
-    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256)
-    last = rows.where("part > 0").withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
+    columns = [*leaf, "id", "tokens", "epoch", "leaf_budget", "whole", "key"]
+    whole = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1))).withColumn("key", F.lit(None).cast("string")).select(*columns)
+    last = rows.where("part > 0").withColumns({"key": place(seed, "id"), "epoch": F.col("whole").cast("int")}).withColumn("bucket", F.substring("key", 1, DIGITS))
     by_bucket = last.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("sum"), F.first("part").alias("part"))
     upto = Window.partitionBy(*leaf).orderBy("bucket")
     cut = by_bucket.withColumn("end", F.sum("sum").over(upto)).select(
@@ -132,6 +118,52 @@ def mix(
     sure = inside.where("end <= part")
     order = Window.partitionBy(*leaf, "bucket").orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     edge = inside.where("end > part").withColumn("upto", F.col("start") + F.sum("tokens").over(order)).where("upto <= part")
-    columns = [*leaf, "id", "tokens", F.col("whole").cast("int").alias("epoch"), "leaf_budget"]
-    out = whole.unionByName(sure.select(*columns)).unionByName(edge.select(*columns))
-    return out.select(F.col("id").alias(id_col), *[F.col(c).alias(n) for c, n in zip(leaf, names)], "tokens", "epoch", "leaf_budget")
+    return whole.unionByName(sure.select(*columns)).unionByName(edge.select(*columns))
+
+
+def place(seed: int, id_col: str, whole: str = "whole") -> Column:
+    """Where a document stands in the order of the epoch after ``whole`` epochs."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(whole).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"), 256)
+
+
+def mix(
+    docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, float], *, fraction: float | None = None, tokens: int | None = None,
+    id_col: str = "doc_id", tokens_expr: Column | None = None, epochs: int = 1, seed: int = 42,
+) -> DataFrame:
+    """One row per chosen document and epoch: id, the levels, tokens, epoch, leaf_budget.
+
+    ``levels`` names the tree's levels from the root down, each with its column.  The budget
+    is ``tokens``, or ``fraction`` of all tokens there are.  ``epochs`` bounds how often a
+    document can be taken.  A document is in the prefix if it ends within the budget, so a
+    leaf gives its budget less a part of one document.  Null levels are a node of their own;
+    null texts and texts without a token take no part.  Rows repeated with one id stand side
+    by side in the order and count each; null ids are ordered as empty ones.  An empty table
+    gives no rows.  Other columns of ``docs`` are not returned; a level with the name of
+    another output column raises.
+    """
+    names = [id_col, *levels, "tokens", "epoch", "leaf_budget"]
+    if len(set(names)) < len(names):
+        raise ValueError(f"output columns clash: {names}")
+    size = token_count() if tokens_expr is None else tokens_expr
+    out = _chosen(docs, levels, weights, fraction, tokens, id_col, size, epochs, seed)
+    return out.select(F.col("id").alias(id_col), *[F.col(f"l{i}").alias(n) for i, n in enumerate(levels)], "tokens", "epoch", "leaf_budget")
+
+
+def taken(
+    docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, float], *, fraction: float | None = None, tokens: int | None = None,
+    id_col: str = "doc_id", tokens_expr: Column | None = None, seed: int = 42,
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` takes in its first epoch, with their columns and texts where they are.
+
+    A leaf's prefix ends at one place of its order, so a row a leaf says which documents stay.
+    Rows repeated with one id and size stay or go together.
+    """
+    size = token_count() if tokens_expr is None else tokens_expr
+    found = _chosen(docs, levels, weights, fraction, tokens, id_col, size, 1, seed)
+    leaf = [f"l{i}" for i in range(len(levels))]
+    cuts = stored(found.groupBy(*leaf).agg(F.max("whole").alias("whole"), F.max(F.struct("key", "tokens")).alias("last")), "cuts")
+    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in leaf], F.col("whole").alias("__whole"), F.col("last").alias("__last"))
+    rows = docs.withColumns({f"__m{n}": c for n, c in zip(leaf, levels.values())} | {"__tokens": size}).where("__tokens > 0")
+    joined = rows.join(F.broadcast(cuts), [F.col(f"__m{c}").eqNullSafe(F.col(f"__{c}")) for c in leaf])  # MAX_LEAVES rows at most
+    own = F.struct(place(seed, id_col, "__whole").alias("key"), F.col("__tokens").alias("tokens"))
+    return joined.where((F.col("__whole") > 0) | (own <= F.col("__last"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import discard, stored
+from .util import discard, few, release, stored, without
+from .words import blocks as text_blocks
+from .words import mixed, shingles
 
 PIVOTS = np.random.default_rng(20_240_601).integers(0, 2**64, 16, dtype=np.uint64, endpoint=False)
 SWEEP = 4096
@@ -286,14 +288,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def shingle_set(text: str | None, width: int) -> frozenset[int]:
-    """Hashes of the distinct shingles of ``width`` words; fewer words are one shingle, none is no shingle."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return frozenset()
-    return frozenset(xxhash.xxh64_intdigest(b" ".join(found[i : i + width])) for i in range(max(1, len(found) - width + 1)))
-
-
 def shingle_links(sets: list[np.ndarray], similarity: float, forest: Forest, leaders: int = 64) -> None:
     """Link all pairs of shingle sets whose Jaccard similarity is ``similarity`` or more; empty sets are alike.
 
@@ -336,26 +330,37 @@ def _alike(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
         for batch in batches:
-            for i, (one, component, salt) in enumerate(zip(batch.column("id").to_pylist(), batch.column("component").to_pylist(), batch.column("salt").to_pylist())):
-                if now != (component, salt):
-                    if ids:
-                        yield found(ids, now[0], sets)
-                    now, ids, sets = (component, salt), [], []
-                ids.append(one)
-                sets.append(np.array(sorted(shingle_set(batch.column("text")[i].as_py(), width)), dtype=np.uint64))
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("id", "component", "salt"))))
+            for start, texts in text_blocks(batch.column("text")):
+                keys, bounds = shingles(texts, width)
+                for i, (one, component, salt) in enumerate(names[start : start + len(texts)]):
+                    if now != (component, salt):
+                        if ids:
+                            yield found(ids, now[0], sets)
+                        now, ids, sets = (component, salt), [], []
+                    ids.append(one)
+                    sets.append(np.unique(keys[bounds[i] : bounds[i + 1]]))
         if ids:
             yield found(ids, now[0], sets)
 
     return run
 
 
-def least_hashes(found: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` MinHashes of a set of 64-bit hashes: the least value under each of ``n`` multiply-xorshift hashes."""
-    made = np.empty(n, np.uint64)
-    for k in range(n):
-        x = (found ^ _SEEDS[k, 0]) * _SEEDS[k, 1]
-        made[k] = ((x ^ x >> np.uint64(29)) * _SEEDS[k, 2]).min()
-    return made
+def band_keys(keys: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each text a key of each band: of the least values of ``rows`` hashes of its shingles.  No shingle gives zeros."""
+    n, half = len(bounds) - 1, (keys >> np.uint64(32)).astype(np.uint32)
+    full = np.flatnonzero(np.diff(bounds))
+    out = np.zeros((n, bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(full), band, np.uint64)
+        for one, two, three in _SEEDS[band * rows : (band + 1) * rows].astype(np.uint32):
+            x = (half ^ one) * (two | np.uint32(1))
+            x ^= x >> np.uint32(15)
+            x *= three | np.uint32(1)
+            if len(full):
+                key = mixed(key, np.minimum.reduceat(x, bounds[full]).astype(np.uint64))
+        out[full, band] = key
+    return out
 
 
 def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
@@ -366,18 +371,18 @@ def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros((batch.num_rows, bands), np.uint64)  # no word: the key zero of every band
-            for i, text in enumerate(batch.column("text")):
-                found = np.fromiter(shingle_set(text.as_py(), shingle), np.uint64)
-                if len(found):
-                    keys[i] = [xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least_hashes(found, bands * rows).reshape(bands, rows))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands)), pa.array(keys.ravel().view(np.int64))], ["id", "key"])
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for start, texts in text_blocks(batch.column("text")):
+                keys = band_keys(*shingles(texts, shingle), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start : start + len(texts)], bands)), pa.array(keys.ravel().view(np.int64))], ["id", "key"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     keys = stored(texts.mapInArrow(run, "id long, key long"), "band-keys")
-    least = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most").select("key", "b")
-    roots = components(keys.join(least, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct())
-    return texts.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component")).distinct()
+    least = stored(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most").select("key", "b"), "bands")
+    edges = stored(keys.join(few(least), "key").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "candidates")
+    for spent in (keys, least):
+        discard(spent)
+    return components(edges).select("id", F.col("root").alias("component"))
 
 
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000, bands: int = 0) -> DataFrame:
@@ -395,33 +400,34 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if bands:
         named = band_groups(docs, id_col, text_col, shingle=shingle, bands=bands)
     else:
-        named = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component"))
-    groups = stored(named.where("id is not null").distinct(), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+        named = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct()
+    groups = stored(named, "groups")
+    named = groups.select("id", "component").unionByName(groups.select(F.col("component").alias("id"), "component")).distinct()  # a component's smallest id may have no row of its own
+    sizes = stored(named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     salted = lambda df, seed: df.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / part)))
-    members = salted(groups.join(sizes, "component"), 0)
+    members = stored(salted(named.join(few(sizes), "component"), 0), "members")
+    release(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = "id long, component long, root long"
-    look = lambda df: texts.join(df, "id").select("id", "component", "salt", "text").repartition("component", "salt").sortWithinPartitions("component", "salt", "id").mapInArrow(_alike(shingle, similarity), kind)
+    look = lambda df: texts.join(few(df.select("id", "component", "salt")), "id").repartition("component", "salt").sortWithinPartitions("component", "salt", "id").mapInArrow(_alike(shingle, similarity), kind)
     edge = lambda df: df.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     first = stored(look(members), "first-look")
     edges = edge(first)
     large = stored(sizes.where(F.col("n") > part), "large")
     if not large.isEmpty():
-        firsts = first.join(large.select("component"), "component").where("id = root").select("id", "component").distinct()
-        firsts = salted(firsts.join(firsts.groupBy("component").agg(F.count("*").alias("n")), "component"), 1)
+        firsts = first.join(few(large.select("component")), "component").where("id = root").select("id", "component").distinct()
+        firsts = stored(salted(firsts.join(firsts.groupBy("component").agg(F.count("*").alias("n")), "component"), 1), "firsts")
         edges = stored(edges.unionByName(edge(look(firsts))), "edges-of-parts")
-        every = members.join(large.select("component"), "component")
+        every = members.join(few(large.select("component")), "component")
         rooted = stored(every.join(components(edges), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         most = rooted.groupBy("component", "root").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
         outside = rooted.join(most, "component").where("root != largest").select("id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / part) - 1)).alias("salt"))
         busy = outside.select("component").distinct()
         parts = every.join(busy, "component", "left_semi").select("id", "component", F.col("salt").cast("long").alias("salt"))
-        edges = edges.unionByName(edge(look(parts.unionByName(outside).distinct())))
+        edges = edges.unionByName(edge(look(stored(parts.unionByName(outside).distinct(), "parts"))))
     return components(edges).where("id != root").select(F.col("id").alias("lost")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without the ``similar_copies``; rows with a null id stay."""
-    lost = similar_copies(docs, id_col, text_col, **how).select(F.col("lost").alias("__lost"))
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    return without(docs, id_col, similar_copies(docs, id_col, text_col, **how).select("lost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -11,17 +13,21 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts of this subpackage define it.
 WHITESPACE = r"[\x20\x09-\x0D]+"
+#: What ``stored`` has written and ``discard`` hasn't deleted.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests in one JVM), a temporary folder is made once
-    for the session and remembered in the session's settings.
+    Where the setting is absent in a session of one JVM (tests), a temporary folder is made
+    once and remembered in the session's settings; on a cluster that is an error.
     """
     for key in ("spark.checkpoint.dir", "spark.fluxpanel.scratch"):
         if found := spark.conf.get(key, None):
             return found.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="fluxpanel-")
     spark.conf.set("spark.fluxpanel.scratch", made)
     return made
@@ -38,16 +44,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fluxpanel_path = path
+    _WRITTEN.append(path)
     return out
 
 
-def discard(df: DataFrame) -> None:
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so once the driver's JVM has collected their owners; where lineage has been cut
+    by ``stored``, waiting for that would keep the disks full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame | None) -> None:
     """Delete what ``stored`` wrote, once no later plan reads it."""
     path = getattr(df, "_fluxpanel_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all that ``stored`` has written in this process but what ``keep`` reads; for the end of a job."""
+    kept = {getattr(df, "_fluxpanel_path", None) for df in keep}
+    for path in [p for p in _WRITTEN if p not in kept]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -61,3 +90,21 @@ def remainder(column: str, modulus: int) -> Column:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+#: Rows of so few ids and numbers are sent to every executor (tens of MB); more take part in a shuffle.
+FEW = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """What ``stored`` returned, marked for a broadcast where it has few rows, else for a join by a shuffle: its files say how many."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
+def without(docs: DataFrame, id_col: str, lost: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in the one column of ``lost``; null ids stay.
+
+    While few ids are lost, texts stay where they are.
+    """
+    gone = stored(lost.toDF("__lost"), "lost")
+    return docs.join(few(gone), F.col(id_col) == F.col("__lost"), "left_anti")
