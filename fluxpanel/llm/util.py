@@ -65,9 +65,14 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all that ``stored`` has written in this process but what ``keep`` reads; for the end of a job."""
-    kept = {getattr(df, "_fluxpanel_path", None) for df in keep}
+def written() -> frozenset[str]:
+    """The tables that ``stored`` has written in this process so far and that are still there."""
+    return frozenset(_WRITTEN)
+
+
+def sweep(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None:
+    """Delete what ``stored`` has written since ``before``, but for what ``keep`` reads: for the end of a job."""
+    kept = before | {getattr(df, "_fluxpanel_path", None) for df in keep}
     for path in [p for p in _WRITTEN if p not in kept]:
         _delete(spark, path)
 
