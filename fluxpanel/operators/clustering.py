@@ -89,6 +89,7 @@ def fit_grid(scaled: DataFrame, columns: Sequence[str] = INPUTS, ks: Sequence[in
         pairs = [F.struct(F.lit(f"{i}-{j}").alias("pair"), F.col(f"run_{i}").alias("a"), F.col(f"run_{j}").alias("b")) for i, j in combinations(range(len(fits)), 2)]
         rand = [r.adjusted_rand for r in adjusted_rand(runs.select(F.inline(F.array(*pairs))), "a", "b", ["pair"]).collect()] if pairs else []
         rows.append((k, best.summary.trainingCost, sep.calinski_harabasz, sep.davies_bouldin, median(rand) if rand else 1.0, shares.least / shares.n if shares.k == k else 0.0))
+    points.unpersist()  # later reads of the labels run through the models again
     table = scaled.sparkSession.createDataFrame(rows, "k int, inertia double, calinski_harabasz double, davies_bouldin double, stability double, smallest_share double")
     labels = {k: df.select(key, "prediction") for k, df in labels.items()}
     chosen = rank_sum(table, {"calinski_harabasz": False, "davies_bouldin": True, "stability": False, "smallest_share": False}, "k").first().k

@@ -291,6 +291,62 @@ def test_cluster_grid_is_whole(spark, monkeypatch):
     pairs = [segments.adjusted_rand(a.withColumnRenamed("prediction", "x").join(b.withColumnRenamed("prediction", "y"), "user_id"), "x", "y").first().adjusted_rand for i, (_, a) in enumerate(runs) for _, b in runs[i + 1 :]]
     assert row.stability == pytest.approx((sorted(pairs)[2] + sorted(pairs)[3]) / 2)
     assert row.smallest_share == min(r["count"] for r in min(runs, key=lambda r: r[0])[1].groupBy("prediction").count().collect()) / 80
-    assert "fit_grid(scaled)" in inspect.getsource(panel_queries.user_clusters)
+    assert "fit_grid(scaled)" in inspect.getsource(panel_queries._clustered)
     grid = inspect.signature(clustering.fit_grid).parameters
     assert list(grid["ks"].default) == [3, 4, 5, 6, 7, 8] and len(grid["seeds"].default) == 5
+
+
+def test_ranks_by_ranges_equal_sorted_ranks(spark):
+    rng = random.Random(11)
+    values = [rng.choice([0.0, -3.5, 2.0, rng.gauss(0, 1e6), rng.random()]) for _ in range(400)]
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", v) for i, v in enumerate(values)], "id long, g string, v double").repartition(5)
+    got = {r.id: r["rank"] for r in association.ranked_in_ranges(df, "g", "v", steps=4).collect()}
+    for i, v in enumerate(values):
+        own = [x for k, x in enumerate(values) if bool(k % 3) == bool(i % 3)]
+        assert got[i] == sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2
+
+
+def test_user_spearman_of_a_monotone_pair(spark):
+    rows = [(u, t, f(u)) for u in range(1, 40) for t, f in (("a", lambda u: float(u)), ("b", lambda u: u**3.0), ("c", lambda u: -float(u % 7)))]
+    got = {(r.a, r.b): r.user_spearman for r in association.user_spearman(spark.createDataFrame(rows, "user_id long, target string, v double"), "v").collect()}
+    assert got["a", "b"] == pytest.approx(1) and got["a", "b"] == got["b", "a"] and abs(got["a", "c"]) < 0.5
+
+
+def test_rate_grid_lags_and_differences(spark):
+    rng = random.Random(5)
+    rate = [rng.random() for _ in range(90)]
+    flow = [0.0] + [math.expm1(3 + r) for r in rate[:-1]]  # yesterday's rate moves today's flow
+    df = spark.createDataFrame([(day(i), rate[i], flow[i]) for i in range(90)], "report_date date, r double, f double")
+    got = {x.statistic: x for x in association.rate_grid(df, ["r"], ["f"]).collect()}
+    assert set(got) == set(association.GRID)
+    assert got["lag1_spearman"].value == pytest.approx(1) and got["lag1_spearman"].pairs == 89
+    assert got["lagged_diff1_corr"].pairs == 88 and got["lagged_diff1_corr"].value > 0.5
+    assert got["diff7_corr"].pairs == 83 and all(abs(x.value) == x.abs_value for x in got.values())
+    assert abs(got["spearman"].value) < 0.4
+
+
+def test_leaks_and_overlaps_are_found(spark):
+    windows = spark.createDataFrame([("a", day(10), day(19)), ("b", day(15), day(30)), ("c", day(40), day(35)), ("d", day(60), day(69))], "id string, start date, end date")
+    panel = spark.createDataFrame([(1, day(i)) for i in range(80)], "user_id long, report_date date")
+    profiles = spark.createDataFrame([("a", 1, 10, day(9)), ("b", 1, 16, day(14)), ("c", 1, 40, day(39)), ("d", 1, 61, day(60))], "id string, user_id long, rows_life long, last_seen_life date")
+    got = {r.id: (r.overlap, r.status) for r in audits.leakage_audit(profiles, panel, windows).collect()}
+    assert got == {"a": (False, "REVIEW"), "b": (True, "FAIL"), "c": (False, "FAIL"), "d": (False, "FAIL")}
+
+
+def test_summary_status_follows_violations(spark):
+    one = lambda m, x: spark.createDataFrame([(m, x)], "m long, x long")
+    got = {r.check_id: (r.metric_value, r.status) for r in audits.audit_summary({"calendar": one(30, 0), "extreme_users": one(5, 5), "types": one(1, 1), "time_leakage": spark.createDataFrame([(None, None)], "m long, x long")}).collect()}
+    assert got == {"calendar": (30, "PASS"), "extreme_users": (5, "REVIEW"), "types": (1, "FAIL"), "time_leakage": (0, "PASS")}
+
+
+def test_profile_counts_distinct_values(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (2, None, None)], "x long, y string, z double")
+    got = {r["column"]: (r.rows, r.nulls, r.distinct_values, r.min_value, r.max_value) for r in audits.column_profile(df).collect()}
+    assert got == {"x": (3, 0, 2, "1", "2"), "y": (3, 1, 1, "a", "a"), "z": (3, 3, 0, None, None)}
+    assert {r["column"]: r.rows for r in audits.column_profile(df.limit(0)).collect()} == {"x": 0, "y": 0, "z": 0}
+
+
+def test_spreads_come_from_pairs():
+    made = features.spreads()
+    assert len(made) == len(features.SPREAD_PAIRS) + 1
+    assert made["spread_Interest_1_Y_less_Interest_O_N"] == "Interest_1_Y - Interest_O_N"

@@ -31,7 +31,9 @@ def test_parquet_pushes_the_range_down(spark, tmp_path):
     assert df.count() == 11
     with pytest.raises(Exception):
         files.write_parquet(spark.range(1), path)
-    assert sum(r.rows for r in files.describe_parquet(spark, path).collect()) == 1000
+    described = files.describe_parquet(spark, path).collect()
+    assert sum(r.rows for r in described) == 1000
+    assert all(r.row_groups >= 1 and r.least_rows <= r.most_rows <= r.rows and r.compression == "ZSTD" for r in described)
 
 
 def test_small_csv_with_mark(spark, tmp_path):
