@@ -20,8 +20,9 @@ def brute(rows, asked, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows,leaf,block", [(16_384, 256, 512), (60, 8, 16), (30, 1, 4)])
-def test_equals_brute_force(spark, monkeypatch, shard_rows, leaf, block):
+@pytest.mark.parametrize("shard_rows,leaf,block,boxes", [(16_384, 256, 512, 10**6), (60, 8, 16, 10**6), (30, 1, 4, 0), (40, 2, 1, 10**6)])
+def test_equals_brute_force(spark, monkeypatch, shard_rows, leaf, block, boxes):
+    monkeypatch.setattr(vectors, "BOXES", boxes)
     monkeypatch.setattr(vectors, "LEAF", leaf)
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = random.Random(8)
@@ -60,3 +61,29 @@ def test_products_stay_exact():
     assert vectors.product(big, np.array([[2**20], [1]]))[0, 0] == 2**60 + 1
     with pytest.raises(OverflowError):
         vectors.product(big, np.array([[2**40], [1]]))
+
+
+def test_splits_cover_all_and_lie_apart():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.integers(-50, 50, (400, 3)), np.full((300, 3), 7)])
+    made = vectors.Splits(points, 16)
+    cells = made.cell(points)
+    assert 2 <= made.cells <= 16 and set(cells.tolist()) <= set(range(made.cells))
+    assert len(set(cells[400:].tolist())) == 1  # copies share a cell
+    for wide, middle, left, right in made.nodes:
+        assert (wide < 0) == (left == right == 0)
+    assert vectors.Splits(points[:0], 4).cells == vectors.Splits(points[400:], 4).cells == 1
+
+
+def test_shards_that_cannot_matter_are_not_asked(spark):
+    near = [(i, [100.0 + i % 7, 100.0]) for i in range(0, 200)]
+    far = [(1000 + i, [-100.0 - i % 5, -100.0]) for i in range(200)]
+    df = spark.createDataFrame(near + far, "id long, v array<double>")
+    rows = vectors.whole_numbers(df, "id", "v", 1)
+    splits = vectors._splits(rows, 100)
+    shards, units = vectors._units(rows, splits, 100, "t")
+    boxes = vectors._boxes(shards)[2]
+    assert len(boxes[0]) == sum(parts for _, parts in units.values()) >= 4
+    q = np.array([[100, 100]])
+    reach = vectors.product(np.maximum(q, 0), boxes[2].T) + vectors.product(np.minimum(q, 0), boxes[1].T)
+    assert (reach[0] < 0).any() and (reach[0] > 0).any()
