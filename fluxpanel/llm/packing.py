@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import stored
+from .util import few, stored
 
 #: Words whose ids a worker remembers before it starts anew.
 MEMO = 500_000
@@ -58,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        #: Names of special tokens: a text that holds one is encoded whole, by the tokenizer alone.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self._cuts_at_spaces()
         self.model = self.tokenizer.model
         self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -112,6 +113,9 @@ class Encoder:
             return [self.plain(t) if t else b"" for t in texts]
         get, out = self.memo.get, []
         for text in texts:
+            if text and self.holds_special(text):
+                out.append(self.plain(text))
+                continue
             words = self.split(text) if text else []
             found = list(map(get, words))
             if None in found:
@@ -121,6 +125,12 @@ class Encoder:
             out.append(b"".join(found))
         return out
 
+    def holds_special(self, text: str) -> bool:
+        if not self.special:
+            return False
+        low = text.lower()
+        return any(t in low for t in self.special)
+
     def word(self, word: str) -> bytes:
         ids = self.memo.get(word)
         if ids is None:
@@ -198,63 +208,79 @@ class Plan:
     sequences: int
 
 
-def complement(have: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths whose sum is ``gap``; the longest first."""
-    if have[gap] > 0:
-        return [gap]
-    there = have > 0
-
-    def pair(total: int) -> tuple[int, int] | None:
-        low = np.arange(1, total // 2 + 1)
-        fits = there[low] & there[total - low]
-        if total % 2 == 0 and len(low) and have[total // 2] < 2:
-            fits[-1] = False
-        hit = np.flatnonzero(fits)
-        return (total - int(low[hit[0]]), int(low[hit[0]])) if len(hit) else None
-
-    if found := pair(gap):
-        return list(found)
-    for a in np.flatnonzero(there[:gap])[::-1].tolist():
-        if 3 * a < gap:
-            break  # a is the longest of the three
-        have[a] -= 1
-        there[a] = have[a] > 0
-        found = pair(gap - a) if gap - a > 1 else None
-        have[a] += 1
-        there[a] = True
-        if found:
-            return [a, *found]
-    return None
+class Sums:
+    """Available lengths by the sums of one, two or three of them.
+
+    For every sum there is a place in the list of its pairs (by the shorter length, ascending),
+    for every triple sum one in the list of its longest members (descending).  Lengths only ever
+    become unavailable, so a place moves past a combination once and never goes back.
+    """
+
+    def __init__(self, have: list[int]):
+        self.have = have
+        self.pair_at = [1] * len(have)
+        self.triple_at = list(range(-2, len(have) - 2))  # the longest of three: two more have one token at least each
+
+    def _enough(self, lengths: tuple[int, ...], held: int = 0) -> bool:
+        """Whether the counts allow the lengths, one piece of length ``held`` being taken already."""
+        return all(self.have[x] - (x == held) >= lengths.count(x) for x in set(lengths))
+
+    def pair(self, total: int, more: tuple[int, ...] = (), held: int = 0) -> tuple[int, int] | None:
+        """The pair with the longest member for ``total`` that is there beside ``more`` and ``held``."""
+        have, at, fast = self.have, self.pair_at[total], True
+        while 2 * at <= total:
+            two = (total - at, at)
+            if have[at] and have[total - at] and self._enough(two):
+                fast = False  # there, though perhaps not beside the others: the place stays
+                if self._enough((*two, *more), held):
+                    return two
+            at += 1
+            if fast:
+                self.pair_at[total] = at
+        return None
+
+    def exact(self, gap: int, held: int) -> list[int] | None:
+        """One, two or three lengths whose sum is ``gap``; the longest first."""
+        if self._enough((gap,), held):
+            return [gap]
+        if found := self.pair(gap, held=held):
+            return list(found)
+        a, fast = self.triple_at[gap], True
+        while 3 * a >= gap:
+            if self.have[a] > 0:
+                fast = False
+                if self._enough((a,), held) and (found := self.pair(gap - a, (a,), held)) and found[0] <= a:
+                    return [a, *found]
+            a -= 1
+            if fast:
+                self.triple_at[gap] = a
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> Plan:
-    """Patterns of lengths and how often each is used, from the counts of lengths alone."""
-    have = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        have[length] = n
+    """Patterns of lengths and how often each is used, from the counts of lengths alone.
+
+    First every length, the longest first, uses up its exact complements; what is left then is
+    packed by best fit.
+    """
+    have = [counts.get(length, 0) for length in range(capacity + 1)]
     patterns: list[tuple[int, list[tuple[int, int]]]] = []
 
     def use(lengths: list[int]) -> None:
         parts = sorted(((length, lengths.count(length)) for length in set(lengths)), reverse=True)
-        times = min(int(have[length]) // n for length, n in parts)
+        times = min(have[length] // n for length, n in parts)
         for length, n in parts:
             have[length] -= times * n
         patterns.append((times, parts))
 
-    left: list[int] = []
     if have[capacity]:
         use([capacity])
+    sums = Sums(have)
     for longest in range(capacity - 1, 0, -1):
-        while have[longest] > 0:
-            have[longest] -= 1
-            found = complement(have, capacity - longest)
-            have[longest] += 1
-            if found is None:
-                left.append(longest)
-                break
+        while have[longest] > 0 and (found := sums.exact(capacity - longest, longest)):
             use([longest, *found])
-        if left and left[-1] == longest:  # its exact complements are used up: best fit
-            _best_fit(have, longest, capacity, use)
+    for longest in range(capacity - 1, 0, -1):
+        _best_fit(have, longest, capacity, use)
     order, first, used = [], 0, np.zeros(capacity + 1, dtype=np.int64)
     for times, parts in patterns:
         offset = 0
@@ -267,10 +293,10 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     return Plan(*columns, sequences=first)
 
 
-def _best_fit(have: np.ndarray, longest: int, capacity: int, use) -> None:
+def _best_fit(have: list[int], longest: int, capacity: int, use) -> None:
     """Use up ``longest``: each gap takes the longest piece that fits, again and again."""
     while have[longest] > 0:
-        rest, lengths = have.copy(), [longest]
+        rest, lengths = np.array(have), [longest]
         rest[longest] -= 1
         gap = capacity - longest
         while gap > 0:
@@ -289,13 +315,14 @@ def pack(docs: DataFrame, locate, *, id_col: str = "doc_id", text_col: str = "te
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone.  Repeated rows give repeated pieces, each
-    with a place of its own; a null id stays null.  An empty table gives no rows.
+    with a place of its own; a null id stays null.  An empty table gives no rows.  Other
+    columns of ``docs`` are not read, whatever their names.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, locate, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(by_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
+    base = stored(by_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")  # at most `capacity` rows for each input partition
     counts = {r.length: r.n for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     shared = spark.sparkContext.broadcast(plan(counts, capacity))
 
@@ -312,7 +339,7 @@ def pack(docs: DataFrame, locate, *, id_col: str = "doc_id", text_col: str = "te
                 [*names, "sequence_id", "offset"],
             )
 
-    ranked = cut.join(base.select("length", "part", "base"), ["length", "part"]).select(
+    ranked = cut.join(few(base.select("length", "part", "base")), ["length", "part"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank")
     )
     out = ranked.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
