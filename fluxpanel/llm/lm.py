@@ -1,178 +1,193 @@
-"""Language-model scoring with a backoff model of all n-grams.
+"""Language-model scoring with a weighted backoff automaton of all n-grams.
 
 Every token of the training texts is counted, and so is every n-gram of any words; no text is
-sampled or cut.  N-grams seen ``least`` times or more are smoothed by absolute discounting.
-With p(w | h) for a kept n-gram and else the backoff weight of h times p(w | h without its
-first word), the log10 score of a text is a sum over the n-grams in it: each kept one adds
-log p(w | h) - log bow(h) - log p(w | shorter h), each context log bow, each word log p(w).
-(With a count of ``least`` or more its prefix and suffix have one too, so both are kept.)
-
-Those weights are a table, however large.  Only helpers that don't change results are
-broadcast: the commonest ``words`` tokens and ``hot`` weights are looked up in place, and bits
-(a Bloom filter of two hashes) keep n-grams that have no weight from being shuffled.
-All other tokens and n-grams get their counts and weights by a join.  An n-gram's key is a
-64-bit hash of its prefix's and suffix's keys; a word's is its XXH64 (seed 42).
+sampled or cut.  N-grams seen ``least`` times or more are smoothed by absolute discounting and
+are the automaton's states: a state's arcs have p(w | h) of the kept n-grams, its failure arc
+the backoff weight of h.  (With a count of ``least`` or more an n-gram's prefix and suffix have
+one too, so both are states.)
+
+The automaton does not fit one machine, so it is kept in pushed form, as one weight a state:
+log p(w | h) - log bow(h) - log p(w | shorter h) for its last arc and log bow for its failure
+arc.  Going through a text from left to right adds up the weights of all states that its places
+pass, longest first or not: every failure arc that is not taken is paid back by the arc that
+is.  So the weights of a text can be gathered in any order, and from a table of any size.
+
+Only helpers that don't change results are broadcast: the commonest ``words`` tokens and ``hot``
+weights are looked up in place, and bits (a Bloom filter) keep n-grams that have no weight from
+being shuffled.  All other tokens and n-grams get their counts and weights by a join.
+
+Texts are cut into words and hashed for a whole block of texts at once, without an object
+for each word.  A word is known by 128 bits, an n-gram by 64 bits of its prefix and suffix.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .util import stored
+from .packed import PIECE, SHORT, bucket_bits, by_bucket, dealt, opened, pieces, short, whole
+from .util import discard, release, stored
+from .words import blocks, mixed, tokens
 
-#: The token at the end of every text; no word is empty.
-END = b""
-LONGEST = 64
-#: Distinct entries that a counting task holds before it passes them on.
-HELD = 400_000
-#: The filter has two to this power bits.
-BITS = 26
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+#: Pairs that a counting task holds before it passes them on.
+HELD = 2_000_000
+#: The filter has at most two to this power bits, in blocks of two to the power ``BLOCK``.
+MOST_BITS, BLOCK = 28, 20
+_U = np.uint64
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space, then the end."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    found.append(END)
-    return found
+class Lookup:
+    """Sorted 64-bit hashes; their first bits say where to look."""
 
+    def __init__(self, keys: np.ndarray):
+        self.keys, wide = keys, max(1, len(keys).bit_length())
+        self.shift = _U(64 - wide)
+        self.first = np.append(np.searchsorted(keys, np.arange(1 << wide, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
 
-@dataclass
-class Model:
-    """``unigram`` and ``hashes`` by word number; ``unigram`` ends with an entry for words beyond the dictionary (number -1)."""
-
-    words: dict[bytes, int] = field(repr=False)
-    unigram: np.ndarray = field(repr=False)  # log10
-    hashes: np.ndarray = field(repr=False)
-    order: int = 1
-    total: int = 0
-    kinds: int = 0
-    table: DataFrame | None = None  # gram, v: the weights of all n-grams and contexts
-    hot: tuple[np.ndarray, np.ndarray] = field(default=(np.zeros(0, np.uint64), np.zeros(0)), repr=False)
-    bits: np.ndarray | None = field(default=None, repr=False)
-
-
-def numbered(texts: list, words: dict[bytes, int], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """For all tokens of ``texts``: row, number in the dictionary (-1: none) and key; and the other tokens of each row."""
-    found = [tokens(t) for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = [t for f in found for t in f]
-    ids = np.fromiter(map(words.get, flat, repeat(-1)), np.int64, len(flat))
-    rows = np.repeat(np.arange(len(found)), sizes)
-    keys = np.append(hashes, np.uint64(0))[ids]
-    others: list[list[bytes]] = [[] for _ in found]
-    for i in np.flatnonzero(ids < 0).tolist():
-        others[rows[i]].append(flat[i])
-        keys[i] = xxhash.xxh64_intdigest(flat[i], 42)
-    return rows, ids, keys, others
-
-
-def mixed(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    x = (prefix ^ prefix >> np.uint64(31)) * _MIX[0] + suffix * _MIX[1]
-    x = (x ^ x >> np.uint64(29)) * _MIX[2]
-    return x ^ x >> np.uint64(32)
-
-
-def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter has the keys; never wrongly false."""
-    out, wide = np.ones(len(keys), bool), len(bits).bit_length() + 5  # two to this power bits
-    for shift in (64 - wide, 8):
-        at = keys >> np.uint64(shift) & np.uint64((1 << wide) - 1)
-        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
-
-
-def filter_bits(keys: DataFrame) -> np.ndarray:
-    """The filter over the column ``gram``; its size does not depend on the keys."""
-    at = [F.shiftrightunsigned("gram", s).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) for s in (64 - BITS, 8)]
-    size = 1 << min(20, BITS)  # bits of a block: blocks, not rows for bits, go to the driver
+    def __reduce__(self):
+        return Lookup, (self.keys,)  # where to look is found again, not sent
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            found = np.unique(batch.column("at").to_numpy(zero_copy_only=False))
-            for block in np.unique(found // size).tolist():
-                held.setdefault(block, np.zeros(size, bool))[found[found // size == block] % size] = True
-        for block, bits in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-    each = keys.select(F.explode(F.array(*at)).alias("at")).repartition(F.floor(F.col("at") / size)).mapInArrow(run, "block long, bits binary")
-    bits = np.zeros((1 << BITS) // 64, np.uint64)
-    for r in each.collect():
-        bits[r.block * size // 64 : (r.block + 1) * size // 64] = np.frombuffer(r.bits, np.uint64)
-    return bits
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
-        held.clear()
-        return batch
-
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.update(tokens(text))
-            if len(held) >= HELD:
-                yield out()
-    yield out()
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key (of equal ones the first), or -1."""
+        top = (wanted >> self.shift).astype(np.int64)
+        at, end, out = self.first[top], self.first[top + 1], np.full(len(wanted), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], wanted[left]
+        while len(left):
+            same = self.keys[at] == wanted
+            out[left[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            left, at, end, wanted = left[more], at[more] + 1, end[more], wanted[more]
+        return out
 
 
-def _count_grams(shared, order: int):
-    """The n-grams of ``order`` whose prefix and suffix may be kept, as (prefix, suffix, c)."""
+def _places(keys: np.ndarray, size: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key, both in the block that its first bits name."""
+    mask, base = _U((1 << block) - 1), keys >> _U(64 - size + block) << _U(block)
+    return (base | keys & mask).astype(np.int64), (base | keys >> _U(block) & mask).astype(np.int64)
+
+
+@dataclass
+class Filter:
+    """A Bloom filter of two to the power ``size`` bits, in blocks of two to the power ``block``."""
+
+    bits: np.ndarray = field(repr=False)  # as bytes
+    size: int
+    block: int
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """Whether it has the keys; never wrongly false."""
+        one, two = _places(keys, self.size, self.block)
+        test = lambda at: self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return (test(one) & test(two)).astype(bool)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """The filter over the column ``gram``: about eight bits a key, within bounds."""
+        block = BLOCK
+        size = min(MOST_BITS, max(block + 1, (8 * keys.count()).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                found = np.concatenate(_places(batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), size, block))
+                found.sort()
+                cuts = np.flatnonzero(np.diff(found >> block)) + 1
+                for part in np.split(found, cuts) if len(found) else ():
+                    held.setdefault(int(part[0]) >> block, np.zeros(1 << block, bool))[part & ((1 << block) - 1)] = True
+            for number, bits in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+        each = keys.select("gram").repartition(1 << max(0, size - block - 2), F.shiftrightunsigned("gram", 64 - size + block)).mapInArrow(run, "block long, bits binary")
+        bits, wide = np.zeros(1 << size - 3, np.uint8), 1 << block - 3
+        for r in each.toArrow().to_pylist():  # a row for each block
+            bits[r["block"] * wide : (r["block"] + 1) * wide] = np.frombuffer(r["bits"], np.uint8)
+        return cls(bits, size, block)
+
+
+def _counting(pairs: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], held: int):
+    """Counts pairs of 64-bit keys that ``pairs`` finds in blocks of texts: a, b, c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hashes, known, levels = shared.value
-        held, size = [], 0
-
-        def out():
-            nonlocal held, size
-            prefix, suffix, n = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            by = np.lexsort((suffix, prefix))
-            prefix, suffix, n = prefix[by], suffix[by], n[by]
-            starts = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])))) if len(prefix) else by
-            held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(prefix[starts].view(np.int64)), pa.array(suffix[starts].view(np.int64)), pa.array(np.add.reduceat(n, starts) if len(starts) else n)], ["prefix", "suffix", "c"])
+        kept, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal kept, size
+            a, b = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.uint64),) * 2
+            kept, size = [], 0
+            by = np.argsort(mixed(a, b))
+            a, b = a[by], b[by]
+            starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else by
+            n = np.diff(starts, append=len(a))  # pairs that a collision has mixed give several rows, which are added up
+            return pa.RecordBatch.from_arrays([pa.array(a[starts].view(np.int64)), pa.array(b[starts].view(np.int64)), pa.array(n, pa.int64())], ["a", "b", "c"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                rows, _, keys, _ = numbered(batch.column("text").slice(a, 200).to_pylist(), words, hashes)
-                fine = may_hold(levels[0], keys) if known is None else np.isin(keys, known)
-                for n in range(2, order + 1):
-                    prefix, suffix, both = keys[:-1], keys[1:], fine[:-1] & fine[1:] & (rows[:-1] == rows[1:])
-                    if n == order:
-                        break
-                    keys, rows = mixed(prefix, suffix), rows[1:]
-                    fine = both & may_hold(levels[n - 1], keys)
-                    # a place's n-gram ends in its row; it began there too if it is fine
-                held.append((prefix[both], suffix[both], np.ones(int(both.sum()), np.int64)))
-                size += len(held[-1][0])
-                if size >= 4 * HELD:
+            for _, texts in blocks(batch.column("text")):
+                kept.append(pairs(texts))
+                size += len(kept[-1][0])
+                if size >= held:
                     yield out()
         yield out()
 
     return run
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        gram = mixed(*(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("prefix", "suffix")))
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *(batch.column(c) for c in ("prefix", "suffix", "c"))], ["gram", "prefix", "suffix", "c"])
+def counted(texts: DataFrame, pairs) -> DataFrame:
+    return texts.mapInArrow(_counting(pairs, HELD), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def _grams(shared, order: int, bits: int, held: int):
+    """Counts the n-grams of ``order`` whose prefix and suffix may be kept: pieces of (prefix, suffix, count)."""
 
+    def found(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        levels = shared.value
+        rows, keys, _ = tokens(texts)
+        fine = levels[0].may_hold(keys)
+        for n in range(2, order + 1):
+            both = fine[:-1] & fine[1:] & (rows[:-1] == rows[1:])  # a place's n-gram ends in its row; it began there too if it is fine
+            if n == order:
+                break
+            keys, rows, fine = mixed(keys[:-1], keys[1:]), rows[1:], both
+            fine[both] = levels[n - 1].may_hold(keys[both])
+        return keys[:-1][both], keys[1:][both]
 
-def frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
-    """The rows with the highest ``c``, at most ``most``: those from a threshold that a histogram gives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _counting(found, held)(batches):
+            a, b, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "c"))
+            buckets, data = pieces(mixed(a.view(np.uint64), b.view(np.uint64)), (a, b, c.astype("<u4")), bits)
+            yield pa.RecordBatch.from_arrays([buckets, data], ["bucket", "data"])
+
+    return run
+
+
+def _summed(least: int):
+    """Pieces of counts to the n-grams with ``least`` or more: gram, prefix, suffix, c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data in by_bucket(batches):
+            a, b, c = opened(data, ("<u8", "<u8", "<u4"))
+            gram = mixed(a, b)
+            by = np.argsort(gram)
+            gram = gram[by]
+            starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            total = np.add.reduceat(c[by].astype(np.int64), starts)
+            kept = total >= least
+            at = by[starts[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[starts[kept]].view(np.int64), a[at].view(np.int64), b[at].view(np.int64), total[kept])], ["gram", "prefix", "suffix", "c"])
+
+    return run
+
+
+def frequent(counts: DataFrame, most: int, least: int) -> Column:
+    """Which rows have the highest ``c``, at most ``most`` of them: those from a threshold that a histogram gives."""
     step = F.floor(F.log2("c") * 16).cast("int")
     bins = counts.where(F.col("c") >= least).groupBy(step.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()  # 16 for each doubling
     kept, low = 0, None
@@ -180,110 +195,276 @@ def frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
         if kept + r.n > most:
             break
         kept, low = kept + r.n, r.bin
-    return counts.where((F.col("c") >= least) & (step >= low)) if low is not None else counts.limit(0)
+    return (F.col("c") >= least) & (step >= low) if low is not None else F.lit(False)
+
+
+@dataclass
+class Model:
+    """What scoring needs; ``table`` and ``counts`` may have any size, the rest is bounded and broadcast."""
+
+    order: int
+    total: int
+    kinds: int
+    counts: DataFrame  # a, b, c: the counts of all words
+    words: Lookup = field(repr=False)  # of the commonest words, by the first hash
+    word_values: tuple[np.ndarray, np.ndarray] = field(repr=False)  # their second hash and log10 probability
+    table: DataFrame | None = None  # gram, v: the weights of the n-grams and contexts that aren't hot; a gram can have two
+    hot: Lookup = field(default_factory=lambda: Lookup(np.zeros(0, np.uint64)), repr=False)
+    hot_values: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
+    bits: Filter | None = None
+    bucket_bits: int = 1
+
+
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    table = df.select(*names).toArrow()
+    return [table.column(n).to_numpy() for n in names]
 
 
-def train(docs: DataFrame, text_col: str = "text", *, order: int = 3, words: int = 200_000, state_words: int | None = None, hot: int = 200_000, least: int = 2, discount: float = 0.75) -> tuple[Model, DataFrame]:
-    """The model, and the exact counts of all tokens (token, c); n-grams of the ``state_words`` commonest alone where that is given."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = stored(texts.mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
+def train(docs: DataFrame, text_col: str = "text", *, order: int = 3, words: int = 400_000, hot: int = 4_000_000, least: int = 2, discount: float = 0.75) -> Model:
+    """The model of all texts.  Nulls and empty texts are an end alone; repeated rows count each; other columns are not read.
+
+    ``words`` and ``hot`` bound what is broadcast and change no result.
+    """
+    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
+    counts = stored(counted(texts, lambda t: tokens(t)[1:]), "token-counts")
     total, kinds = map(int, counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
-    kept = frequent(counts.where(F.octet_length("token") <= LONGEST), words, 1).toPandas()
-    kept = sorted(zip(map(bytes, kept["token"]), map(int, kept["c"])), key=lambda x: (-x[1], x[0]))
     low = total + 0.5 * (kinds + 1)
-    names = {t: i for i, (t, _) in enumerate(kept)}
-    hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t, _ in kept], dtype=np.uint64)
-    model = Model(names, np.append(np.log10((np.array([c for _, c in kept]) + 0.5) / low), 0.0), hashes, order, total, kinds)
+    a, b, c = _columns(counts.where(frequent(counts, words, 1)), "a", "b", "c")
+    by = np.argsort(a.view(np.uint64))
+    model = Model(order, total, kinds, counts, Lookup(a.view(np.uint64)[by]), (b.view(np.uint64)[by], np.log10((c[by] + 0.5) / low)))
     if order < 2:
-        return model, counts
-    before = counts.select(F.xxhash64("token").alias("gram"), "c", ((F.col("c") + 0.5) / low).alias("p"))
-    known = None if state_words is None else hashes[:state_words]
-    levels, weights = [filter_bits(before.where(F.col("c") >= least))], []
+        return model
+    before = counts.select(F.col("a").alias("gram"), "c", ((F.col("c") + 0.5) / low).alias("p"))
+    bits = model.bucket_bits = bucket_bits(total)
+    levels, weights, level = [Filter.of(before.where(F.col("c") >= least))], [], None
     for n in range(2, order + 1):
-        shared = docs.sparkSession.sparkContext.broadcast((names, hashes, known, levels))
-        table = texts.mapInArrow(_count_grams(shared, n), "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        grams = table.mapInArrow(_named, "gram long, prefix long, suffix long, c long")
-        lower = grams.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        seen = lower.join(before.select(F.col("gram").alias("prefix"), F.col("c").alias("seen")), "prefix")
-        level = stored(seen.select("gram", "prefix", "c", "lower", ((F.col("c") - discount) / F.col("seen")).alias("p")), "grams")
+        release(spark)
+        shared = spark.sparkContext.broadcast(levels)
+        every = dealt(texts.mapInArrow(_grams(shared, n, bits, HELD), "bucket int, data binary"))
+        kept = stored(every.mapInArrow(_summed(least), "gram long, prefix long, suffix long, c long"), "kept")
+        release(spark)
         shared.unpersist()
+        lower = kept.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        seen = lower.join(before.select(F.col("gram").alias("prefix"), F.col("c").alias("seen")), "prefix")
+        new = stored(seen.select("gram", "prefix", "c", "seen", "lower"), "grams")
+        for old in (kept, level):
+            discard(old)
+        level = new.withColumn("p", (F.col("c") - discount) / F.col("seen"))
+        release(spark)
         rest = lambda c: F.greatest(F.lit(1e-300), 1.0 - F.sum(c))
-        bow = stored(level.groupBy("prefix").agg(F.log10(rest("p") / rest("lower")).alias("bow"), F.sum("c").alias("c")), "backoff")
-        weights.append(level.join(bow.select("prefix", "bow"), "prefix").select("gram", (F.log10("p") - F.log10("lower") - F.col("bow")).alias("v"), "c"))
-        weights.append(bow.select(F.col("prefix").alias("gram"), F.col("bow").alias("v"), "c"))
-        before = level.select("gram", "c", "p")
+        bow = stored(level.groupBy("prefix").agg(F.log10(rest("p") / rest("lower")).alias("bow"), F.max("seen").alias("c")), "backoff")
+        arcs = level.join(bow.select("prefix", "bow"), "prefix").select("gram", (F.log10("p") - F.log10("lower") - F.col("bow")).alias("v"), "c")
+        weights += [stored(arcs, "arcs"), bow.select(F.col("prefix").alias("gram"), F.col("bow").alias("v"), "c")]
+        before, level = level.select("gram", "c", "p"), new
         if n < order:
-            levels = [*levels, filter_bits(before)]
+            levels = [*levels, Filter.of(before)]
+    discard(level)
     every = weights[0]
     for w in weights[1:]:
         every = every.unionByName(w)
-    model.table = stored(every.groupBy("gram").agg(F.sum("v").alias("v"), F.max("c").alias("c")), "weights")
-    model.bits = filter_bits(model.table)
-    top = frequent(model.table, hot, least).select("gram", "v").toPandas()
-    keys = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    model.hot = keys[by], top["v"].to_numpy(dtype=np.float64)[by]
-    return model, counts
+    release(spark)
+    model.bits = Filter.of(every)
+    common = frequent(every, hot, least)
+    keys, values = _columns(every.where(common), "gram", "v")  # both weights of a gram have its count, so both are here or none
+    model.table = every.where(~common)
+    keys, own = np.unique(keys.view(np.uint64), return_inverse=True)
+    model.hot, model.hot_values = Lookup(keys), np.bincount(own, weights=values, minlength=len(keys))
+    release(spark)
+    return model
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """id, the ``extra`` columns, n_tokens, n_known, train_tokens, base_score, score of each row.
+#: Kinds of rows on their way to the buckets: weights, questions, documents, and the answers that come back.
+WEIGHTS, QUESTIONS, DOCUMENTS, ANSWERS = range(4)
+#: Questions and documents that a scoring task holds before it passes them on; a question names its document by 16 bits.
+ASKED, GROUP = 1_000_000, 60_000
+#: Documents whose sums an answering task holds before it passes them on.
+SUMS = 2_000_000
 
-    A null or empty text is the end alone.  Repeated rows are scored each; ids may be null.
-    With nothing to learn from, every token counts as unseen.
-    """
-    extra = extra or {}
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.unigram, model.hashes, model.order, *model.hot, model.bits))
+
+def _offered(bits: int, columns: list[tuple[str, pa.DataType]], most: int):
+    """The table of weights as pieces, beside empty columns of documents; ``most`` weights are held, so that pieces are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, unigram, hashes, order, hot, value, bits), row = shared.value, TaskContext.get().partitionId() << 40
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            gram, v = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0))
+            held.clear()
+            return _sent(WEIGHTS, 0, *pieces(gram, (short(gram, bits), v), bits), columns)
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                rows, ids, keys, others = numbered(part.column("text").to_pylist(), words, hashes)
-                n, rest = part.num_rows, [Counter(o) for o in others]
+            held.append((batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("v").to_numpy(zero_copy_only=False).astype("<f8")))
+            if sum(len(g) for g, _ in held) >= most:
+                yield out()
+        yield out()
+
+    return run
+
+
+def _sent(kind: int, base: int, buckets: pa.Array, data: pa.Array, columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    n = len(buckets)
+    made = [*(pa.nulls(n, t) for _, t in columns), buckets, pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, base, np.int64)), data]
+    return pa.RecordBatch.from_arrays(made, [*(c for c, _ in columns), "bucket", "kind", "base", "data"])
+
+
+def _scoring(shared, columns: list[tuple[str, pa.DataType]]):
+    """Adds up what is known in place: a row a document, with the words (a, b) that a join has to add, and questions for weights."""
+
+    def lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))), pa.int32()), values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (order, words, (second, logs), hot, weights, filter_, bits), part = shared.value, TaskContext.get().partitionId()
+        row = base = part << 40
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def questions() -> pa.RecordBatch:
+            nonlocal asked, size
+            owner, grams = (np.concatenate(x) for x in zip(*asked)) if asked else (np.zeros(0, np.uint16), np.zeros(0, np.uint64))
+            asked, size = [], 0
+            return _sent(QUESTIONS, base, *pieces(grams, (short(grams, bits), owner), bits), columns)
+
+        for batch in batches:
+            for start, texts in blocks(batch.column("text"), GROUP // 2):
+                n = len(texts)
+                if size >= ASKED or row + n - base > GROUP:
+                    yield questions()
+                    base = row
+                rows, keys, other = tokens(texts)
                 sizes = np.bincount(rows, minlength=n)
-                known = np.bincount(rows, weights=ids >= 0, minlength=n).astype(np.int64)
-                base = np.bincount(rows, weights=unigram[ids], minlength=n)
-                more, cold = np.zeros(n), []
-                fine = np.ones(len(keys), bool)
-                for level in range(1, order + 1 if bits is not None else 1):
-                    if level > 1:
+                at = words.find(keys)
+                at[at >= 0] = np.where(second[at[at >= 0]] == other[at >= 0], at[at >= 0], -1)
+                here, rest = at >= 0, np.flatnonzero(at < 0)
+                known = np.bincount(rows[here], minlength=n)
+                sure = np.bincount(rows[here], weights=logs[at[here]], minlength=n)
+                unknown = lists(rows[rest], n, pa.StructArray.from_arrays([pa.array(x[rest].view(np.int64)) for x in (keys, other)], ["a", "b"]))
+                more, fine = np.zeros(n), np.ones(len(keys), bool)
+                for level in range(1, order + 1 if filter_ is not None else 1):
+                    if level > 1:  # a kept n-gram's prefix and suffix are kept, so places without them need no look
                         fine = fine[:-1] & fine[1:] & (rows[:-1] == rows[1:])
                         keys, rows = mixed(keys[:-1], keys[1:]), rows[1:]
-                    at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
-                    hit = fine & (hot[at] == keys) if len(hot) else np.zeros(len(keys), bool)
-                    more += np.bincount(rows[hit], weights=value[at[hit]], minlength=n)
-                    left = np.flatnonzero(fine & ~hit)
-                    left = left[may_hold(bits, keys[left])]
-                    cold.append((rows[left], keys[left]))
-                at, grams = (np.concatenate(c) for c in zip(*cold)) if cold else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n)))), pa.int32()), pa.array(grams[np.argsort(at, kind="stable")].view(np.int64)))
-                ends = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array([t for c in rest for t in c], pa.binary()), pa.array([n for c in rest for n in c.values()], pa.int64())], ["token", "tf"]
-                )
-                columns = [
-                    pa.array(range(row, row + n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base), pa.array(base + more), pa.ListArray.from_arrays(ends, pairs), grams,
+                    left = np.flatnonzero(fine)
+                    left = left[filter_.may_hold(keys[left])]
+                    at = hot.find(keys[left])
+                    hit, cold = left[at >= 0], left[at < 0]
+                    more += np.bincount(rows[hit], weights=weights[at[at >= 0]], minlength=n)
+                    asked.append(((rows[cold] + (row - base)).astype(np.uint16), keys[cold]))
+                    size += len(cold)
+                    if level > 1:
+                        fine[:] = False
+                        fine[left] = True
+                made = [
+                    pa.array(range(row, row + n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sure, pa.float64()), pa.array(sure + more, pa.float64()), unknown,
+                    pa.array(np.full(n, -1 - part % 4096), pa.int32()), pa.array(np.full(n, DOCUMENTS, np.int8)), pa.array(np.full(n, base), pa.int64()), pa.nulls(n, pa.binary()),
                 ]
                 row += n
-                keep = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + columns, [*keep, "__row", "n_tokens", "__in", "__base", "__score", "__rest", "__grams"])
-
-    given = docs.select(F.col(id_col).alias("__id"), *[c.alias(n) for n, c in extra.items()], F.col(text_col).alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "text")
-    part = stored(given.mapInArrow(run, f"{kinds}, __row long, n_tokens long, __in long, __base double, __score double, __rest array<struct<token: binary, tf: long>>, __grams array<long>"), "traversed")
-    rest = part.select("__row", F.inline("__rest")).join(counts, "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    log = F.log10((c + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))
-    sums = rest.groupBy("__row").agg(F.sum(F.col("tf") * log).alias("__more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("__known"))
-    more = F.coalesce("__more", F.lit(0.0))
-    joined = part.drop("__rest", "__grams").join(sums, "__row", "left").withColumn("__cold", F.lit(0.0))
+                own = batch.slice(start, n)
+                given = [c for c in own.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in given] + made, [*(c for c, _ in columns), "bucket", "kind", "base", "data"])
+        yield questions()
+
+    return run
+
+
+def _answering(columns: list[tuple[str, pa.DataType]], most: int):
+    """Documents as they are; of each bucket the weights first, then the questions: sums of weights by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, offered, keys, values = None, [], np.zeros(0, np.uint64), np.zeros(0)
+        sums: dict[int, np.ndarray] = {}
+        held = 0
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            for base, total in sums.items():
+                at = np.flatnonzero(total)
+                for a in range(0, len(at), PIECE):
+                    part = at[a : a + PIECE]
+                    yield _sent(ANSWERS, base, pa.nulls(1, pa.int32()), pa.array([part.astype("<u2").tobytes() + total[part].astype("<f8").tobytes()], pa.binary()), columns)
+            sums.clear()
+
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+            if (kinds == DOCUMENTS).any():
+                yield batch.filter(pa.array(kinds == DOCUMENTS))
+            for i in np.flatnonzero(kinds != DOCUMENTS).tolist():
+                bucket, data = batch.column("bucket")[i].as_py(), batch.column("data")[i].as_py()
+                if bucket != now:
+                    now, offered, keys = bucket, [], np.zeros(0, np.uint64)
+                if kinds[i] == WEIGHTS:
+                    offered.append(data)
+                    continue
+                if offered:
+                    keys, v = opened(offered, (SHORT, "<f8"))
+                    keys, own = np.unique(whole(keys), return_inverse=True)
+                    values, offered = np.bincount(own, weights=v, minlength=len(keys)), []
+                grams, owner = opened([data], (SHORT, "<u2"))
+                grams = whole(grams)
+                at = np.searchsorted(keys, grams)
+                hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == grams) if len(keys) else at[:0]
+                if not len(hit):
+                    continue
+                base = batch.column("base")[i].as_py()
+                if base not in sums:
+                    if held >= most:
+                        yield from answers()
+                        held = 0
+                    sums[base] = np.zeros(1 << 10)
+                top = int(owner[hit].max()) + 1
+                if top > len(sums[base]):
+                    sums[base] = np.append(sums[base], np.zeros(max(top - len(sums[base]), len(sums[base]))))
+                held += top
+                sums[base][:top] += np.bincount(owner[hit], weights=values[at[hit]], minlength=top)
+        yield from answers()
+
+    return run
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of one group of documents after the other to a row a document."""
+    for base, data in by_bucket(batches):
+        owner, v = np.zeros(0, np.int64), np.zeros(0)
+        for piece in data:
+            one, two = opened([piece], ("<u2", "<f8"))
+            owner, v = np.append(owner, one), np.append(v, two)
+            if len(owner) > 1 << 20:
+                v = np.bincount(owner, weights=v)
+                owner = np.arange(len(v))
+        total = np.bincount(owner, weights=v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(base, base + len(total)), pa.int64()), pa.array(total, pa.float64())], ["__row", "__cold"])
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """id, the ``extra`` columns, n_tokens, n_known, train_tokens, base_score, score of each row.
+
+    A null or empty text is the end alone.  Repeated rows are scored each; ids may be null.
+    With nothing to learn from, every token counts as unseen; an empty table gives no rows.
+    An ``extra`` column can't have the name of another output column: that raises.
+    """
+    extra = extra or {}
+    names = [id_col, *extra, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if len(set(names)) < len(names):
+        raise ValueError(f"output columns clash: {names}")
+    shared = docs.sparkSession.sparkContext.broadcast((model.order, model.words, model.word_values, model.hot, model.hot_values, model.bits, model.bucket_bits))
+    given = docs.select(F.col(id_col).alias("__id"), *[c.alias(f"__x{i}") for i, c in enumerate(extra.values())], F.col(text_col).alias("text"))
+    made = "__row long, __tokens long, __in long, __base double, __score double, __rest array<struct<a: bigint, b: bigint>>"
+    schema = StructType([f for f in given.schema if f.name != "text"] + _parse_datatype_string(made).fields)
+    columns = list(zip(schema.names, [f.type for f in to_arrow_schema(schema)]))
+    sent = StructType([*schema, *_parse_datatype_string("bucket int, kind byte, base long, data binary").fields])
+    asked = given.mapInArrow(_scoring(shared, columns), sent)
     if model.table is not None:
-        cold = part.select("__row", F.explode("__grams").alias("gram")).join(model.table.select("gram", "v"), "gram").groupBy("__row").agg(F.sum("v").alias("__v"))
-        joined = joined.join(cold, "__row", "left").withColumn("__cold", F.coalesce("__v", F.lit(0.0)))
+        offered = model.table.select("gram", "v").mapInArrow(_offered(model.bucket_bits, columns, ASKED), sent)
+        asked = dealt(offered.unionByName(asked), "kind").mapInArrow(_answering(columns, SUMS), sent)
+    both = stored(asked, "answered")
+    release(docs.sparkSession)
+    part = both.where(F.col("kind") == DOCUMENTS)
+    answers = dealt(both.where(F.col("kind") == ANSWERS).select(F.col("base").alias("bucket"), "data")).mapInArrow(_collected, "__row long, __cold double")
+    rest = part.select("__row", F.inline("__rest")).join(model.counts, ["a", "b"], "left")
+    log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))
+    sums = rest.groupBy("__row").agg(F.sum(log).alias("__more"), F.count("c").alias("__known"))
+    joined = part.drop("__rest", "data").join(sums, "__row", "left").join(answers, "__row", "left")
+    more, cold = F.coalesce("__more", F.lit(0.0)), F.coalesce("__cold", F.lit(0.0))
     return joined.select(
-        F.col("__id").alias(id_col), *extra, "n_tokens", (F.col("__in") + F.coalesce("__known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + more).alias("base_score"), (F.col("__score") + F.col("__cold") + more).alias("score"),
+        F.col("__id").alias(id_col), *[F.col(f"__x{i}").alias(n) for i, n in enumerate(extra)], F.col("__tokens").alias("n_tokens"), (F.col("__in") + F.coalesce("__known", F.lit(0))).alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + more).alias("base_score"), (F.col("__score") + cold + more).alias("score"),
     )

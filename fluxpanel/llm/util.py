@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -52,10 +53,13 @@ def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more.
 
     It does so once the driver's JVM has collected their owners; where lineage has been cut
-    by ``stored``, waiting for that would keep the disks full.
+    by ``stored``, waiting for that would keep the disks full.  Python's own references end a
+    moment after they are collected, so the JVM is asked twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(df: DataFrame | None) -> None:

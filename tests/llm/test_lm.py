@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fluxpanel.llm import lm
+from fluxpanel.llm import words as words_
 
 
 def corpus(n=120, seed=1):
@@ -31,17 +33,14 @@ def split(text):
 class Brute:
     """The same backoff model straight from its definition, without states."""
 
-    def __init__(self, texts, order, words, state_words, discount=0.75):
+    def __init__(self, texts, order, discount=0.75):
         self.order, self.c = order, Counter(t for x in texts for t in split(x))
         self.total, self.kinds = sum(self.c.values()), len(self.c)
-        known = set(sorted(self.c, key=lambda t: (-self.c[t], t))[:state_words])
         grams = Counter()
         for x in texts:
             found = split(x)
             for n in range(2, order + 1):
-                for i in range(len(found) - n + 1):
-                    if all(t in known for t in found[i : i + n]):
-                        grams[tuple(found[i : i + n])] += 1
+                grams.update(tuple(found[i : i + n]) for i in range(len(found) - n + 1))
         self.grams = {g: c for g, c in grams.items() if c >= 2}
         self.discount = discount
         self.next = {}
@@ -71,18 +70,23 @@ class Brute:
         return sum(math.log10(self.p((), w)) for w in split(text))
 
 
-@pytest.mark.parametrize("words,state_words,order,held", [(200_000, 20_000, 3, 400_000), (20, 15, 3, 50), (200_000, 20_000, 1, 400_000), (200_000, 20_000, 4, 400_000)])
-def test_equals_brute_force(spark, monkeypatch, words, state_words, order, held):
+ODD = [(500, None), (501, ""), (502, "  W1\tw4 NEW é"), (503, "w1 " * 30_000), (None, "w1 w4"), (502, "  W1\tw4 NEW é"), (504, "z" * 5000 + " " + "Z" * 256 + " w1"), (505, "\x0b\x1c x\x85y\u2003z\r\n")]
+
+
+@pytest.mark.parametrize("words,order,held,slice_", [(200_000, 3, 2_000_000, 1 << 20), (20, 3, 50, 100), (200_000, 1, 2_000_000, 1 << 20), (0, 4, 2_000_000, 5000)])
+def test_equals_brute_force(spark, monkeypatch, words, order, held, slice_):
     monkeypatch.setattr(lm, "HELD", held)
-    rows = corpus() + [(500, None), (501, ""), (502, "  W1\tw4 NEW é"), (503, "w1 " * 30_000), (None, "w1 w4"), (502, "  W1\tw4 NEW é"), (504, "z" * 5000)]
+    monkeypatch.setattr(words_, "SLICE", slice_)
+    for name in ("ASKED", "GROUP", "SUMS"):
+        monkeypatch.setattr(lm, name, min(getattr(lm, name), held))
+    rows = corpus() + ODD
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
-    # a frequency threshold may cut the dictionary below its bound, so take what it took
-    model, counts = lm.train(df.where("doc_id < 100"), order=order, words=words, state_words=state_words)
-    texts = [t for i, t in rows if i is not None and i < 100]
-    brute = Brute(texts, order, words, min(state_words, len(model.words)))
-    assert {bytes(r.token).decode(): r.c for r in counts.collect()} == dict(brute.c)
-    assert len(model.words) <= words
-    out = lm.score(df, model, counts, extra={"odd": df.doc_id % 2 == 1})
+    model = lm.train(df.where("doc_id < 100 or doc_id >= 504"), order=order, words=words)
+    texts = [t for i, t in rows if i is not None and (i < 100 or i >= 504)]
+    brute = Brute(texts, order)
+    assert sorted(r.c for r in model.counts.collect()) == sorted(brute.c.values())
+    assert len(model.words.keys) <= words
+    out = lm.score(df, model, extra={"odd": df.doc_id % 2 == 1})
     assert out.columns == ["doc_id", "odd", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     got = out.collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
@@ -97,7 +101,7 @@ def test_equals_brute_force(spark, monkeypatch, words, state_words, order, held)
 
 
 def test_each_context_adds_up_to_one():
-    brute = Brute([t for _, t in corpus()], 3, 10**6, 10**6)
+    brute = Brute([t for _, t in corpus()], 3)
     names = sorted(brute.c)
     for h in list(brute.next)[::7]:
         assert sum(brute.p(h, w) for w in names) + brute.p(h, "never seen") == pytest.approx(1)
@@ -105,19 +109,46 @@ def test_each_context_adds_up_to_one():
 
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    model, counts = lm.train(df.limit(0))
-    got = {r.doc_id: r for r in lm.score(df, model, counts).collect()}
+    model = lm.train(df.limit(0))
+    got = {r.doc_id: r for r in lm.score(df, model).collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0
     assert got[1].score == pytest.approx(0.0) and got[2].n_tokens == 1
-    assert lm.score(df.limit(0), model, counts).count() == 0
+    assert lm.score(df.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize("hot,bits", [(0, 27), (50, 10), (300_000, 27)])
-def test_all_words_have_their_ngrams(spark, monkeypatch, hot, bits):
-    monkeypatch.setattr(lm, "BITS", bits)
+@pytest.mark.parametrize("hot,block,most", [(0, 20, 28), (50, 4, 10), (300_000, 20, 28)])
+def test_all_words_have_their_ngrams(spark, monkeypatch, hot, block, most):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "MOST_BITS", most)
     rows = corpus() + [(200, "seldom heard phrase"), (201, "seldom heard phrase " + "y" * 80), (202, "seldom heard phrase")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model, counts = lm.train(df, words=20, hot=hot)  # a dictionary of twenty words bounds no n-gram
-    brute = Brute([t for _, t in rows], 3, 10**6, 10**6)
-    got = {r.doc_id: r.score for r in lm.score(df, model, counts).collect()}
+    model = lm.train(df, words=20, hot=hot)  # a dictionary of twenty words bounds no n-gram
+    brute = Brute([t for _, t in rows], 3)
+    got = {r.doc_id: r.score for r in lm.score(df, model).collect()}
     assert got == pytest.approx({i: brute.score(t) for i, t in rows}, rel=1e-9)
+
+
+def test_words_and_hashes():
+    texts = [t or "" for _, t in ODD]
+    rows, a, b = words_.tokens([t.encode() for t in texts])
+    want = [(i, w) for i, t in enumerate(texts) for w in split(t)]
+    assert rows.tolist() == [i for i, _ in want]
+    keys = {}
+    for (_, w), x, y in zip(want, a.tolist(), b.tolist(), strict=True):
+        assert keys.setdefault(w, (x, y)) == (x, y)
+    assert len({x for x, _ in keys.values()}) == len({y for _, y in keys.values()}) == len(keys)
+    assert len(words_.tokens([])[0]) == 0
+
+
+def test_lookup_and_filter():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    for n in (0, 1, 2, len(keys)):
+        found = lm.Lookup(keys[:n]).find(keys)
+        assert found[:n].tolist() == list(range(n)) and (found[n:] == -1).all()
+
+
+def test_output_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        lm.score(df, lm.train(df), extra={"n_tokens": df.doc_id})
