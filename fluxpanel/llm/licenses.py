@@ -74,6 +74,18 @@ def _prepared(notices: tuple[tuple[str, str], ...]):
     return by_seed, patterns
 
 
+def matches(pattern: regex.Pattern, text: str, start: int, end: int) -> list[regex.Match]:
+    """The best match between two places, and then those on either side of it."""
+    out, open_ = [], [(start, end)]
+    while open_:
+        a, b = open_.pop()
+        m = pattern.search(text, a, b) if a < b else None
+        if m and m.end() > m.start():
+            out.append(m)
+            open_ += [(a, m.start()), (m.end(), b)]
+    return out
+
+
 def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[str, int, int, int, float]]:
     """Matches as (label, first word, last word, edits, similarity), in order of place."""
     by_seed, patterns = _prepared(notices)
@@ -99,7 +111,7 @@ def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...] = NOTICES) -> list
             else:
                 merged.append([a, b])
         for a, b in merged:
-            for m in patterns[i][1].finditer(text, a, min(b, len(text))):
+            for m in matches(patterns[i][1], text, a, min(b, len(text))):
                 edits = sum(m.fuzzy_counts)
                 found.append((edits / len(notice), -(m.end() - m.start()), m.start(), m.end(), label, edits))
     kept: list[tuple] = []
@@ -130,8 +142,9 @@ def scan_text(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES)
 def scan(docs: DataFrame, text_col: str = "text", *, notices: tuple[tuple[str, str], ...] = NOTICES, out: str = "licence") -> DataFrame:
     """``docs`` with a column of n_words, exact places and labels, and fuzzy matches; no shuffle.
 
-    A null or empty text has no words, no labels and null places.  A column of ``docs``
-    with the output's name is replaced; repeated rows stay.
+    A null or empty text has no words, no labels and null places; a text of any length is
+    searched whole.  A column of ``docs`` with the output's name is replaced; repeated rows
+    stay; an empty table gives no rows.
     """
 
     @F.pandas_udf(RESULT)
