@@ -33,9 +33,14 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _HEX_RUN, _B64_RUN = b"h" * 24, b"b" * 40
 _AS_HEX = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 _AS_B64 = bytes(98 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 46 for c in range(256))
-_B64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: A run of base64, which may go on over lines.
+_B64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*")
 _HEX_ANY = re.compile(rb"[0-9A-Fa-f]{64,}")
-_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: Three parts, of which the first, a JSON object, begins with a brace and a quote or white space somewhere.
+_JWT = re.compile(rb"([A-Za-z0-9_-]{12,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{2,}")
+_JWT_HEAD = re.compile(rb"e[wy]")
+_KEY_HEAD = re.compile(rb"M|b3BlbnNzaC1rZXktdjEA")
+_NOT_B64 = re.compile(rb"\s+")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _DEPTH = 12
 
@@ -97,11 +102,15 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) > 2 and tags[1] == 0x30 and tags[2] == 0x04 and bool(inner[1][1]) and inner[1][1][0][0] == 0x06 and len(inner[2][1]) >= 16
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The magic, three length-prefixed fields, a count of keys and one length-prefixed field for each."""
+def ssh_length(data: bytes) -> int:
+    """Bytes of the OpenSSH key that ``data`` begins with, or 0.
+
+    The magic, three length-prefixed fields, a count of keys, and that many public keys and one
+    private part, each with its length.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
 
     def field() -> bool:
@@ -113,10 +122,64 @@ def is_ssh_key(data: bytes) -> bool:
         return at <= len(data)
 
     if not (field() and field() and field()) or at + 4 > len(data):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(field() for _ in range(keys))
+    return at if 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_length(data) == len(data) > 0
+
+
+def der_length(head: bytes) -> int:
+    """Bytes of the DER sequence that begins with ``head`` (six bytes), by its own header; 0 if it isn't one."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    n = head[1]
+    if n < 0x80:
+        return 2 + n
+    k = n & 0x7F
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def keys_in_base64(run: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the keys whose base64 stands anywhere in ``run``, also behind a prefix or before more text."""
+    out, at = [], 0
+    while m := _KEY_HEAD.search(run, at):
+        at, end = m.start(), 0
+        if m[0] == b"M":
+            size = der_length(decoded(run[at : at + 8]) or b"")
+            chars = -(-size * 4 // 3)
+            if size >= 24 and at + chars <= len(run) and is_der_key((decoded(run[at : at + chars]) or b"")[:size]):
+                end, kind = at + chars, "der"
+        else:
+            rest = run[at:]
+            size = ssh_length(decoded(rest[: len(rest) - (len(rest) % 4 == 1)]) or b"")
+            if size:
+                end, kind = at + -(-size * 4 // 3), "ssh"
+        if end:
+            out.append((at, end, kind))
+        at = end or at + 1
+    return out
+
+
+def keys_in_hex(run: bytes) -> list[tuple[int, int, str]]:
+    """The same for hexadecimal digits."""
+    out, at = [], 0
+    low = run.lower()
+    while True:
+        found = [i for i in (low.find(b"30", at), low.find(b"6f70656e737368", at)) if i >= 0]
+        if not found:
+            return out
+        at = min(found)
+        data = binascii.unhexlify(run[at : at + (len(run) - at) // 2 * 2])
+        size = der_length(data[:6])
+        kind = "der" if 24 <= size <= len(data) and is_der_key(data[:size]) else "ssh"
+        size = size if kind == "der" else ssh_length(data)
+        if size:
+            out.append((at, at + 2 * size, kind))
+        at += max(1, 2 * size)
 
 
 def is_signed_token(token: bytes) -> bool:
@@ -150,19 +213,33 @@ def byte_spans(raw: bytes) -> list[tuple[int, int, int]]:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(raw) if m.end() - m.start() >= LEAST["access"]]
     if _HEX_RUN in raw.translate(_AS_HEX):
         out += [(m.start(), m.end(), 2) for m in HEX.finditer(raw)]
+    blocks = []
     if b"PRIVATE KEY-----" in raw:
-        for m in _PEM.finditer(raw):
-            if key_kind(decoded(b"".join(m[2].split()))):
-                out.append((m.start(), m.end(), KINDS.index("pem")))
+        blocks = [m.span() for m in _PEM.finditer(raw) if key_kind(decoded(b"".join(m[2].split())))]
+        out += [(a, b, KINDS.index("pem")) for a, b in blocks]
     if _B64_RUN in raw.translate(_AS_B64):
+        found = []
         for m in _B64.finditer(raw):
-            if kind := key_kind(decoded(m[0])):
-                out.append((m.start(), m.end(), KINDS.index(kind)))
+            run = m[0]
+            places = None
+            if _NOT_B64.search(run):  # over lines: where each letter stands
+                places = [i for i, c in enumerate(run) if c not in b" \t\r\n"]
+                run = bytes(run[i] for i in places)
+            for a, b, kind in keys_in_base64(run):
+                start, end = (a, b) if places is None else (places[a], places[b - 1] + 1)
+                end += m.start()
+                while end < len(raw) and raw[end] == 61 and (end - m.end() < 2):
+                    end += 1
+                found.append((m.start() + start, end, KINDS.index(kind)))
         for m in _HEX_ANY.finditer(raw):
-            if len(m[0]) % 2 == 0 and (kind := key_kind(binascii.unhexlify(m[0]))):
-                out.append((m.start(), m.end(), KINDS.index(kind)))
-    if b"eyJ" in raw:
-        out += [(m.start(), m.end(), KINDS.index("jwt")) for m in _JWT.finditer(raw) if is_signed_token(m[0])]
+            found += [(m.start() + a, m.start() + b, KINDS.index(kind)) for a, b, kind in keys_in_hex(m[0])]
+        out += [s for s in found if not any(a <= s[0] and s[1] <= b for a, b in blocks)]
+    if b"ey" in raw or b"ew" in raw:
+        for m in _JWT.finditer(raw):
+            for head in _JWT_HEAD.finditer(m[1]):
+                if is_signed_token(raw[m.start() + head.start() : m.end()]):
+                    out.append((m.start() + head.start(), m.end(), KINDS.index("jwt")))
+                    break
     return sorted(set(out), key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -188,8 +265,8 @@ def written(found: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` with the spans of each whole text as an array of (kind, start, end); no shuffle.
 
-    A null or empty text has none.  A column of ``docs`` with the output's name is
-    replaced; repeated rows stay.
+    A null or empty text has none, a text of any length is scanned whole.  A column of ``docs``
+    with the output's name is replaced; repeated rows stay; an empty table gives no rows.
     """
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
