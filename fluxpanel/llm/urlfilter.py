@@ -134,10 +134,11 @@ def judge(pages: DataFrame, entries: DataFrame, url_col: str = "url", *, max_byt
 
     ``entries`` has host, path, verdict (allow or block) and listed.  An entry fits its host
     and all subdomains where the url's path starts with the entry's path, which is empty or
-    starts with a slash; the longest entry that isn't ``listed`` wins (of entries given twice,
-    a block).  Where none fits, the verdict is block if any listed block entry fits, else
+    starts with a slash; the longest entry that isn't ``listed`` wins (of equally long ones that
+    with the longer host, of entries given twice a block).  Where none fits, the verdict is block if any listed block entry fits, else
     allow.  A null url or one without ``://`` has an empty host and path and is allowed.
-    Columns of ``pages`` with the output names are replaced; repeated rows stay.
+    Columns of ``pages`` with the output names are replaced; repeated rows stay; urls of any
+    length are judged whole; an empty table gives no rows.
     """
     made = ("host", "path", "rule", "verdict")
     rest = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made], F.col(url_col).alias("__url"))
@@ -178,7 +179,7 @@ def _by_join(rest: DataFrame, entries: DataFrame) -> DataFrame:
     best = (
         wanted.join(entries.withColumn("digest", F.xxhash64(F.concat("host", "path"))), ["digest", "host", "path"])
         .withColumn("key", F.concat("host", "path")).groupBy("__host", "__path").agg(
-            F.max_by(F.when(~F.col("listed"), F.struct("key", "verdict")), F.when(~F.col("listed"), F.length("key"))).alias("best"),
+            F.max_by(F.when(~F.col("listed"), F.struct("key", "verdict")), F.when(~F.col("listed"), F.struct(F.length("key"), F.length("host")))).alias("best"),
             F.max(F.col("listed") & (F.col("verdict") == "block")).alias("blocked"),
         )
     )
