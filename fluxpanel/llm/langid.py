@@ -72,15 +72,17 @@ def _count(orders: tuple[int, ...], text_col: str, lang_col: str):
 
 
 def sample(rows: DataFrame, id_col: str, lang_col: str, max_docs: int, max_languages: int) -> DataFrame:
-    """At most ``max_docs`` rows of each of the ``max_languages`` commonest languages.
+    """At most ``max_docs`` rows of each language; more than ``max_languages`` labels are an error.
 
     The rows with the smallest hashes of the id are taken.  Only ids and labels are
     ranked (Spark limits each group before the shuffle); texts are read for the chosen.
     """
     named = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    common = named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
+    common = named.groupBy(lang_col).count().limit(max_languages + 1).collect()
     if not common:
         return named.limit(0)
+    if len(common) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     # Hashes are even, so about four times the rows wanted are ranked, however many there are.
     reach = F.create_map(*[F.lit(x) for r in common for x in (r[0], min(1.0, 4.0 * max_docs / r[1]))])
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
@@ -100,7 +102,9 @@ def fit(
 ) -> LanguageModel:
     """Learn from rows with a text and a label; null texts and null labels are left out.
 
-    A table without such rows gives a model without languages, which predicts ``und``.
+    A table without such rows gives a model without languages, which predicts ``und``.  Rows
+    repeated with one id are taken or left together; of equally common words and n-grams the
+    first in order are kept.  Other columns are not read.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     part = sample(rows.where(F.col("text").isNotNull()), "id", "lang", max_docs, max_languages)
@@ -182,7 +186,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     """``docs`` with the predicted language and its posterior share (0 to 1).
 
     Null texts and texts without a letter give ``und`` and 0.  Columns of ``docs`` with
-    the output names are replaced.  No shuffle: one pass over the texts.
+    the output names are replaced.  Repeated rows are judged each; an empty table gives no
+    rows.  Of equally likely languages the first in order is named.  No shuffle: one pass over
+    the texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = id(shared)
