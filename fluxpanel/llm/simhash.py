@@ -277,7 +277,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts have fingerprint zero and are linked like any other.  A row with
     a null id has the component of its fingerprint, or null where no row of that
-    fingerprint has an id.  Ids are whole numbers; rows repeated with one id are kept.
+    fingerprint has an id.  Ids are whole numbers; rows repeated with one id are kept.  An
+    empty table gives no rows.  Other columns are not read, whatever their names; texts of any
+    length are read whole.  Of equal texts the smallest id stands for all.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
@@ -395,7 +397,9 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents is looked at in parts, then the first documents of what was linked in the parts;
     at last the documents outside of its largest group are compared with every part, so that
     the parts don't change the groups.  Texts without a word are copies of each other.
-    Documents with a null id are not looked at; rows repeated with one id stay or go together.
+    Documents with a null id are not looked at; rows repeated with one id stay or go together
+    (they are linked by any of their texts).  An empty table gives no rows.  Other columns are
+    not read, whatever their names.
     """
     if bands:
         named = band_groups(docs, id_col, text_col, shingle=shingle, bands=bands)

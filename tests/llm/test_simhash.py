@@ -219,3 +219,12 @@ def test_pipeline_names_candidates_by_bands(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "drop_near_copies", lambda docs, **how: how)
     assert corpus_pipeline.drop_near_copies(spark, None, "")["bands"] == 32
+
+
+def test_rows_repeated_with_one_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = base.replace("w30 ", "edited ")
+    rows = [(1, base), (1, base), (2, other), (3, "some words of its own here"), (4, "x y z"), (4, base.replace("w9 ", "q "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for part in (1000, 2, 1):
+        assert sorted(r.doc_id for r in simhash.drop_near_copies(df, bands=32, part=part).collect()) == [1, 1, 3], part
