@@ -48,7 +48,7 @@ class Lookup:
     """Sorted 64-bit hashes; their first bits say where to look."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, wide = keys, max(1, len(keys).bit_length())
+        self.keys, wide = keys, max(1, len(keys).bit_length() - 2)  # some two to four keys for each number of first bits
         self.shift = _U(64 - wide)
         self.first = np.append(np.searchsorted(keys, np.arange(1 << wide, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
 
