@@ -218,11 +218,11 @@ def share_rate(daily: DataFrame, rate: str, windows: DataFrame, day: str = "repo
     return back.groupBy("id").agg(F.greatest(q[0], F.least(q[1], m)).alias("rate"))
 
 
-def balance_recursion(flows: DataFrame, opening: Column, rate: Column, by: Sequence[str] = ("id",), day: str = "target_date") -> DataFrame:
+def balance_recursion(flows: DataFrame, opening: Column, rate: Column, by: Sequence[str] = ("id",), day: str = "target_date", overdrawn: bool = False) -> DataFrame:
     """Day by day: share = opening * rate / 10000; next opening = opening + direct + share - transfer - consume.
 
     The days of a window (a bounded array) are folded in one expression; a negative balance
-    is an error.
+    is an error, or with ``overdrawn`` goes on by the same rule.
     """
     days = flows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(day, "direct", "transfer", "consume"))).alias("days"), F.first(opening).alias("opening"), F.first(rate).alias("rate"))
     kind = f"array<struct<{day}:date,opening:double,share:double,closing:double>>"
@@ -231,7 +231,7 @@ def balance_recursion(flows: DataFrame, opening: Column, rate: Column, by: Seque
         start = F.when(F.size(acc) > 0, F.element_at(acc, -1)["closing"]).otherwise(F.col("opening").cast("double"))
         share = start * F.col("rate") / RATES
         end = start + x["direct"] + share - x["transfer"] - x["consume"]
-        checked = F.when(end < 0, F.raise_error(F.lit("negative balance")).cast("double")).otherwise(end)
+        checked = end if overdrawn else F.when(end < 0, F.raise_error(F.lit("negative balance")).cast("double")).otherwise(end)
         return F.concat(acc, F.array(F.struct(x[day].alias(day), start.alias("opening"), share.alias("share"), checked.alias("closing"))))
 
     folded = days.withColumn("run", F.aggregate("days", F.array().cast(kind), step))

@@ -51,3 +51,16 @@ def test_entry_and_names():
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_balances_go_below_zero_as_in_sql(spark, tmp_path):
+    name = "balance_recursion"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (o_totalprice * 10000 AS o_totalprice) FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    got, want = df.collect(), found.fetchall()
+    assert min(r[columns.index("closing")] for r in want) < 0
+    assert rows(sorted(columns), df.columns, got) == rows(sorted(columns), columns, want)
