@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 from statistics import median
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quantiles import group_quantiles
@@ -22,6 +24,8 @@ INPUTS = (
     "log_end_balance_life", "log_direct_90", "log_consume_90", "log_transfer_90", "active_recency_90", "active_days_per_30", "roundtrip_90", "net_flow_share_90",
     "consume_share_90", "transfer_share_90", "bank_share_90", "positive_balance_ratio",
 )
+#: Fits and metrics that run at once: each is a chain of short jobs, which alone leaves most cores idle.
+AT_ONCE = 8
 
 
 def eligible(users: DataFrame) -> DataFrame:
@@ -68,6 +72,25 @@ def separation(points: DataFrame, features: str = "features", label: str = "pred
     return ch.crossJoin(db)
 
 
+def _at_once(spark: SparkSession, f: Callable, items: Sequence) -> list:
+    """``f`` of each item, in order."""
+    with ThreadPool(max(1, min(AT_ONCE, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(f), items, chunksize=1)
+
+
+def _metrics(points: DataFrame, fits: Sequence, labels: DataFrame) -> tuple[float, float, float, float]:
+    """Calinski-Harabasz, Davies-Bouldin, stability of ``fits`` and the smallest cluster's share of ``labels``."""
+    sep = separation(labels).first()
+    k = fits[0].getK()
+    shares = labels.groupBy("prediction").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
+    runs = points
+    for i, m in enumerate(fits):
+        runs = m.copy().setPredictionCol(f"run_{i}").transform(runs)
+    pairs = [F.struct(F.lit(f"{i}-{j}").alias("pair"), F.col(f"run_{i}").alias("a"), F.col(f"run_{j}").alias("b")) for i, j in combinations(range(len(fits)), 2)]
+    rand = [r.adjusted_rand for r in adjusted_rand(runs.select(F.inline(F.array(*pairs))), "a", "b", ["pair"]).collect()] if pairs else []
+    return sep.calinski_harabasz, sep.davies_bouldin, median(rand) if rand else 1.0, shares.least / shares.n if shares.k == k else 0.0
+
+
 def fit_grid(scaled: DataFrame, columns: Sequence[str] = INPUTS, ks: Sequence[int] = range(3, 9), seeds: Sequence[int] = range(5), key: str = "user_id"):
     """For each k the restart of least cost, its metrics and stability; and the labels of the chosen k.
 
@@ -75,22 +98,17 @@ def fit_grid(scaled: DataFrame, columns: Sequence[str] = INPUTS, ks: Sequence[in
     smallest sum of ranks wins (Calinski-Harabasz high, Davies-Bouldin low, stability and
     the smallest cluster's share high), ties to the smaller k.
     """
-    points = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select(key, "features").cache()
-    rows, labels = [], {}
-    for k in ks:
-        fits = [KMeans(k=k, seed=s, maxIter=100, tol=1e-7).fit(points) for s in seeds]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        labels[k] = best.transform(points).select(key, "features", "prediction")
-        sep = separation(labels[k]).first()
-        shares = labels[k].groupBy("prediction").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
-        runs = points
-        for i, m in enumerate(fits):
-            runs = m.copy().setPredictionCol(f"run_{i}").transform(runs)
-        pairs = [F.struct(F.lit(f"{i}-{j}").alias("pair"), F.col(f"run_{i}").alias("a"), F.col(f"run_{j}").alias("b")) for i, j in combinations(range(len(fits)), 2)]
-        rand = [r.adjusted_rand for r in adjusted_rand(runs.select(F.inline(F.array(*pairs))), "a", "b", ["pair"]).collect()] if pairs else []
-        rows.append((k, best.summary.trainingCost, sep.calinski_harabasz, sep.davies_bouldin, median(rand) if rand else 1.0, shares.least / shares.n if shares.k == k else 0.0))
+    spark = scaled.sparkSession
+    points = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select(key, "features")
+    points = points.coalesce(max(1, spark.sparkContext.defaultParallelism)).cache()  # a fit goes through all partitions in every iteration
+    points.count()
+    fitted = _at_once(spark, lambda run: KMeans(k=run[0], seed=run[1], maxIter=100, tol=1e-7).fit(points), [(k, s) for k in ks for s in seeds])
+    runs = {k: fitted[i * len(seeds) : (i + 1) * len(seeds)] for i, k in enumerate(ks)}
+    best = {k: min(fits, key=lambda m: m.summary.trainingCost) for k, fits in runs.items()}
+    labels = {k: m.transform(points).select(key, "features", "prediction") for k, m in best.items()}
+    rows = _at_once(spark, lambda k: (k, best[k].summary.trainingCost, *_metrics(points, runs[k], labels[k])), list(ks))
     points.unpersist()  # later reads of the labels run through the models again
-    table = scaled.sparkSession.createDataFrame(rows, "k int, inertia double, calinski_harabasz double, davies_bouldin double, stability double, smallest_share double")
+    table = spark.createDataFrame(rows, "k int, inertia double, calinski_harabasz double, davies_bouldin double, stability double, smallest_share double")
     labels = {k: df.select(key, "prediction") for k, df in labels.items()}
     chosen = rank_sum(table, {"calinski_harabasz": False, "davies_bouldin": True, "stability": False, "smallest_share": False}, "k").first().k
     return table, labels[chosen].select(key, F.concat(F.lit("cluster_"), F.col("prediction").cast("string")).alias("auto_cluster")), chosen
