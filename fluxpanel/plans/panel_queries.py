@@ -507,7 +507,7 @@ def audit_summary(spark, sf):
 def _clustered(spark, sf):
     from ..operators import clustering
 
-    users = segments.snapshot(panel(spark, sf), windows(spark)).where("id = 'w3'")
+    users = segments.snapshot(panel(spark, sf), windows(spark)).where("id = 'w3'").persist()  # read by the scale, the fits, the labels and every measure
     scaled = clustering.robust_scale(clustering.inputs(clustering.eligible(users)).select("user_id", *clustering.INPUTS), clustering.INPUTS)
     table, labels, _ = clustering.fit_grid(scaled)
     return users, table, labels
