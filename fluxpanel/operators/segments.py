@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,8 +159,9 @@ def rule_overlap(users: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
 
 def predictive_strength(users: DataFrame, labels: Sequence[str], targets: Sequence[str] = ("future_purchase", "future_redeem", "future_consume", "future_transfer")) -> DataFrame:
     """Eta squared of each labelling for each log outcome; 0 without variance."""
-    parts = [eta_squared(users, m, t, ["id"], log=True, constant=0.0).select("id", F.lit(m).alias("method"), F.lit(t).alias("target"), "groups", "rows", "eta_squared") for m in labels for t in targets]
-    return reduce(DataFrame.unionByName, parts)
+    pairs = [F.struct(F.lit(m).alias("method"), F.lit(t).alias("target"), F.col(m).cast("string").alias("label"), F.col(t).cast("double").alias("v")) for m in labels for t in targets]
+    long = users.select("id", F.inline(F.array(*pairs)))  # one pass for all
+    return eta_squared(long, "label", "v", ["id", "method", "target"], log=True, constant=0.0).select("id", "method", "target", "groups", "rows", "eta_squared")
 
 
 def adjusted_rand(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

@@ -296,6 +296,27 @@ def test_cluster_grid_is_whole(spark, monkeypatch):
     assert list(grid["ks"].default) == [3, 4, 5, 6, 7, 8] and len(grid["seeds"].default) == 5
 
 
+def test_fits_run_at_once_on_few_partitions(spark, monkeypatch):
+    import threading
+
+    seen, fit = [], clustering.KMeans.fit
+    monkeypatch.setattr(clustering.KMeans, "fit", lambda self, points: seen.append((points.rdd.getNumPartitions(), threading.get_ident())) or fit(self, points))
+    df = spark.createDataFrame([(i, float(i % 3), i / 100) for i in range(90)], "user_id long, a double, b double").repartition(64)
+    table, labels, k = clustering.fit_grid(df, ["a", "b"], ks=(2, 3), seeds=(0, 1))
+    assert [r.k for r in table.orderBy("k").collect()] == [2, 3] and labels.count() == 90 and k in (2, 3)
+    assert len(seen) == 4 and max(n for n, _ in seen) <= spark.sparkContext.defaultParallelism and len({t for _, t in seen}) > 1
+
+
+def test_strength_is_one_pass(spark):
+    rows = [("w", "a" if i % 2 else "b", "c" if i % 3 else None, i, i % 2) for i in range(60)] + [("x", "a", None, 5, 5)]
+    df = spark.createDataFrame(rows, "id string, p string, q string, s long, t long")
+    out = segments.predictive_strength(df, ["p", "q"], ["s", "t"])
+    got = {(r.id, r.method, r.target): (r.groups, r.rows, r.eta_squared) for r in out.collect()}
+    assert set(got) == {("w", m, t) for m in "pq" for t in "st"} | {("x", "p", t) for t in "st"}
+    assert got["w", "p", "t"] == (2, 60, pytest.approx(1)) and got["w", "q", "s"] == (1, 40, 0.0) and got["x", "p", "s"] == (1, 1, 0.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_ranks_by_ranges_equal_sorted_ranks(spark):
     rng = random.Random(11)
     values = [rng.choice([0.0, -3.5, 2.0, rng.gauss(0, 1e6), rng.random()]) for _ in range(400)]
