@@ -46,10 +46,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 similar shingles of five words join, keep the one with the smallest id.
 
-    Candidates have six MinHashes in common in one of 32 bands: 0.99994 of such pairs at the
-    threshold.  SimHashes within seven bits would miss about one in seven.
+    Candidates have SimHashes within two bits, found by blocks and pivot distances as in op3, or
+    six MinHashes in common in one of 32 bands: 0.99994 of such pairs at the threshold, of which
+    SimHashes alone would miss most.  Whole texts are compared after both.
     """
-    return simhash.drop_near_copies(docs, bands=32, shingle=5, similarity=0.8)
+    return simhash.drop_near_copies(docs, radius=2, bands=32, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

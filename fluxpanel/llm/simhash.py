@@ -390,8 +390,8 @@ def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000, bands: int = 0) -> DataFrame:
     """Ids (column ``lost``) of all documents of a group of near duplicates but the smallest id.
 
-    Fingerprints within ``radius`` bits, or ``bands`` of MinHashes where that isn't zero, name
-    the components to look at; within one, documents
+    Fingerprints within ``radius`` bits name the components to look at, and where ``bands``
+    isn't zero so do as many bands of MinHashes beside them; within one, documents
     whose Jaccard similarity is ``similarity`` or more are linked (whole texts, shingles of
     ``shingle`` words), and a group is what links reach.  A component of more than ``part``
     documents is looked at in parts, then the first documents of what was linked in the parts;
@@ -401,10 +401,12 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (they are linked by any of their texts).  An empty table gives no rows.  Other columns are
     not read, whatever their names.
     """
+    prints = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree)
+    named = prints.select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct()
     if bands:
-        named = band_groups(docs, id_col, text_col, shingle=shingle, bands=bands)
-    else:
-        named = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct()
+        # A document is in a component by its fingerprint and maybe in one by its bands: what both reach is looked at as one.
+        both = named.unionByName(band_groups(docs, id_col, text_col, shingle=shingle, bands=bands)).where("id != component")
+        named = components(both.select(F.col("id").alias("a"), F.col("component").alias("b"))).select("id", F.col("root").alias("component"))
     groups = stored(named, "groups")
     named = groups.select("id", "component").unionByName(groups.select(F.col("component").alias("id"), "component")).distinct()  # a component's smallest id may have no row of its own
     sizes = stored(named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")

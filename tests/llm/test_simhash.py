@@ -228,3 +228,19 @@ def test_rows_repeated_with_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for part in (1000, 2, 1):
         assert sorted(r.doc_id for r in simhash.drop_near_copies(df, bands=32, part=part).collect()) == [1, 1, 3], part
+
+
+def test_fingerprints_name_candidates_beside_bands(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        other = list(base)
+        other[200] = f"x{i}"  # 391 of 401 shingles in common
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    close = {b for (_, x), (b, y) in zip(rows[::2], rows[1::2]) if bin(simhash.fingerprint(x) ^ simhash.fingerprint(y)).count("1") <= 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lost = {r.lost for r in simhash.similar_copies(df, radius=2, bands=1).collect()}
+    by_bands = {r.id for r in simhash.band_groups(df, bands=1).collect()} & {i for i, _ in rows[1::2]}
+    assert close - by_bands and lost == close | by_bands  # each way finds pairs that the other does not
+    assert by_bands - close
