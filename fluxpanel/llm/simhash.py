@@ -365,8 +365,8 @@ def band_keys(keys: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np
     return out
 
 
-def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
-    """(id, component) of rows with an id: those that have all ``rows`` MinHashes of one of ``bands`` bands in common are linked.
+def band_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
+    """Edges (a, b) of rows with an id: those that have all ``rows`` MinHashes of one of ``bands`` bands in common are linked.
 
     A pair of similarity j meets in one band at least with chance 1 - (1 - j^rows)^bands: 0.99994 at 0.8.
     """
@@ -384,7 +384,12 @@ def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = stored(keys.join(few(least), "key").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "candidates")
     for spent in (keys, least):
         discard(spent)
-    return components(edges).select("id", F.col("root").alias("component"))
+    return edges
+
+
+def band_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, component) of rows with an id that ``band_links`` reach."""
+    return components(band_links(docs, id_col, text_col, **how)).select("id", F.col("root").alias("component"))
 
 
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 7, agree: int = 2, shingle: int = 5, similarity: float = 0.8, part: int = 1000, bands: int = 0) -> DataFrame:
@@ -401,12 +406,15 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (they are linked by any of their texts).  An empty table gives no rows.  Other columns are
     not read, whatever their names.
     """
-    prints = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree)
-    named = prints.select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct()
     if bands:
-        # A document is in a component by its fingerprint and maybe in one by its bands: what both reach is looked at as one.
-        both = named.unionByName(band_groups(docs, id_col, text_col, shingle=shingle, bands=bands)).where("id != component")
-        named = components(both.select(F.col("id").alias("a"), F.col("component").alias("b"))).select("id", F.col("root").alias("component"))
+        # What fingerprints and bands reach together is looked at as one: both kinds of links, contracted once.
+        prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+        reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
+        same = prints.join(reps, "fp").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        edges = links(reps, radius, agree).unionByName(same).unionByName(band_links(docs, id_col, text_col, shingle=shingle, bands=bands))
+        named = components(edges).select("id", F.col("root").alias("component"))
+    else:
+        named = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct()
     groups = stored(named, "groups")
     named = groups.select("id", "component").unionByName(groups.select(F.col("component").alias("id"), "component")).distinct()  # a component's smallest id may have no row of its own
     sizes = stored(named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
