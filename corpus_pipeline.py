@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fluxpanel.llm import exact_dedup, langid, mixing, packing, simhash
 from fluxpanel.llm.queries import MIX_WEIGHTS, mix_levels, word_bpe
-from fluxpanel.llm.util import stored, sweep, written
+from fluxpanel.llm.util import small_batches, stored, sweep, written
 
 #: A document goes if no language has this share of its posterior.
 LEAST_SCORE = 0.5
@@ -33,6 +33,7 @@ def _columns(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with confidence; those without a letter go."""
+    small_batches(spark)
     model = langid.fit(docs)
     scored = langid.predict(docs, model, out=("__lang_pred", "__lang_score"))
     return _columns(scored.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__lang_score") >= LEAST_SCORE)), docs)
@@ -50,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     six MinHashes in common in one of 32 bands: 0.99994 of such pairs at the threshold, of which
     SimHashes alone would miss most.  Whole texts are compared after both.
     """
+    small_batches(spark)
     return simhash.drop_near_copies(docs, radius=2, bands=32, shingle=5, similarity=0.8)
 
 
@@ -60,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the packed sequences."""
+    small_batches(spark)
     return packing.pack(docs, word_bpe)
 
 

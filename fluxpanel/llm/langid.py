@@ -179,7 +179,11 @@ class Scorer:
         return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-_SCORERS: dict[int, Scorer] = {}
+def scorer_of(model: LanguageModel) -> Scorer:
+    """The model's own scorer.  It goes with the model: workers live on through later stages, and that memory is theirs."""
+    if (own := model.__dict__.get("_scorer")) is None:
+        own = model.__dict__["_scorer"] = Scorer(model)
+    return own
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -191,14 +195,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     the texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(shared)
 
     @F.pandas_udf("lang string, score double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _SCORERS.get(key)
-        if scorer is None or scorer.model is not shared.value:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for part in texts:
             yield pd.DataFrame([scorer(t) for t in part], columns=["lang", "score"])
 

@@ -251,9 +251,12 @@ def links(reps: DataFrame, radius: int = 2, agree: int = 2) -> DataFrame:
     return (found if more is None else found.unionByName(more)).where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable, for ids with an edge; star contraction until nothing changes."""
-    now = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, root): the smallest id reachable, for ids with an edge; star contraction until nothing changes.
+
+    ``most`` is about the number of edges at most, where it is known; then they go to few files.
+    """
+    now = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges", most)
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
     before = mark(now)
     while before[0]:
@@ -262,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.greatest("u", "m").alias("v"), F.least("u", "m").alias("u")).where("v != u")
-        new = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        new = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "edges", before[0] if most is not None else None)
         after = mark(new)
         discard(now)
         now = new
@@ -380,8 +383,9 @@ def band_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     keys = stored(texts.mapInArrow(run, "id long, key long"), "band-keys")
-    least = stored(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most").select("key", "b"), "bands")
-    edges = stored(keys.join(few(least), "key").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "candidates")
+    n = keys.count() // bands
+    least = stored(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most").select("key", "b"), "bands", n)
+    edges = stored(keys.join(few(least), "key").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "candidates", n)
     for spent in (keys, least):
         discard(spent)
     return edges
@@ -409,17 +413,20 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if bands:
         # What fingerprints and bands reach together is looked at as one: both kinds of links, contracted once.
         prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-        reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
+        n = prints.count()  # of this many rows there are at most so many links of each kind, but for a few
+        reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps", n)
         same = prints.join(reps, "fp").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         edges = links(reps, radius, agree).unionByName(same).unionByName(band_links(docs, id_col, text_col, shingle=shingle, bands=bands))
-        named = components(edges).select("id", F.col("root").alias("component"))
+        named = components(edges, 2 * n).select("id", F.col("root").alias("component"))
     else:
         named = near_groups(docs, id_col, text_col, width=width, radius=radius, agree=agree).select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).where("id is not null").distinct()
-    groups = stored(named, "groups")
+        n = None
+    groups = stored(named, "groups", n)
+    n = groups.count()
     named = groups.select("id", "component").unionByName(groups.select(F.col("component").alias("id"), "component")).distinct()  # a component's smallest id may have no row of its own
-    sizes = stored(named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    sizes = stored(named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes", n)
     salted = lambda df, seed: df.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / part)))
-    members = stored(salted(named.join(few(sizes), "component"), 0), "members")
+    members = stored(salted(named.join(few(sizes), "component"), 0), "members", 2 * n)
     release(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = "id long, component long, root long"
@@ -430,16 +437,16 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = stored(sizes.where(F.col("n") > part), "large")
     if not large.isEmpty():
         firsts = first.join(few(large.select("component")), "component").where("id = root").select("id", "component").distinct()
-        firsts = stored(salted(firsts.join(firsts.groupBy("component").agg(F.count("*").alias("n")), "component"), 1), "firsts")
+        firsts = stored(salted(firsts.join(firsts.groupBy("component").agg(F.count("*").alias("n")), "component"), 1), "firsts", n)
         edges = stored(edges.unionByName(edge(look(firsts))), "edges-of-parts")
         every = members.join(few(large.select("component")), "component")
-        rooted = stored(every.join(components(edges), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        rooted = stored(every.join(components(edges, 2 * n), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted", 2 * n)
         most = rooted.groupBy("component", "root").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
         outside = rooted.join(most, "component").where("root != largest").select("id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / part) - 1)).alias("salt"))
         busy = outside.select("component").distinct()
         parts = every.join(busy, "component", "left_semi").select("id", "component", F.col("salt").cast("long").alias("salt"))
         edges = edges.unionByName(edge(look(stored(parts.unionByName(outside).distinct(), "parts"))))
-    return components(edges).where("id != root").select(F.col("id").alias("lost")).distinct()
+    return components(edges, 2 * n).where("id != root").select(F.col("id").alias("lost")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

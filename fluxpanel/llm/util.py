@@ -14,10 +14,24 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts of this subpackage define it.
 WHITESPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that Spark gathers for a Python worker before it sends them.
+BATCH = 4 << 20
 #: What ``stored`` has written and ``discard`` hasn't deleted.
 _WRITTEN: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send rows to Python workers in batches of about ``BATCH`` bytes, one row at least, from now on.
+
+    By default 10,000 rows or 64 MB are a batch: of whole texts that is held several times over,
+    by every task in the JVM's direct memory and in its worker.  A smaller bound in bytes stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+    if now is None or not 0 < int(now[1]) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -34,14 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a file of what ``stored`` writes, where it is told how many there are.
+FILE_ROWS = 100_000
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
+    ``rows``, where given, is about the number of rows of numbers to be written: they go to
+    four files for each core of the cluster, or to more of ``FILE_ROWS``, and not to one for each
+    partition of a shuffle.  (For each file on a local disk Hadoop starts two processes, and
+    until such a child runs its own program it counts as large as the executor.)
+
     The rows are then fixed even where an executor is lost later; a failed task of
     the write alone is run again by Spark.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fluxpanel-{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fluxpanel_path = path

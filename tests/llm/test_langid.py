@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 from fluxpanel.llm import langid
 
@@ -55,3 +57,14 @@ def test_nothing_to_learn_from(spark):
     model = langid.fit(df)
     assert model.languages == []
     assert {(r.lang_pred, r.score) for r in langid.predict(df, model).collect()} == {("und", 0.0)}
+
+
+def test_scorer_goes_with_its_model(spark):
+    # Workers live on: a scorer that outlives the broadcast model takes memory of all later stages.
+    model = langid.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    scorer = langid.scorer_of(model)
+    assert langid.scorer_of(model) is scorer
+    seen = weakref.ref(scorer)
+    del model, scorer
+    gc.collect()
+    assert seen() is None

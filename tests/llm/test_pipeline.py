@@ -3,8 +3,10 @@ from collections import Counter
 from fractions import Fraction
 
 import corpus_pipeline
-from fluxpanel.llm import mixing, packing
+import pyarrow as pa
+from fluxpanel.llm import mixing, packing, simhash, util
 from fluxpanel.llm.queries import word_bpe
+from fluxpanel.llm.util import BATCH, small_batches, stored
 
 from .test_exact_dedup import brute as brute_exact
 from .test_langid import corpus
@@ -83,3 +85,36 @@ def test_run_and_empty_table(spark, tmp_path):
     assert out.count() > 0
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        small_batches(spark)
+        docs = spark.range(0, 12_000, 1, 1).selectExpr("id", "repeat('word ', 400) AS text")
+        sizes = [r.n for r in docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()]
+        assert sum(sizes) == 12_000 and max(sizes) < 3_000  # 10,000 by default
+        spark.conf.set(key, "1000000")
+        small_batches(spark)
+        assert spark.conf.get(key) == "1000000"
+        spark.conf.set(key, "67108864")
+        corpus_pipeline.identify_language(spark, spark.createDataFrame(rows(), COLUMNS), "")
+        assert int(spark.conf.get(key)) == BATCH
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_small_tables_go_to_few_files(spark, monkeypatch):
+    # Two processes are started for each file: 211 partitions of a few rows aren't as many files.
+    most = 4 * spark.sparkContext.defaultParallelism
+    numbers = spark.range(500).repartition(211, "id")
+    files = lambda df: len(df.inputFiles())
+    small = stored(numbers, "small", 500)
+    assert files(small) <= most < files(stored(numbers, "as-dealt"))
+    assert sorted(r.id for r in small.collect()) == list(range(500))
+    monkeypatch.setattr(util, "FILE_ROWS", 10)
+    assert most < files(stored(numbers, "large", 500)) <= 50
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(70, 4), (70, 9)], "a long, b long")
+    assert sorted(simhash.components(edges, 40).collect()) == sorted(simhash.components(edges).collect())
