@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -39,6 +39,8 @@ from .words import blocks, mixed, tokens
 
 #: Pairs that a counting task holds before it passes them on.
 HELD = 2_000_000
+#: Keys that a task holds on their way to a filter before it passes them on.
+FILTERED = 1_000_000
 #: The filter has at most two to this power bits, in blocks of two to the power ``BLOCK``.
 MOST_BITS, BLOCK = 28, 20
 _U = np.uint64
@@ -95,18 +97,37 @@ class Filter:
         block = BLOCK
         size = min(MOST_BITS, max(block + 1, (8 * keys.count()).bit_length()))
 
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def out() -> pa.RecordBatch:
+                own = np.concatenate([*held, np.zeros(0, np.uint64)])
+                held.clear()
+                return pa.RecordBatch.from_arrays([*pieces(own, (own,), size - block)], ["bucket", "data"])
+
+            for batch in batches:
+                held.append(batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64))
+                if sum(map(len, held)) >= FILTERED:
+                    yield out()
+            yield out()
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, np.ndarray] = {}
+            now, bits = None, np.zeros(1 << block, bool)
+            made = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
             for batch in batches:
-                found = np.concatenate(_places(batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), size, block))
-                found.sort()
-                cuts = np.flatnonzero(np.diff(found >> block)) + 1
-                for part in np.split(found, cuts) if len(found) else ():
-                    held.setdefault(int(part[0]) >> block, np.zeros(1 << block, bool))[part & ((1 << block) - 1)] = True
-            for number, bits in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-        each = keys.select("gram").repartition(1 << max(0, size - block - 2), F.shiftrightunsigned("gram", 64 - size + block)).mapInArrow(run, "block long, bits binary")
+                buckets, data = batch.column("bucket").to_numpy(zero_copy_only=False), batch.column("data")
+                cuts = sorted({0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), *range(0, len(buckets), PIECE), len(buckets)})
+                for start, end in zip(cuts, cuts[1:]):
+                    if now != buckets[start]:
+                        if now is not None:
+                            yield made()
+                        now, bits = int(buckets[start]), np.zeros(1 << block, bool)
+                    for at in _places(*opened(data.slice(start, end - start).to_pylist(), ("<u8",)), size, block):
+                        bits[at & (1 << block) - 1] = True
+            if now is not None:
+                yield made()
+
+        each = dealt(keys.select("gram").mapInArrow(sent, "bucket int, data binary")).mapInArrow(run, "block long, bits binary")
         bits, wide = np.zeros(1 << size - 3, np.uint8), 1 << block - 3
         for r in each.toArrow().to_pylist():  # a row for each block
             bits[r["block"] * wide : (r["block"] + 1) * wide] = np.frombuffer(r["bits"], np.uint8)
@@ -236,7 +257,7 @@ def train(docs: DataFrame, text_col: str = "text", *, order: int = 3, words: int
         return model
     before = counts.select(F.col("a").alias("gram"), "c", ((F.col("c") + 0.5) / low).alias("p"))
     bits = model.bucket_bits = bucket_bits(total)
-    levels, weights, level = [Filter.of(before.where(F.col("c") >= least))], [], None
+    levels, weights = [Filter.of(before.where(F.col("c") >= least))], []
     for n in range(2, order + 1):
         release(spark)
         shared = spark.sparkContext.broadcast(levels)
@@ -246,19 +267,18 @@ def train(docs: DataFrame, text_col: str = "text", *, order: int = 3, words: int
         shared.unpersist()
         lower = kept.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
         seen = lower.join(before.select(F.col("gram").alias("prefix"), F.col("c").alias("seen")), "prefix")
-        new = stored(seen.select("gram", "prefix", "c", "seen", "lower"), "grams")
-        for old in (kept, level):
-            discard(old)
-        level = new.withColumn("p", (F.col("c") - discount) / F.col("seen"))
+        own = Window.partitionBy("prefix")  # the join has dealt and sorted them by it
+        rest = lambda c: F.greatest(F.lit(1e-300), 1.0 - F.sum(c).over(own))
+        smoothed = seen.withColumn("p", (F.col("c") - discount) / F.col("seen"))
+        bows = smoothed.withColumns({"bow": F.log10(rest("p") / rest("lower")), "first": F.min("gram").over(own)})
+        once = lambda c: F.when(F.col("gram") == F.col("first"), F.col(c)).alias(c)  # noqa: E731  # a context's weight stands at one of its arcs
+        level = stored(bows.select("gram", "c", "seen", (F.log10("p") - F.log10("lower") - F.col("bow")).alias("v"), once("prefix"), once("bow")), "arcs")
+        discard(kept)
         release(spark)
-        rest = lambda c: F.greatest(F.lit(1e-300), 1.0 - F.sum(c))
-        bow = stored(level.groupBy("prefix").agg(F.log10(rest("p") / rest("lower")).alias("bow"), F.max("seen").alias("c")), "backoff")
-        arcs = level.join(bow.select("prefix", "bow"), "prefix").select("gram", (F.log10("p") - F.log10("lower") - F.col("bow")).alias("v"), "c")
-        weights += [stored(arcs, "arcs"), bow.select(F.col("prefix").alias("gram"), F.col("bow").alias("v"), "c")]
-        before, level = level.select("gram", "c", "p"), new
+        weights += [level.select("gram", "v", "c"), level.where("prefix is not null").select(F.col("prefix").alias("gram"), F.col("bow").alias("v"), F.col("seen").alias("c"))]
+        before = level.select("gram", "c", ((F.col("c") - discount) / F.col("seen")).alias("p"))
         if n < order:
             levels = [*levels, Filter.of(before)]
-    discard(level)
     every = weights[0]
     for w in weights[1:]:
         every = every.unionByName(w)

@@ -152,3 +152,25 @@ def test_output_names_that_clash(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(ValueError):
         lm.score(df, lm.train(df), extra={"n_tokens": df.doc_id})
+
+
+def test_an_order_is_written_once_after_its_counts(spark, monkeypatch):
+    # Arcs and backoff weights come from one pass over what the joins have dealt by prefix.
+    labels, stored = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, label, *a: labels.append(label) or stored(df, label, *a))
+    lm.train(spark.createDataFrame([(1, "a b c a b c a b"), (2, "a b c")], "doc_id long, text string"))
+    assert labels == ["token-counts", "kept", "arcs", "kept", "arcs"]
+
+
+def test_filter_has_the_bits_of_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 8)
+    monkeypatch.setattr(lm, "FILTERED", 700)
+    keys = np.random.default_rng(4).integers(0, 2**64, 3000, dtype=np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "gram long").repartition(3)
+    for n in (df, df.limit(0)):
+        found = lm.Filter.of(n)
+        want = np.zeros(1 << found.size, bool)
+        if n is df:
+            for at in lm._places(keys, found.size, found.block):
+                want[at] = True
+        assert (np.unpackbits(found.bits, bitorder="little").astype(bool) == want).all()
