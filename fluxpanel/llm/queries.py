@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, licenses, lm, mixing, packing, secrets, simhash, urlfilter, vectors
-from .util import documents, remainder
+from .util import documents, remainder, small_batches
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +133,7 @@ SELECT * FROM r WHERE rank <= 10
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = lm.train(docs.where(remainder("doc_id", 5) != 1))
     return lm.score(docs, model, extra={"held_out": remainder("doc_id", 5) == 1})

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fluxpanel.llm import lm
+from fluxpanel.llm import lm, queries, util
 from fluxpanel.llm import words as words_
 
 
@@ -174,3 +174,15 @@ def test_filter_has_the_bits_of_its_keys(spark, monkeypatch):
             for at in lm._places(keys, found.size, found.block):
                 want[at] = True
         assert (np.unpackbits(found.bits, bitorder="little").astype(bool) == want).all()
+
+
+def test_query_sends_small_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.createDataFrame([(1, "a b a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        spark.conf.set(key, "67108864")
+        assert queries.op9_lm_score(spark, str(tmp_path)).count() == 1
+        assert int(spark.conf.get(key)) == util.BATCH
+    finally:
+        spark.conf.set(key, before)
